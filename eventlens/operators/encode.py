@@ -23,7 +23,7 @@ def _none() -> Column:
     return F.array().cast("array<int>")
 
 
-def _category_ids(df: DataFrame, keys: Sequence[str], bundle: Bundle) -> DataFrame:
+def category_ids(df: DataFrame, keys: Sequence[str], bundle: Bundle) -> DataFrame:
     """Add ``id_<key>`` per categorical key; a value outside the vocabulary is unknown."""
     for key in keys:
         vocab = bundle.categories.where(F.col("key") == key).select(
@@ -41,7 +41,7 @@ def _category_ids(df: DataFrame, keys: Sequence[str], bundle: Bundle) -> DataFra
 def _field_ids(df: DataFrame, keys: Sequence[str], bundle: Bundle) -> DataFrame:
     """Add ``ids_<key>``: the value ids of the field, null when the field is absent."""
     kinds = {k: bundle.registry.field(k).kind for k in keys}
-    df = _category_ids(df, [k for k in keys if kinds[k] == R.CATEGORICAL], bundle)
+    df = category_ids(df, [k for k in keys if kinds[k] == R.CATEGORICAL], bundle)
     cap = bundle.config.max_within_field_tokens
     for key in keys:
         if kinds[key] == R.NUMERICAL:
@@ -314,7 +314,7 @@ def stored_tokens(shards: DataFrame) -> DataFrame:
 def oov_rates(events: DataFrame, split: Column, bundle: Bundle) -> DataFrame:
     """Share of category values outside the vocabulary per key and split."""
     keys = [k for k in event_keys(events, bundle) if bundle.registry.field(k).kind == R.CATEGORICAL]
-    found = _category_ids(events.withColumn("split", split), keys, bundle)
+    found = category_ids(events.withColumn("split", split), keys, bundle)
     slots = [F.struct(F.lit(k).alias("key"), F.col(f"id_{k}").alias("value_id")) for k in keys]
     return (
         found.select("split", F.explode(F.array(*slots)).alias("s")).select("split", "s.*")
