@@ -100,7 +100,7 @@ def _integrity(policies, aliases, families):
     return R.integrity_issues(policies, aliases, families)
 
 
-@query("SELECT entity_id, event_id, type, field_ord, key, round(num, 6) AS num, txt FROM long_com")
+@query("SELECT entity_id, event_id, type, field_ord::BIGINT AS field_ord, key, round(num, 6) AS num, txt FROM long_com")
 def event_fields(ws: Workspace) -> DataFrame:
     return validate.fields_long(ws.commerce.history, ws.commerce.registry).drop("created_at")
 
@@ -152,9 +152,9 @@ def profile_schema_issues(ws: Workspace) -> DataFrame:
     UNION ALL SELECT 1, entity_id, 0, '', 2, 'field ''balance_quantile'' not a registered profile field' FROM prof),
   wrong AS (
     SELECT m, f, count(*) AS n FROM (
-      SELECT 'signup_at' AS m, 'signup' AS f, p.signup_at AS stated, min(created_at) AS earliest FROM prof p JOIN ev_app e USING (entity_id) WHERE type = 'signup' GROUP BY entity_id, ALL
-      UNION ALL SELECT 'first_purchase_at', 'purchase', p.first_purchase_at, min(created_at) FROM prof p JOIN ev_app e USING (entity_id) WHERE type = 'purchase' GROUP BY entity_id, ALL
-      UNION ALL SELECT 'first_view_at', 'view', p.first_view_at, min(created_at) FROM prof p JOIN ev_app e USING (entity_id) WHERE type = 'view' GROUP BY entity_id, ALL)
+      SELECT 'signup_at' AS m, 'signup' AS f, p.signup_at AS stated, min(created_at) AS earliest FROM prof p JOIN ev_app e USING (entity_id) WHERE type = 'signup' GROUP BY entity_id, signup_at
+      UNION ALL SELECT 'first_purchase_at', 'purchase', p.first_purchase_at, min(created_at) FROM prof p JOIN ev_app e USING (entity_id) WHERE type = 'purchase' GROUP BY entity_id, first_purchase_at
+      UNION ALL SELECT 'first_view_at', 'view', p.first_view_at, min(created_at) FROM prof p JOIN ev_app e USING (entity_id) WHERE type = 'view' GROUP BY entity_id, first_view_at)
     WHERE stated <> earliest GROUP BY 1, 2),
   leaks AS (
     SELECT 0 AS ord, count(*) || ' events occur before their entity''s signup_at' AS text
