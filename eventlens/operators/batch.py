@@ -278,7 +278,7 @@ def batch_problems(flat: DataFrame) -> DataFrame:
             F.sequence(F.lit(0), F.size("history_offsets") - 2),
             lambda i: F.array_repeat(
                 i.cast("bigint"),
-                (F.element_at("history_offsets", i + 2) - F.element_at("history_offsets", i + 1)).cast("int"),
+                (F.try_element_at("history_offsets", i + 2) - F.try_element_at("history_offsets", i + 1)).cast("int"),
             ),
         )
     )
@@ -289,8 +289,8 @@ def batch_problems(flat: DataFrame) -> DataFrame:
         "event offsets do not cover the events": F.size("event_offsets") != n_events + 1,
         "history offsets fall": ~_rising("history_offsets"),
         "event offsets fall": ~_rising("event_offsets"),
-        "history offsets do not end at the events": F.element_at("history_offsets", -1) != n_events,
-        "event offsets do not end at the tokens": F.element_at("event_offsets", -1) != n_tokens,
+        "history offsets do not end at the events": F.try_element_at("history_offsets", F.lit(-1)) != n_events,
+        "event offsets do not end at the tokens": F.try_element_at("event_offsets", F.lit(-1)) != n_tokens,
         "events are not grouped as the offsets say": (n_events > 0)
         & ~F.coalesce(_rising("history_offsets"), F.lit(False))
         | (n_events > 0) & (F.when(_rising("history_offsets"), groups) != F.col("event_to_record")),

@@ -80,6 +80,13 @@ class Bundle:
     def total_size(self) -> int:
         return self.text_base + self.text_size
 
+    @property
+    def max_pairs(self) -> int:
+        """Upper bound of distinct (key, value) token pairs."""
+        n_numeric = len(self.numeric_bounds) * (1 + self.config.n_numeric_buckets)
+        n_text = len(self.registry.keys_of(R.TEXT)) * self.text_size
+        return n_numeric + n_text + self.n_categories + 3 * len(self.key_ids)
+
     def maskable_key_ids(self) -> list[int]:
         ids = self.key_ids
         return [ids[k] for k in self.registry.token_keys() if self.registry.field(k).can_mask]

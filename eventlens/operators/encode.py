@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from eventlens import registry as R
 from eventlens.functions.buckets import length_label, numeric_token
 from eventlens.functions.temporal import CALENDAR, calendar, seconds_between, soft_log
+from eventlens.functions.values import as_category
 from eventlens.operators.bundle import MILESTONE_ABSENT, MILESTONE_PRESENT, UNK, Bundle
-from eventlens.operators.skew import broadcast_if_small
+from eventlens.operators.skew import BROADCAST_ROWS, broadcast_if_small
 from eventlens.operators.textvocab import text_ids
 
 def _none() -> Column:
@@ -24,13 +25,22 @@ def _none() -> Column:
 
 
 def category_ids(df: DataFrame, keys: Sequence[str], bundle: Bundle) -> DataFrame:
-    """Add ``id_<key>`` per categorical key; a value outside the vocabulary is unknown."""
+    """Add ``id_<key>`` per categorical key; a value outside the vocabulary is unknown.
+
+    A small vocabulary is broadcast. A large one is joined by shuffle, and there the rows
+    without a value get a key of their own that meets nothing: they spread evenly instead of
+    landing in one task as nulls do. Frequent values are left to the adaptive skew join.
+    """
     for key in keys:
+        value = as_category(df, key)
+        if bundle.n_categories > BROADCAST_ROWS:
+            row = "event_id" if "event_id" in df.columns else "entity_id"
+            value = F.coalesce(value, F.concat(F.lit("\x00"), F.col(row)))
         vocab = bundle.categories.where(F.col("key") == key).select(
             F.col("value").alias(f"value_{key}"), F.col("value_id").alias(f"found_{key}")
         )
         vocab = broadcast_if_small(vocab, bundle.n_categories)
-        df = df.join(vocab, F.col(key).cast("string") == F.col(f"value_{key}"), "left")
+        df = df.join(vocab, value == F.col(f"value_{key}"), "left")
         df = df.withColumn(
             f"id_{key}",
             F.when(F.col(key).isNotNull(), F.coalesce(F.col(f"found_{key}"), F.lit(UNK))),
@@ -122,11 +132,7 @@ def encode_profile(records: DataFrame, bundle: Bundle) -> DataFrame:
         if k in records.columns and (k in reg.milestone_keys or reg.field(k).kind in R.TOKENIZABLE)
     )
     attributes = [k for k in keys if k not in reg.milestone_keys]
-    df = records
-    for k in attributes:
-        if dict(records.dtypes)[k] == "boolean":
-            df = df.withColumn(k, F.when(F.col(k), F.lit("True")).when(~F.col(k), F.lit("False")))
-    df = _field_ids(df, attributes, bundle)
+    df = _field_ids(records, attributes, bundle)
     for k in keys:
         if k in reg.milestone_keys:
             df = df.withColumn(

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlens.functions.hashing import digest, uniform
 from eventlens.operators.bundle import MASK, UNK, Bundle
+from eventlens.operators.skew import broadcast_if_small
 
 # Label of positions without a target, and the source flags.
 NO_LABEL = -100
@@ -125,10 +126,6 @@ def marginal_difficulty(
     Add-one smoothing over the values seen for the key plus one unseen value. The frequency
     table has one row per (key, value) of the vocabulary, not per token.
     """
-    from pyspark.sql import Window
-
-    from eventlens.operators.skew import broadcast_if_small
-
     seen = train_tokens.groupBy("key_id", "value_id").agg(F.count(F.lit(1)).alias("n"))
     per_key = seen.groupBy("key_id").agg(
         F.sum("n").alias("n_key"), F.count(F.lit(1)).alias("n_values")
@@ -139,7 +136,7 @@ def marginal_difficulty(
         seen.withColumn("place", F.row_number().over(place)).where(F.col("place") <= top_k)
         .select("key_id", "value_id", "place")
     )
-    size = bundle.total_size
+    size = bundle.max_pairs
     targets = masked.where(F.col("label") != NO_LABEL)
     joined = (
         targets.join(broadcast_if_small(seen, size), ["key_id", "value_id"], "left")

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -216,10 +217,13 @@ def quantiles_of_counts(
         cum = cum.join(totals, by)
     else:
         cum = cum.withColumn("n_all", F.lit(totals.first()["n_all"]).cast("bigint"))
+    # Few rows cover a wanted rank, so they are picked out by plain comparisons first.
     first = F.col("upto") - F.col("n")
+    spots = [F.lit(float(f)) * (F.col("n_all") - 1) for f in fractions]
+    covers = [(F.floor(s) + 1 >= first) & (F.floor(s) < F.col("upto")) for s in spots]
+    near = cum.where(reduce(lambda x, y: x | y, covers))
     wanted = []
-    for i, fraction in enumerate(fractions):
-        spot = F.lit(float(fraction)) * (F.col("n_all") - 1)
+    for i, (fraction, spot) in enumerate(zip(fractions, spots)):
         low = F.floor(spot)
         high = F.least(low + 1, F.col("n_all") - 1)
         for side, at in (("low", low), ("high", high)):
@@ -234,7 +238,7 @@ def quantiles_of_counts(
                     ),
                 )
             )
-    hits = cum.select(*by, F.col(value).alias("v"), F.explode(F.array(*wanted)).alias("w")).where(
+    hits = near.select(*by, F.col(value).alias("v"), F.explode(F.array(*wanted)).alias("w")).where(
         "w is not null"
     )
     ends = hits.groupBy(*by, "w.idx", "w.fraction").agg(

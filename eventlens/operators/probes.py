@@ -180,15 +180,15 @@ def baselines(
             DataFrame.unionByName, [_result(features, n, None, n_train, n_val) for n in names]
         )
     data = materialize(
-        features.select("entity_id", F.col(label).cast("double").alias("y"), "is_val", *numeric, *categorical),
+        features.select(F.col(label).cast("double").alias("y"), "is_val", *numeric, *categorical),
         "feature-rows",
     )
     train = data.where(~F.col("is_val"))
     ready = fill_categories(scaled(data, scaling_stats(train, numeric)), categorical)
     encoded = fit_categories(train, categorical).transform(ready)
     x = VectorAssembler(
-        inputCols=[*numeric, *[f"{c}_hot" for c in categorical]], outputCol="x"
-    ).transform(encoded).select("x", "y", "is_val")
+        inputCols=[*numeric, *[f"{c}_hot" for c in categorical]], outputCol="all_features"
+    ).transform(encoded).select(F.col("all_features").alias("x"), "y", "is_val")
     made = {
         "logreg": lambda: _logistic(n_train),
         "gbdt": lambda: GBTClassifier(featuresCol="x", labelCol="y", seed=seed),

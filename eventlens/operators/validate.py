@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlens import registry as R
+from eventlens.functions.values import as_category
 from eventlens.operators.skew import join_per_entity
 
 SAMPLE_SIZE = 20
@@ -23,7 +24,7 @@ def fields_long(events: DataFrame, registry: R.Registry) -> DataFrame:
     for i, key in enumerate(registry.value_keys(events.columns)):
         is_number = registry.field(key).kind == R.NUMERICAL
         num = F.col(key).cast("double") if is_number else F.lit(None).cast("double")
-        txt = F.lit(None).cast("string") if is_number else F.col(key).cast("string")
+        txt = F.lit(None).cast("string") if is_number else as_category(events, key)
         slot = F.struct(
             F.lit(i).alias("field_ord"), F.lit(key).alias("key"), num.alias("num"), txt.alias("txt")
         )
@@ -38,10 +39,10 @@ def _quoted(*parts: str | Column) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
-def event_issues(
+def event_issue_list(
     events: DataFrame, registry: R.Registry, *, nulls: str = "drop"
-) -> DataFrame:
-    """``(entity_id, event_id, created_at, issue_ord, issue)`` for every broken rule.
+) -> Column:
+    """One text per rule, null where the rule holds.
 
     ``nulls='drop'`` treats a null as an absent field; ``'keep'`` treats each column as
     present, so a null breaks a rule only where nulls are forbidden.
@@ -93,8 +94,14 @@ def event_issues(
                     _quoted(f"null not allowed for field '{key}' on '", kind, "'"),
                 )
             )
+    return F.array(*rules)
+
+
+def event_issues(events: DataFrame, registry: R.Registry, *, nulls: str = "drop") -> DataFrame:
+    """``(entity_id, event_id, created_at, issue_ord, issue)`` for every broken rule."""
+    found = event_issue_list(events, registry, nulls=nulls)
     return events.select(
-        "entity_id", "event_id", "created_at", F.posexplode(F.array(*rules)).alias("issue_ord", "issue")
+        "entity_id", "event_id", "created_at", F.posexplode(found).alias("issue_ord", "issue")
     ).where("issue is not null")
 
 
@@ -219,9 +226,21 @@ def corpus_report(
     )
     leaks = early.unionByName(wrong)
 
-    rates = null_rates(events)
+    # Counts and null rates of the events come from one pass.
+    values = [c for c in events.columns if c not in R.STRUCTURAL]
+    over_events = events.agg(
+        F.count(F.lit(1)).alias("n_events"),
+        F.coalesce(
+            F.sum(F.size(F.array_compact(event_issue_list(events, registry)))), F.lit(0)
+        ).alias("n_event_issues"),
+        *[
+            F.coalesce(F.avg(F.col(c).isNull().cast("double")), F.lit(0.0)).alias(f"null_rate_{c}")
+            for c in values
+        ],
+    )
     parts = [
-        issues.agg(F.count(F.lit(1)).alias("n_schema_issues")),
+        over_events,
+        profile_rows.agg(F.count(F.lit(1)).alias("n_profile_issues")),
         first.agg(
             F.concat_ws("; ", F.transform(
                 F.array_sort(F.collect_list(F.struct(*order, "issue"))), lambda s: s["issue"]
@@ -233,17 +252,16 @@ def corpus_report(
                 F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda s: s["text"]
             )).alias("leakage_issues"),
         ),
-        rates.select(*[F.col(c).alias(f"null_rate_{c}") for c in rates.columns]),
         duplicate_timestamp_entities(events).agg(
             F.count(F.lit(1)).alias("entities_with_duplicate_event_timestamps")
         ),
-        events.agg(F.count(F.lit(1)).alias("n_events")),
         profile.agg(F.count(F.lit(1)).alias("n_entities")),
     ]
     stacked = parts[0]
     for part in parts[1:]:
         stacked = stacked.unionByName(part, allowMissingColumns=True)
     row = stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
-    return row.withColumn(
+    row = row.withColumn("n_schema_issues", F.col("n_event_issues") + F.col("n_profile_issues"))
+    return row.drop("n_event_issues", "n_profile_issues").withColumn(
         "passed", (F.col("n_schema_issues") == 0) & (F.col("n_leakage_issues") == 0)
     )

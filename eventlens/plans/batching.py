@@ -62,8 +62,8 @@ def progress_counters(ws: Workspace) -> DataFrame:
 def _flat(ws: Workspace) -> DataFrame:
     b = ws.commerce
     counts = b.sizes().select("entity_id", F.col("n_events").alias("n_kept"))
-    profiles = b.profiles().join(counts, "entity_id")
-    return batch.flat_batches(b.batches, profiles, b.encoded(), b.masked())
+    profiles = b.stored_profiles.join(counts, "entity_id")
+    return batch.flat_batches(b.batches, profiles, b.stored, b.masked())
 
 
 @query("""
@@ -112,12 +112,12 @@ def group_offsets(ws: Workspace) -> DataFrame:
 def unpacked_batches(ws: Workspace) -> DataFrame:
     """Source tokens rebuilt from packed batches without masks, against the records."""
     b = ws.commerce
-    none = mask.mask_tokens(b.encoded(), b.bundle, mask.MaskConfig(0.0, 0.0, 0.0, 0.0))
+    none = mask.mask_tokens(b.stored, b.bundle, mask.MaskConfig(0.0, 0.0, 0.0, 0.0))
     counts = b.sizes().select("entity_id", F.col("n_events").alias("n_kept"))
-    flat = batch.flat_batches(b.batches, b.profiles().join(counts, "entity_id"), b.encoded(), none)
+    flat = batch.flat_batches(b.batches, b.stored_profiles.join(counts, "entity_id"), b.stored, none)
     cols = ["entity_id", "event_ord", "tok_ord", "key_id", "value_id"]
     again = batch.unpack_batches(flat).select(*[F.col(c).cast("string").alias(c) for c in cols])
-    source = encode.event_tokens(b.encoded()).select(*[F.col(c).cast("string").alias(c) for c in cols])
+    source = encode.event_tokens(b.stored).select(*[F.col(c).cast("string").alias(c) for c in cols])
     sides = source.withColumn("d", F.lit(1)).unionByName(again.withColumn("d", F.lit(-1)))
     per_token = sides.groupBy(*cols).agg(F.sum("d").alias("d"), F.count_if(F.col("d") == 1).alias("n"))
     return per_token.agg(

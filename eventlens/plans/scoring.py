@@ -238,7 +238,7 @@ def partition_sizes(ws: Workspace) -> DataFrame:
 @query()
 def token_vectors(ws: Workspace) -> DataFrame:
     """Record vectors from token sequences, as (entity, variant, dimension)."""
-    vectors = probes.token_vectors(encode.event_tokens(ws.app.encoded()))
+    vectors = probes.token_vectors(encode.event_tokens(ws.app.stored))
     slots = [F.struct(F.lit(v).alias("variant"), F.col(v).alias("x")) for v in ("usr", "last_event", "concat")]
     long = vectors.select("entity_id", F.explode(F.array(*slots)).alias("s"))
     return long.select("entity_id", F.col("s.variant").alias("variant"), F.size("s.x").alias("width"))

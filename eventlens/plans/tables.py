@@ -89,17 +89,13 @@ def registry_problems(ws: Workspace) -> DataFrame:
             "type string, key string, required boolean",
         )
     )
-    problems = F.broadcast(_integrity(policies, aliases, families))
+    problems = R.integrity_issues(policies, aliases, families)
     touched = ws.app.events.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
     return problems.join(touched, "type", "left").select(
         "problem", "type", "key", F.coalesce("n", F.lit(0)).alias("n_events")
     )
 
 
-def _integrity(policies, aliases, families):
-    return R.integrity_issues(policies, aliases, families)
-
-
 @query("SELECT entity_id, event_id, type, field_ord::BIGINT AS field_ord, key, round(num, 6) AS num, txt FROM long_com")
 def event_fields(ws: Workspace) -> DataFrame:
     return validate.fields_long(ws.commerce.history, ws.commerce.registry).drop("created_at")

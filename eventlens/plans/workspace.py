@@ -11,7 +11,7 @@ from eventlens import registry as R
 from eventlens.operators import encode, fit, history, mask, ordered, records
 from eventlens.operators.batch import plan_batches
 from eventlens.operators.bundle import Bundle
-from eventlens.session import utc_session
+from eventlens.session import materialize, utc_session
 from eventlens.sources import tables
 from eventlens.sources.tables import ATTRIBUTES, MILESTONES
 
@@ -52,9 +52,19 @@ class Binding:
         return history.keep_recent(self.history, n, self.heavy)
 
     def encoded(self, bundle: Bundle | None = None) -> DataFrame:
+        """Encoding from the raw tables."""
         bundle = bundle or self.bundle
         return encode.encode_events(self.capped(bundle.config.max_history_events), bundle)
 
+    @cached_property
+    def stored(self) -> DataFrame:
+        """Encoded events written once; masks and batches start from there."""
+        return materialize(self.encoded(), "encoded-events")
+
+    @cached_property
+    def stored_profiles(self) -> DataFrame:
+        return materialize(self.profiles(), "encoded-profiles")
+
     def profiles(self, bundle: Bundle | None = None) -> DataFrame:
         return encode.encode_profile(self.kept_records, bundle or self.bundle)
 
@@ -62,10 +72,10 @@ class Binding:
         return encode.assemble(self.profiles(), self.encoded())
 
     def sizes(self) -> DataFrame:
-        return encode.record_sizes(self.profiles(), self.encoded())
+        return encode.record_sizes(self.stored_profiles, self.stored)
 
-    def masked(self, epoch: int = 0, *keep: str) -> DataFrame:
-        return mask.mask_tokens(self.encoded(), self.bundle, mask.MaskConfig(), epoch, *keep)
+    def masked(self, epoch: int = 0) -> DataFrame:
+        return mask.mask_tokens(self.stored, self.bundle, mask.MaskConfig(), epoch)
 
     @cached_property
     def batches(self) -> DataFrame:

@@ -45,11 +45,6 @@ def resolve_columns(df: DataFrame, registry: R.Registry) -> DataFrame:
     return df.select(*[F.col(name).alias(key) for name, key in found.items()])
 
 
-def text_of_boolean(col: Column) -> Column:
-    """Booleans as categories read ``True`` and ``False``."""
-    return F.when(col, F.lit("True")).when(~col, F.lit("False"))
-
-
 # -- the app binding -----------------------------------------------------------
 
 PROFILE_FIELDS = (
