@@ -273,12 +273,12 @@ def batch_problems(flat: DataFrame) -> DataFrame:
     """Per batch the list of broken rules; an intact batch has an empty list."""
     n_events = F.size("event_to_record")
     n_tokens = F.size("event_key_ids")
+    starts = F.slice("history_offsets", F.lit(1), F.greatest(F.size("history_offsets") - 1, F.lit(0)))
     groups = F.flatten(
         F.transform(
-            F.sequence(F.lit(0), F.size("history_offsets") - 2),
-            lambda i: F.array_repeat(
-                i.cast("bigint"),
-                (F.try_element_at("history_offsets", i + 2) - F.try_element_at("history_offsets", i + 1)).cast("int"),
+            starts,
+            lambda h, i: F.array_repeat(
+                i.cast("bigint"), (F.element_at("history_offsets", i + 2) - h).cast("int")
             ),
         )
     )
@@ -292,8 +292,7 @@ def batch_problems(flat: DataFrame) -> DataFrame:
         "history offsets do not end at the events": F.try_element_at("history_offsets", F.lit(-1)) != n_events,
         "event offsets do not end at the tokens": F.try_element_at("event_offsets", F.lit(-1)) != n_tokens,
         "events are not grouped as the offsets say": (n_events > 0)
-        & ~F.coalesce(_rising("history_offsets"), F.lit(False))
-        | (n_events > 0) & (F.when(_rising("history_offsets"), groups) != F.col("event_to_record")),
+        & (F.when(_rising("history_offsets"), groups) != F.col("event_to_record")),
         "a profile token points past the records":
             F.coalesce(F.array_max("profile_token_to_record"), F.lit(-1)) >= F.col("n_records"),
         "profile tokens are not in record order": ~_rising("profile_token_to_record"),
