@@ -7,7 +7,7 @@ shuffle to the one that capped the history. Long token rows are an ``explode`` a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,21 +79,25 @@ def event_keys(events: DataFrame, bundle: Bundle) -> list[str]:
 
 
 def _flatten(
-    keys: Sequence[str], key_ids: dict[str, int], keep: dict[str, Column]
+    keys: Sequence[str], bundle: Bundle, keep: dict[str, Column]
 ) -> dict[str, Column]:
-    """Concatenate the kept fields into the flat arrays of the row."""
+    """Concatenate the kept fields into the flat arrays of the row. Only text has more than one
+    token a field; the others need no sequences, which keeps the generated code small."""
+    ids = bundle.key_ids
+    many = {k for k in keys if k not in bundle.registry.milestone_keys and bundle.registry.field(k).kind == R.TEXT}
 
-    def joined(part) -> Column:
-        return F.concat(*[F.when(keep[k], part(k)).otherwise(_none()) for k in keys])
+    def joined(one: Callable[[str], Column], several: Callable[[str, Column], Column]) -> Column:
+        parts = [several(k, F.size(f"ids_{k}")) if k in many else one(k) for k in keys]
+        return F.concat(*[F.when(keep[k], p).otherwise(_none()) for k, p in zip(keys, parts)])
 
-    def n(k: str) -> Column:
-        return F.size(f"ids_{k}")
+    def same(k: str) -> Column:
+        return F.col(f"ids_{k}")
 
     return {
-        "key_ids": joined(lambda k: F.array_repeat(F.lit(key_ids[k]), n(k))),
-        "value_ids": joined(lambda k: F.col(f"ids_{k}")),
-        "within_field_pos": joined(lambda k: F.sequence(F.lit(0), n(k) - 1)),
-        "field_lengths": joined(lambda k: F.array(n(k))),
+        "key_ids": joined(lambda k: F.array(F.lit(ids[k])), lambda k, n: F.array_repeat(F.lit(ids[k]), n)),
+        "value_ids": joined(same, lambda k, n: same(k)),
+        "within_field_pos": joined(lambda k: F.array(F.lit(0)), lambda k, n: F.sequence(F.lit(0), n - 1)),
+        "field_lengths": joined(lambda k: F.array(F.lit(1)), lambda k, n: F.array(n)),
     }
 
 
@@ -110,9 +114,10 @@ def encode_events(events: DataFrame, bundle: Bundle) -> DataFrame:
     keep: dict[str, Column] = {}
     for k in keys:
         there = F.col(f"ids_{k}").isNotNull()
-        running = running + F.when(there, F.size(f"ids_{k}")).otherwise(0)
+        size = F.size(f"ids_{k}") if bundle.registry.field(k).kind == R.TEXT else F.lit(1)
+        running = running + F.when(there, size).otherwise(0)
         keep[k] = there & (running <= cap)
-    flat = _flatten(keys, bundle.key_ids, keep)
+    flat = _flatten(keys, bundle, keep)
     clock = calendar(F.col("created_at"))
     return df.select(
         "entity_id", "event_id", "created_at", "event_ord",
@@ -151,7 +156,7 @@ def encode_profile(records: DataFrame, bundle: Bundle) -> DataFrame:
             F.when(keep[k], F.array_repeat(coord, F.size(f"ids_{k}")))
             .otherwise(F.array().cast("array<double>"))
         )
-    flat = _flatten(keys, bundle.key_ids, keep)
+    flat = _flatten(keys, bundle, keep)
     return df.select(
         "entity_id", "split", "evaluation_time", "n_events",
         *[c.alias(f"profile_{name}") for name, c in flat.items()],

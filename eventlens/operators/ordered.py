@@ -12,12 +12,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eventlens.functions.buckets import bucket_index
+from eventlens.session import materialize
+
 ROWS_PER_TASK = 2_000_000
 # Bounds of what is kept on the driver and broadcast: heavy groups and slices.
 MAX_HEAVY = 10_000
@@ -217,33 +219,37 @@ def quantiles_of_counts(
         cum = cum.join(totals, by)
     else:
         cum = cum.withColumn("n_all", F.lit(totals.first()["n_all"]).cast("bigint"))
-    # Few rows cover a wanted rank, so they are picked out by plain comparisons first.
+    # Few rows cover a wanted rank. The first fraction above the row's share of the ranks (one
+    # rank wider on each side) picks them out, and only they are compared with the ranks.
     first = F.col("upto") - F.col("n")
-    spots = [F.lit(float(f)) * (F.col("n_all") - 1) for f in fractions]
-    covers = [(F.floor(s) + 1 >= first) & (F.floor(s) < F.col("upto")) for s in spots]
-    near = cum.where(reduce(lambda x, y: x | y, covers))
-    wanted = []
-    for i, (fraction, spot) in enumerate(zip(fractions, spots)):
-        low = F.floor(spot)
-        high = F.least(low + 1, F.col("n_all") - 1)
-        for side, at in (("low", low), ("high", high)):
-            wanted.append(
-                F.when(
-                    (first <= at) & (at < F.col("upto")),
-                    F.struct(
-                        F.lit(i).alias("idx"),
-                        F.lit(float(fraction)).alias("fraction"),
-                        F.lit(side).alias("side"),
-                        (spot - low).alias("t"),
-                    ),
-                )
-            )
-    hits = near.select(*by, F.col(value).alias("v"), F.explode(F.array(*wanted)).alias("w")).where(
-        "w is not null"
+    steps = F.greatest(F.col("n_all") - 1, F.lit(1))
+    marks = sorted(float(f) for f in fractions)
+    following = F.element_at(
+        F.array(*[F.lit(m) for m in [*marks, math.inf]]), bucket_index((first - 2) / steps, marks) + 1
+    )
+    near = cum.where(following <= (F.col("upto") + 1) / steps)
+    spots = F.transform(
+        F.array(*[F.lit(float(f)) for f in fractions]),
+        lambda f, i: F.struct(i.alias("idx"), f.alias("fraction"), (f * (F.col("n_all") - 1)).alias("spot")),
+    )
+    ends_of = F.transform(
+        spots,
+        lambda s: F.struct(
+            s["idx"].alias("idx"),
+            s["fraction"].alias("fraction"),
+            F.floor(s["spot"]).alias("low"),
+            F.least(F.floor(s["spot"]) + 1, F.col("n_all") - 1).alias("high"),
+            (s["spot"] - F.floor(s["spot"])).alias("t"),
+        ),
+    )
+    rows = near.select(
+        *by, F.col(value).alias("v"), first.alias("first"), "upto", F.explode(ends_of).alias("w")
     )
-    ends = hits.groupBy(*by, "w.idx", "w.fraction").agg(
-        F.max(F.when(F.col("w.side") == "low", F.col("v"))).alias("low"),
-        F.max(F.when(F.col("w.side") == "high", F.col("v"))).alias("high"),
+    at_low = (F.col("first") <= F.col("w.low")) & (F.col("w.low") < F.col("upto"))
+    at_high = (F.col("first") <= F.col("w.high")) & (F.col("w.high") < F.col("upto"))
+    ends = rows.where(at_low | at_high).groupBy(*by, "w.idx", "w.fraction").agg(
+        F.max(F.when(at_low, F.col("v"))).alias("low"),
+        F.max(F.when(at_high, F.col("v"))).alias("high"),
         F.max("w.t").alias("t"),
     )
     return ends.select(*by, "idx", "fraction", lerp(F.col("low"), F.col("high"), F.col("t")).alias("quantile"))
@@ -258,7 +264,9 @@ def lerp(low: Column, high: Column, t: Column) -> Column:
 def quantiles(
     df: DataFrame, by: Sequence[str], value: str, fractions: Sequence[float], **kw
 ) -> DataFrame:
-    return quantiles_of_counts(value_counts(df, by, value), by, value, fractions, **kw)
+    """Exact quantiles of a column. The counts are written once, as three steps read them."""
+    counts = materialize(value_counts(df, by, value), "value-counts")
+    return quantiles_of_counts(counts, by, value, fractions, **kw)
 
 
 def value_at_ranks(

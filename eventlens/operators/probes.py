@@ -24,8 +24,11 @@ def rank_auc(scored: DataFrame, score: str, label: str, by: Sequence[str] = ())
     ties counting half, from running counts over distinct scores. Null with one class only."""
     by = list(by)
     target = F.col(label).cast("boolean")
-    counts = scored.groupBy(*by, score).agg(
-        F.count_if(target).alias("pos"), F.count_if(~target).alias("neg")
+    counts = materialize(
+        scored.groupBy(*by, score).agg(
+            F.count_if(target).alias("pos"), F.count_if(~target).alias("neg")
+        ),
+        "score-counts",
     )
     cum = running_totals(counts, by, [score], {"neg_upto": F.col("neg")})
     twice = F.col("pos").cast(SAME_TOTAL) * (2 * F.col("neg_upto") - F.col("neg"))

@@ -16,7 +16,7 @@ from eventlens.operators.validate import fields_long
 from eventlens.plans.catalog import query
 from eventlens.plans.reference_sql import secs_sql, softlog_sql, split_sql
 from eventlens.plans.workspace import Binding, Workspace
-from eventlens.session import new_path
+from eventlens.session import materialize, new_path
 from eventlens.sources import bundles, shards
 
 TRAIN = split_sql("entity_id") + " = 'train'"
@@ -55,7 +55,8 @@ def values_per_key(ws: Workspace) -> DataFrame:
 
 @query("SELECT key, idx, round(bound, 6) AS bound FROM bounds_com")
 def numeric_boundaries(ws: Workspace) -> DataFrame:
-    return fit.numeric_bounds(fit.distinct_values(_train_values(ws.commerce)), 16)
+    counts = materialize(fit.distinct_values(_train_values(ws.commerce)), "distinct-values")
+    return fit.numeric_bounds(counts, 16)
 
 
 @query(f"""SELECT key, count(v) AS n_values, count(*) FILTER (WHERE v = 0) AS n_zeros,
@@ -69,7 +70,8 @@ def numeric_audit(ws: Workspace) -> DataFrame:
 @query("SELECT key, value, value_id::BIGINT AS value_id FROM cats_com")
 def category_vocabulary(ws: Workspace) -> DataFrame:
     base = N_SPECIAL + len(ws.commerce.registry.token_keys()) + 17
-    return fit.category_vocabulary(fit.distinct_values(_train_values(ws.commerce)), ws.commerce.registry, base)
+    counts = materialize(fit.distinct_values(_train_values(ws.commerce)), "distinct-values")
+    return fit.category_vocabulary(counts, ws.commerce.registry, base)
 
 
 @query(f"""SELECT key, value, (6 + 9 + 17 + row_number() OVER (ORDER BY ord, value))::BIGINT AS value_id FROM (
@@ -317,8 +319,6 @@ def flattened_records(ws: Workspace) -> DataFrame:
 
 @query("SELECT count(*) AS n_records, 0::BIGINT AS n_differ FROM rec_app WHERE n_events > 0")
 def record_json_round_trip(ws: Workspace) -> DataFrame:
-    from eventlens.session import materialize
-
     before = materialize(ws.app.shards(), "records")
     after = shards.from_json(shards.to_json(before))
     differ = before.exceptAll(after).unionByName(after.exceptAll(before))

@@ -69,7 +69,7 @@ def main(argv: list[str]) -> int:
     sf = argv[0] if argv else "0.01"
     folder = f"/root/testdata/sf{sf}"
     spark = (
-        SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
+        SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", os.environ.get("COMPARE_PARTITIONS", "8"))
         .config("spark.driver.memory", "12g").config("spark.ui.enabled", "false").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
