@@ -373,8 +373,8 @@ def padding_waste(lengths: DataFrame, by: Sequence[str], length: str, *, heads:
     )
     return out.withColumns(
         {
-            "linear_ratio": F.col("padded_elements") / F.col("packed_elements"),
-            "square_ratio": F.col("padded_squares") / F.col("packed_squares"),
+            "linear_ratio": F.try_divide("padded_elements", "packed_elements"),
+            "square_ratio": F.try_divide("padded_squares", "packed_squares"),
         }
     )
 

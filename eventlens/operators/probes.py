@@ -17,6 +17,8 @@ from eventlens.session import materialize
 
 RESULT = "name string, auc double, n_train bigint, n_val bigint"
 SAME_TOTAL = "decimal(38,0)"
+MAX_ONE_HOT = 100_000
+RECORDS_PER_TRAINER = 50_000
 
 
 def rank_auc(scored: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
@@ -101,7 +103,13 @@ def fill_categories(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def fit_categories(train: DataFrame, columns: Sequence[str]) -> PipelineModel:
-    return Pipeline(stages=category_encoder(columns)).fit(fill_categories(train, columns))
+    """The indexer keeps its values on the driver, so their number is checked first."""
+    filled = fill_categories(train, columns)
+    sizes = filled.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    for c in columns:
+        if sizes[c] > MAX_ONE_HOT:
+            raise ValueError(f"column '{c}' has about {sizes[c]} values, too many for one-hot encoding")
+    return Pipeline(stages=category_encoder(columns)).fit(filled)
 
 
 def hot_slots(df: DataFrame, model: PipelineModel, columns: Sequence[str]) -> DataFrame:
@@ -228,12 +236,13 @@ def last_event_vectors(records: DataFrame, events: DataFrame, vector: Column, wi
     return records.join(last, "entity_id", "left").withColumn("last_event", F.coalesce("last_event", zeros))
 
 
-def token_vectors(tokens: DataFrame, size: int = 16, seed: int = 0, partitions: int = 1) -> DataFrame:
+def token_vectors(tokens: DataFrame, size: int = 16, seed: int = 0) -> DataFrame:
     """``(entity_id, usr, last_event, concat)`` from token sequences: word vectors over
     ``key:value`` words, averaged over the record and over its last event.
 
     A distributed stand-in with the shape of record embeddings, so that probes have vectors
-    to work on. Histories are capped, so a word list is bounded.
+    to work on. Histories are capped, so a word list is bounded; the number of training parts
+    follows the number of records.
     """
     word = F.concat_ws(":", F.col("key_id").cast("string"), F.col("value_id").cast("string"))
     lists = tokens.groupBy("entity_id").agg(
@@ -248,7 +257,7 @@ def token_vectors(tokens: DataFrame, size: int = 16, seed: int = 0, partitions:
     )
     model = Word2Vec(
         vectorSize=size, minCount=1, seed=seed, inputCol="all_words", outputCol="usr_v",
-        numPartitions=partitions, maxIter=1,
+        numPartitions=1 + rows.count() // RECORDS_PER_TRAINER, maxIter=1,
     ).fit(rows)
     both = model.transform(rows)
     both = model.setInputCol("last_words").setOutputCol("last_v").transform(both)

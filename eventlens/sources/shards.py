@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.functions.buckets import LENGTH_EDGES, length_label
@@ -24,7 +24,7 @@ MANIFEST_SCHEMA = (
 )
 
 
-def _shard_counts(shards: DataFrame) -> list:
+def _shard_counts() -> list:
     tokens = F.size("profile_value_ids") + F.aggregate(
         "event_value_ids", F.lit(0), lambda a, ids: a + F.size(ids)
     )
@@ -38,7 +38,7 @@ def _shard_counts(shards: DataFrame) -> list:
 def shard_totals(shards: DataFrame, edges=LENGTH_EDGES) -> DataFrame:
     """Records, events and tokens per (split, length bucket)."""
     bucketed = shards.withColumn("length_bucket", length_label(F.col("n_events_kept"), edges))
-    return bucketed.groupBy("split", "length_bucket").agg(*_shard_counts(shards))
+    return bucketed.groupBy("split", "length_bucket").agg(*_shard_counts())
 
 
 def write_shards(
@@ -70,7 +70,7 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SHARD_SCHEMA).parquet(f"{path}/records")
 
 
-def _relative(col, path: str):
+def _relative(col: Column) -> Column:
     return F.substring_index(col, "/records/", -1)
 
 
@@ -80,7 +80,7 @@ def file_hashes(spark: SparkSession, path: str, split: str | None = None) -> Dat
         spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
         .option("recursiveFileLookup", "true").load(f"{path}/records")
     )
-    out = files.select(_relative(F.col("path"), path).alias("path"), F.sha2("content", 256).alias("sha256"))
+    out = files.select(_relative(F.col("path")).alias("path"), F.sha2("content", 256).alias("sha256"))
     return out if split is None else out.where(F.col("path").startswith(f"split={split}/"))
 
 
@@ -88,9 +88,9 @@ def build_manifest(spark: SparkSession, path: str, fingerprint: str | None) -> D
     shards = _files(spark, path)
     values = [F.col(n) for n in SHARD_TYPES]
     per_file = (
-        shards.withColumn("path", _relative(F.col("_metadata.file_path"), path))
+        shards.withColumn("path", _relative(F.col("_metadata.file_path")))
         .groupBy("path", "split", "length_bucket")
-        .agg(*_shard_counts(shards), F.bit_xor(F.xxhash64(*values)).alias("content_hash"))
+        .agg(*_shard_counts(), F.bit_xor(F.xxhash64(*values)).alias("content_hash"))
     )
     return per_file.join(file_hashes(spark, path), "path").select(
         F.lit(SCHEMA_VERSION).alias("schema_version"),

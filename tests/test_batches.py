@@ -210,3 +210,27 @@ def test_report_order(spark):
     assert [r["name"] for r in out] == ["lora_finetuned", "probe_a", "baseline_b", "probe_n"]
     assert [r["kind"] for r in out] == ["lora", "probe", "baseline", "probe"]
     assert out[2]["checkpoint"] == "n/a (baseline)" and out[3]["auc"] is None
+
+
+# -- heavy customers through the whole pipeline ---------------------------------------------
+
+
+def test_heavy_customers_give_the_same_tokens(spark, app):
+    from eventlens.operators import ordered
+    from eventlens.plans.workspace import Workspace
+
+    other = Workspace(spark, FOLDER).app
+    other.heavy = ordered.heavy_groups(other.events, ["entity_id"], 60)
+    assert other.heavy
+    other.bundle = app.bundle
+    a, b = app.encoded(), other.encoded()
+    assert a.exceptAll(b).count() == 0 and a.count() == b.count()
+
+
+def test_large_vocabularies_are_joined_by_shuffle(spark, app, monkeypatch):
+    from eventlens.operators import encode, skew
+
+    plain = app.encoded()
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(encode, "BROADCAST_ROWS", 0)
+    assert plain.exceptAll(app.encoded()).count() == 0
