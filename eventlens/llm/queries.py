@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlens.llm import decontaminate, line_dedup, sharding
+from eventlens.llm import (
+    decontaminate, line_dedup, near_dedup, packing, quality_model, repeats, rules, sharding, token_counts, training_order,
+)
 from eventlens.llm.common import read
 
 N_SHARDS = 24
+PREDICT_AT = 0.3
+VOCABULARIES = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 
 
 def op1_mixture_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +32,44 @@ def op1_mixture_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as fixed-stride token records in the order of training."""
+    return training_order.in_training_order(read(spark, sf_dir, "documents"), f"{VOCABULARIES}/byte_bpe_50k.tiktoken")
+
+
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of 50-byte strings that also start in an earlier document."""
+    cut = repeats.without_repeats(read(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+def op4_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token count of every document."""
+    return token_counts.counted(read(spark, sf_dir, "documents"), f"{VOCABULARIES}/piece_bpe_32k.model")
+
+
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document over links of similar two-word shingle sets."""
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), words=2)
+
+
+def op6_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated quality score of every document, learned outside fold 0."""
+    docs = read(spark, sf_dir, "documents")
+    model = quality_model.fit(docs, read(spark, sf_dir, "labels"))
+    return quality_model.scored(docs, model).select(
+        "doc_id", (quality_model.fold(F.col("doc_id")) == 0).alias("held_out"), "score",
+        (F.col("score") >= PREDICT_AT).cast("int").alias("predicted"),
+    )
+
+
+def op7_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every document's pieces in sequences of 4096 tokens."""
+    return packing.pack(read(spark, sf_dir, "documents"), f"{VOCABULARIES}/word_bpe_49k.json")
+
+
 def op8_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines that stand in ten documents or more."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -54,12 +97,25 @@ from marked group by doc_id
 """
 
 
+def op9_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule measures of every document and the verdict of the certified cutoffs of its language."""
+    verdicts = rules.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return verdicts.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.array_join("failed_rules", ",").alias("failed_rules"),
+    )
+
+
 def op10_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of document and benchmark item whose template and slots fit."""
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixture_shards, op8_repeated_lines, op10_benchmark_templates)
+    f.__name__: f
+    for f in (
+        op1_mixture_shards, op2_training_order, op3_repeated_passages, op4_unigram_counts, op5_near_duplicates, op6_quality_scores, op7_pattern_packing,
+        op8_repeated_lines, op9_controlled_rules, op10_benchmark_templates,
+    )
 }
 SQL: dict[str, str] = {"op8_repeated_lines": OP8_SQL}
