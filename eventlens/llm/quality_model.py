@@ -26,7 +26,6 @@ N_FOURIER = 256
 RIDGE = 1e-4
 CLIP = 4.0
 FOLDS = 5
-CALIBRATION_BINS = 200
 SEED = 11
 
 
@@ -77,16 +76,19 @@ def fourier(x: np.ndarray, mean: np.ndarray, scale: np.ndarray, directions: np.n
 
 
 def isotonic(raw: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Non-decreasing step values at the means of equal-count bins of the raw score."""
-    order = np.argsort(raw, kind="stable")
-    pools: list[list[float]] = []
-    for part in np.array_split(order, min(CALIBRATION_BINS, max(1, len(order) // 20))):
-        pools.append([float(raw[part].sum()), float(label[part].sum()), float(len(part))])
-        while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
-            last = pools.pop()
-            pools[-1] = [a + b for a, b in zip(pools[-1], last)]
-    knots = np.array([p[0] / p[2] for p in pools])
-    return knots, np.array([(p[1] + 0.5) / (p[2] + 1.0) for p in pools])
+    """Pool adjacent violators: knots at both ends of every pool, with the pool's share of label 1
+    (half a row of each label added). Equal raw scores start in one pool."""
+    points, place = np.unique(raw, return_inverse=True)
+    ones, rows = np.bincount(place, weights=label), np.bincount(place)
+    pools: list[tuple[float, float, float, float]] = []  # first and last raw score, ones, rows
+    for x, y, n in zip(points.tolist(), ones.tolist(), rows.tolist()):
+        pools.append((x, x, y, n))
+        while len(pools) > 1 and pools[-2][2] * pools[-1][3] >= pools[-1][2] * pools[-2][3]:
+            (a, _, y1, n1), (_, d, y2, n2) = pools[-2:]
+            pools[-2:] = [(a, d, y1 + y2, n1 + n2)]
+    knots = np.array([x for a, b, _, _ in pools for x in (a, b)])
+    values = np.array([(y + 0.5) / (n + 1.0) for _, _, y, n in pools for _ in range(2)])
+    return knots, np.maximum.accumulate(values)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
@@ -154,16 +156,21 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return Model(mean, scale, directions, phases, weights, knots, values, model.prior)
 
 
-def scored(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, score`` of every row. A null text is scored as an empty one; repeated rows each get their
-    score, equal texts equal scores. Ids, sources and languages play no part. Extra columns are ignored."""
-    raw = F.col(f"`{text_col}`").cast("string").cast("binary").alias("raw")
-    slim = docs.select(F.col(f"`{id_col}`").alias("id"), raw)
+def scored(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
+    """Every row with its ``score`` (an input column of that name is replaced).
+
+    A null text is scored as an empty one; equal texts have equal scores. Only the text plays a part.
+    """
+    kept = docs.drop("score")
+    names = [f"c{i}" for i in range(len(kept.columns))]
+    plain = kept.toDF(*names)
+    text = F.coalesce(F.col(f"c{kept.columns.index(text_col)}").cast("string"), F.lit(""))
+    carried = plain.withColumn("raw", text.cast("binary"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = pa.array(model.score(statistics(counts_table(batch.column("raw")))))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), scores], ["id", "score"])
+            scores = pa.array(model.score(statistics(counts_table(batch.column(batch.num_columns - 1)))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], [*names, "score"])
 
-    kind = slim.schema["id"].dataType.simpleString()
-    return slim.mapInArrow(score, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields)
+    return carried.mapInArrow(score, f"{fields}, score double").toDF(*kept.columns, "score")

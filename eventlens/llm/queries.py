@@ -59,7 +59,7 @@ def op6_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calibrated quality score of every document, learned outside fold 0."""
     docs = read(spark, sf_dir, "documents")
     model = quality_model.fit(docs, read(spark, sf_dir, "labels"))
-    return quality_model.scored(docs, model).select(
+    return quality_model.scored(docs.select("doc_id", "text"), model).select(
         "doc_id", (quality_model.fold(F.col("doc_id")) == 0).alias("held_out"), "score",
         (F.col("score") >= PREDICT_AT).cast("int").alias("predicted"),
     )
