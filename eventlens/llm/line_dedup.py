@@ -94,14 +94,14 @@ def without_lines(
     taken = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
     text = F.col(f"`{text_col}`").cast("string")
     bitmaps = drop_bitmaps(docs, id_col=id_col, text_col=text_col, min_docs=min_docs, keep_first=keep_first)
-    bitmaps = bitmaps.withColumnRenamed("__id", "__bid").withColumnRenamed("__fp", "__bfp")
+    bitmaps = bitmaps.select(F.col("__id").alias("__bid"), F.col("__fp").alias("__bfp"), F.col("words").alias("__words"))
     base = docs.select(*[F.col(f"`{c}`") for c in taken], F.xxhash64(text).alias("__fp"))
     joined = base.join(
         bitmaps, F.col(f"`{id_col}`").eqNullSafe(F.col("__bid")) & (F.col("__fp") == F.col("__bfp")), "left"
     )
     n_words = F.expr("cast((size(__lines) - 1) div 64 as int)")
     dense = F.transform(
-        F.sequence(F.lit(0), n_words), lambda w: F.coalesce(F.try_element_at(F.map_from_entries("words"), w), F.lit(0).cast("bigint"))
+        F.sequence(F.lit(0), n_words), lambda w: F.coalesce(F.try_element_at(F.map_from_entries("__words"), w), F.lit(0).cast("bigint"))
     )
     kept = F.filter(
         "__lines",
@@ -110,8 +110,8 @@ def without_lines(
     )
     return (
         joined.withColumn("__lines", lines_of(text))
-        .withColumn("__dense", F.when(F.col("words").isNotNull(), dense))
-        .withColumn("__kept", F.when(F.col("words").isNull(), F.col("__lines")).otherwise(kept))
+        .withColumn("__dense", F.when(F.col("__words").isNotNull(), dense))
+        .withColumn("__kept", F.when(F.col("__words").isNull(), F.col("__lines")).otherwise(kept))
         .select(
             *[F.col(f"`{c}`") for c in taken],
             F.array_join("__kept", "\n").alias("kept_text"),
