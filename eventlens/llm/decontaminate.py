@@ -1,7 +1,7 @@
 """Benchmark items in documents, found by templates. Spark functions only.
 
-Every word is replaced by its type where it can be re-parameterised: numbers, units after a
-number, and names (capitalised inside a sentence). Windows of ``WINDOW`` canonical words of the
+Every word that can be re-parameterised is marked as a slot of its type: numbers, units after a
+number, and names (capitalised inside a sentence). Only the type counts in a window. Windows of ``WINDOW`` canonical words of the
 benchmark are hash-joined with the same windows of all documents. A hit means that the template
 fits; the slots are then compared: in one document and item every benchmark value must stand for
 one document value throughout and the other way round. Equal values are a verbatim copy, a
@@ -31,53 +31,44 @@ UNITS = (
     "months", "year", "years", "cent", "cents", "dollar", "dollars", "euro", "euros", "meter", "meters", "metre",
     "metres", "degree", "degrees", "kmh", "mph", "hz", "khz", "mhz", "gb", "mb", "kb", "w", "kw", "v",
 )
-NUMBER = r"^[-+$€£]?[0-9][0-9.,:/]*$"
-# Marks that are no part of a word at its ends.
-MARKS = " .,;:!?\"'`()[]{}<>*#&|~_=/\\^@“”‘’„«»¿¡…–—•"
-STOPS = r"[.!?:]$"
+# A slot is marked by a character before its value: number, unit, name.
+SLOT_MARKS = {"n": "\x01", "u": "\x02", "p": "\x03"}
+AMOUNT = r"(?<![\p{L}\p{N}.,])([-+$€£]?[0-9](?:[0-9.,:/]*[0-9])?)"
+NAME = r"(?<=[\p{L}\p{N},;]\s)(\p{Lu}\p{Ll}+)"
+# Between words: anything but letters and digits; marks inside a number belong to it.
+GAP = r"[^\p{L}\p{M}\p{N}\x01-\x03.,:/]+|[.,:/]+(?![0-9])|(?<![0-9])[.,:/]+"
 
 
-def raw_words(text: Column) -> Column:
-    """Words between white space."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\s\u0085 ]+", -1), lambda w: w != "")
+def canonical_words(text: Column) -> Column:
+    """Lower-case words; the words of a slot begin with its mark."""
+    number, unit, name = (SLOT_MARKS[k] for k in "nup")
+    units = "|".join(UNITS)
+    clean = F.translate(text, number + unit + name, "   ")
+    with_units = F.regexp_replace(clean, AMOUNT + rf"\s?({units})(?![\p{{L}}\p{{N}}])", f" {number}$1 {unit}$2 ")
+    numbers = F.regexp_replace(with_units, AMOUNT, f" {number}$1")
+    marked = F.when(text.rlike("[0-9]"), numbers).otherwise(text)
+    marked = F.when(text.rlike("[\x01-\x03]") & ~text.rlike("[0-9]"), clean).otherwise(marked)
+    return F.array_remove(F.split(F.lower(F.regexp_replace(marked, NAME, f"{name}$1")), GAP, -1), "")
 
 
-def _typed(raw: Column) -> Column:
-    """Per raw word its bare form and its type: '' (literal), 'n', 'u' or 'p'."""
-
-    def one(before: Column, word: Column) -> Column:
-        bare = F.btrim(word, F.lit(MARKS))
-        low = F.lower(bare)
-        rest = F.substring(bare, 2, 1)
-        capital = (F.substring(bare, 1, 1) != F.substring(low, 1, 1)) & (rest == F.lower(rest))
-        kind = (
-            F.when(bare.rlike(NUMBER), "n")
-            .when(low.isin(*UNITS) & F.btrim(before, F.lit(MARKS)).rlike(NUMBER), "u")
-            .when(capital & (before != "") & ~before.rlike(STOPS), "p")
-            .otherwise("")
-        )
-        return F.struct(low.alias("w"), kind.alias("t"))
-
-    before = F.concat(F.array(F.lit("")), raw)
-    pairs = F.zip_with(before, raw, lambda b, w: F.when(w.isNotNull(), one(b, w)))
-    return F.filter(pairs, lambda x: x["w"].isNotNull() & (x["w"] != ""))
+def _is_slot(word: Column) -> Column:
+    return word < "\x04"
 
 
 def canonical(df: DataFrame, text: Column, *keys: str) -> DataFrame:
-    """Rows ``*keys, words`` with ``words`` an array of (w, t); marks without letter or digit go."""
-    return once(df.select(*keys, text.alias("__text")), "words", _typed(raw_words(F.col("__text")))).drop("__text")
+    """Rows ``*keys, words``."""
+    return once(df.select(*keys, text.alias("__text")), "words", canonical_words(F.col("__text"))).drop("__text")
 
 
 def _pairwise(a: Column, step: int) -> Column:
     """Hash of each value with the one ``step`` later."""
     later = F.slice(a, step + 1, F.greatest(F.size(a) - step, F.lit(0)))
-    pairs = F.zip_with(a, later, lambda x, y: F.when(y.isNotNull(), F.xxhash64(x, y)))
-    return F.slice(pairs, 1, F.greatest(F.size(a) - step, F.lit(0)))
+    return F.zip_with(F.slice(a, 1, F.greatest(F.size(a) - step, F.lit(0))), later, lambda x, y: F.xxhash64(x, y))
 
 
 def window_hashes(words: DataFrame) -> DataFrame:
     """Add ``hashes``: one per window of ``WINDOW`` canonical words, in order."""
-    unit = F.transform("words", lambda x: F.when(x["t"] == "", F.xxhash64(x["w"])).otherwise(F.xxhash64(F.lit(3), x["t"])))
+    unit = F.transform("words", lambda w: F.xxhash64(F.when(_is_slot(w), F.substring(w, 1, 1)).otherwise(w)))
     step, rows = 1, once(words, "__a1", unit)
     while step < WINDOW:
         rows = once(rows, f"__a{2 * step}", _pairwise(F.col(f"__a{step}"), step)).drop(f"__a{step}")
@@ -85,14 +76,11 @@ def window_hashes(words: DataFrame) -> DataFrame:
     return rows.withColumnRenamed(f"__a{step}", "hashes")
 
 
-def _windows_at(words: DataFrame, places: Column) -> DataFrame:
-    """Explode ``places`` (array of (pos, h)) and add ``window``, the words from ``pos`` on."""
-    cut = F.transform(places, lambda x: F.struct(
-        x["pos"].alias("pos"), x["h"].alias("h"), F.slice("words", x["pos"] + 1, WINDOW).alias("window")
-    ))
-    return once(words, "__cut", cut).select(
-        *[c for c in words.columns if c not in ("words", "hashes", "places")], F.explode("__cut").alias("x")
-    ).select("*", "x.pos", "x.h", "x.window").drop("x")
+def _windows(hashed: DataFrame) -> DataFrame:
+    """Explode ``hashes`` into ``pos, h, window`` (the words of the window)."""
+    cut = F.transform("hashes", lambda h, i: F.struct(i.alias("pos"), h.alias("h"), F.slice("words", i + 1, WINDOW).alias("window")))
+    keys = [c for c in hashed.columns if c not in ("words", "hashes")]
+    return once(hashed, "__cut", cut).select(*keys, F.explode("__cut").alias("x")).select(*keys, "x.pos", "x.h", "x.window")
 
 
 def contaminated(
@@ -114,11 +102,10 @@ def contaminated(
     once; rows that share an id are one document. Extra columns are ignored.
     """
     item_rows = benchmark.select(F.col(f"`{item_col}`").alias("item_id"), F.col(f"`{item_text_col}`").cast("string").alias("t"))
-    items = window_hashes(canonical(item_rows.where(F.col("item_id").isNotNull()), F.col("t"), "item_id"))
-    all_places = F.transform("hashes", lambda h, i: F.struct(i.alias("pos"), h.alias("h")))
-    literals = F.size(F.filter("window", lambda x: x["t"] == ""))
+    items = window_hashes(canonical(item_rows.where(F.col("item_id").isNotNull()), F.coalesce("t", F.lit("")), "item_id"))
+    literals = F.size(F.filter("window", lambda w: ~_is_slot(w)))
     side = materialize(
-        _windows_at(items, all_places).where(literals >= MIN_LITERALS)
+        _windows(items).where(literals >= MIN_LITERALS)
         .select("item_id", F.col("pos").alias("ipos"), "h", F.col("window").alias("iwords"))
         .dropDuplicates(["item_id", "ipos", "h"]),
         "template-windows",
@@ -129,30 +116,24 @@ def contaminated(
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("t"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("t").isNotNull())
     # Only hashes meet the windows of the corpus; the texts of the few documents hit are read again.
-    windows = window_hashes(canonical(rows, F.col("t"), "doc_id")).select("doc_id", F.posexplode("hashes").alias("pos", "h"))
-    hits = windows.join(F.broadcast(keys) if small else keys, "h", "left_semi")
-    places = materialize(
-        hits.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "h")).alias("places")), "template-hits"
-    )
-    again = canonical(rows.join(places, "doc_id"), F.col("t"), "doc_id", "places")
-    met = _windows_at(again, F.col("places")).select(
+    windows = window_hashes(canonical(rows, F.col("t"), "doc_id")).select("doc_id", F.explode("hashes").alias("h"))
+    found = windows.join(F.broadcast(keys) if small else keys, "h", "left_semi").select("doc_id").distinct()
+    # the documents hit grow with the corpus: never broadcast
+    few = materialize(found, "template-hits").hint("merge")
+    hit = materialize(rows.join(few, "doc_id", "left_semi"), "template-texts")
+    met = _windows(window_hashes(canonical(hit, F.col("t"), "doc_id"))).select(
         "doc_id", F.col("pos").alias("dpos"), "h", F.col("window").alias("dwords")
     ).join(side, "h")
     # the hash is confirmed on the words themselves
-    shape = lambda c: F.transform(c, lambda x: F.when(x["t"] == "", x["w"]).otherwise(x["t"]))
+    shape = lambda c: F.transform(c, lambda w: F.when(_is_slot(w), F.substring(w, 1, 1)).otherwise(w))
     same = met.where(shape(F.col("dwords")) == shape(F.col("iwords")))
-    slots = F.filter(
-        F.zip_with("iwords", "dwords", lambda a, b: F.struct(a["t"].alias("t"), a["w"].alias("a"), b["w"].alias("b"))),
-        lambda x: x["t"] != "",
-    )
+    slots = F.filter(F.zip_with("iwords", "dwords", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: _is_slot(x["a"]))
     # one alignment of item and document at a time: a document may hold an item twice, differently filled
     aligned = same.groupBy("doc_id", "item_id", (F.col("dpos") - F.col("ipos")).alias("shift")).agg(
         F.collect_set("ipos").alias("places"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots")
     )
     distinct = lambda f: F.size(F.array_distinct(F.transform("slots", f)))
-    consistent = (F.size("slots") == distinct(lambda x: F.struct(x["t"], x["a"]))) & (
-        F.size("slots") == distinct(lambda x: F.struct(x["t"], x["b"]))
-    )
+    consistent = (F.size("slots") == distinct(lambda x: x["a"])) & (F.size("slots") == distinct(lambda x: x["b"]))
     per_pair = aligned.where(consistent).groupBy("doc_id", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("bigint").alias("n_windows"),
         F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"),
