@@ -7,18 +7,20 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventlens.functions.hashing import digest, uniform
+from eventlens.functions.hashing import digest
 from eventlens.functions.temporal import CALENDAR
 from eventlens.operators.mask import NO_LABEL
-from eventlens.operators.ordered import part_of, running_totals, value_at_ranks
-from eventlens.operators.skew import broadcast_if_small
+from eventlens.operators.ordered import part_of, ranks, running_totals, value_at_ranks
 from eventlens.session import materialize
 
-RECORDS_PER_GROUP = 50_000
+RECORDS_PER_RUN = 200_000
+FAN = 64
+MAPS = "id bigint, leaves array<bigint>, counts array<bigint>"
 
 
 @dataclass(frozen=True)
@@ -65,60 +67,121 @@ def shuffled(sizes: DataFrame, budget: Budget, epoch: int) -> DataFrame:
     )
 
 
+def _next_starts(tokens: np.ndarray, events: np.ndarray, budget: Budget) -> np.ndarray:
+    """For a batch that starts at a record, where the next one starts: prefix sums and a search
+    per budget; the nearest of the three limits decides, and a batch has one record at least."""
+    at = np.arange(len(tokens))
+    end = np.minimum(at + budget.max_records, len(tokens))
+    for values, limit in ((tokens, budget.max_event_tokens), (events, budget.max_events)):
+        total = np.concatenate(([0], np.cumsum(values)))
+        end = np.minimum(end, np.searchsorted(total, total[:-1] + limit, side="right") - 1)
+    return np.maximum(end, at + 1)
+
+
+def _through(starts: np.ndarray, length: int, entries: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every place a run's first batch may start at: where the first batch after the run starts
+    (counted from the run's end) and how many batches start inside."""
+    leaves, count = np.arange(max(length, entries)) - length, np.zeros(max(length, entries), dtype=np.int64)
+    for i in range(length - 1, -1, -1):
+        nxt = starts[i]
+        leaves[i], count[i] = (nxt - length, 1) if nxt >= length else (leaves[nxt], count[nxt] + 1)
+    return leaves[:entries], count[:entries]
+
+
+def _entered(runs: DataFrame, n_runs: int, entries: int) -> DataFrame:
+    """``(id, entry, first)``: where the first batch of each run starts and its number.
+
+    ``runs`` holds ``(id, leaves, counts)`` as maps from entry to exit. Maps are put together
+    ``FAN`` at a time until few are left, and the entries then handed down the same levels, so the
+    chain of batches through all runs is never one task.
+    """
+    def composed(group: pd.DataFrame) -> pd.DataFrame:
+        place, total = np.arange(entries), np.zeros(entries, dtype=np.int64)
+        for row in group.sort_values("id").itertuples():
+            total, place = total + np.asarray(row.counts)[place], np.asarray(row.leaves)[place]
+        return pd.DataFrame({"id": [group["id"].iloc[0] // FAN], "leaves": [place], "counts": [total]})
+
+    def handed_down(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id")
+        entry, first, out = int(group["entry"].iloc[0]), int(group["first"].iloc[0]), []
+        for row in group.itertuples():
+            out.append((row.id, entry, first))
+            first, entry = first + int(row.counts[entry]), int(row.leaves[entry])
+        return pd.DataFrame(out, columns=["id", "entry", "first"])
+
+    levels = [runs]
+    while n_runs > 1:
+        up = levels[-1].groupBy(F.floor(F.col("id") / FAN)).applyInPandas(composed, MAPS)
+        levels.append(materialize(up, "run-maps"))
+        n_runs = -(-n_runs // FAN)
+    spark = runs.sparkSession
+    entered = spark.createDataFrame([(0, 0, 0)], "id bigint, entry bigint, first bigint")
+    for level in reversed(levels[:-1] if len(levels) > 1 else levels):
+        above = entered.withColumnRenamed("id", "__up")
+        children = level.withColumn("__up", F.floor(F.col("id") / FAN)).join(above, "__up")
+        down = children.groupBy("__up").applyInPandas(handed_down, "id bigint, entry bigint, first bigint")
+        entered = materialize(down, "run-entries")
+    return entered
+
+
 def plan_batches(
     sizes: DataFrame,
     budget: Budget = Budget(),
     epoch: int = 0,
     *,
-    records_per_group: int = RECORDS_PER_GROUP,
+    records_per_run: int = RECORDS_PER_RUN,
 ) -> DataFrame:
     """Greedy batches: ``(entity_id, n_events, n_event_tokens, bucket, batch_id, pos)``.
 
-    Packing with resets is sequential, so it runs as one pass per packing group: a length
-    bucket, cut into runs of the shuffled order of about ``records_per_group`` records.
-    Only the sizes travel. A batch never spans two groups.
+    Records are packed along the epoch's order, over bucket borders too: a record opens a new batch
+    when it would break a budget. That is one chain through all records, but where a batch ends only
+    depends on where it starts. The order is cut into runs; each run works out, for every place its
+    first batch may start at, where it is left (it also sees the records of one batch beyond its
+    end), the runs' maps are put together, and then every run knows its first start. The result is
+    the same for any ``records_per_run``; only the sizes travel.
     """
-    sizes = materialize(sizes.select("entity_id", "n_events", "n_event_tokens"), "record-sizes")
-    n = sizes.count()
-    n_runs = max(1, math.ceil(n / budget.n_length_buckets / records_per_group))
-    ordered = shuffled(sizes, budget, epoch).withColumn(
-        "run", F.floor(uniform(F.col("draw")) * n_runs).cast("int")
-    )
-    limits = (budget.max_event_tokens, budget.max_events, budget.max_records)
-
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["draw", "entity_id"])
-        batch = count = tokens = events = 0
-        batches, places = [], []
-        for t, e in zip(group["n_event_tokens"].tolist(), group["n_events"].tolist()):
-            if count and (tokens + t > limits[0] or events + e > limits[1] or count + 1 > limits[2]):
-                batch += 1
-                count = tokens = events = 0
-            batches.append(batch)
-            places.append(count)
-            count, tokens, events = count + 1, tokens + t, events + e
-        return group.assign(local_batch=batches, pos=places).drop(columns=["draw"])
-
-    schema = (
-        "entity_id string, n_events bigint, n_event_tokens bigint, bucket int, bucket_pos int, "
-        "run int, local_batch bigint, pos bigint"
-    )
-    packed = materialize(
-        ordered.select(
-            "entity_id", F.col("n_events").cast("bigint"), F.col("n_event_tokens").cast("bigint"),
-            F.col("bucket").cast("int").alias("bucket"), F.col("bucket_pos").cast("int").alias("bucket_pos"),
-            "run", "draw",
-        ).groupBy("bucket_pos", "run").applyInPandas(pack, schema),
-        "packed",
+    entries = budget.max_records
+    run_length = max(records_per_run, entries)
+    sizes = materialize(
+        sizes.select("entity_id", F.col("n_events").cast("bigint"), F.col("n_event_tokens").cast("bigint")), "record-sizes"
     )
-    per_group = packed.groupBy("bucket_pos", "run").agg((F.max("local_batch") + 1).alias("n"))
-    upto = running_totals(per_group, [], ["bucket_pos", "run"], {"upto": F.col("n")})
-    first = upto.select("bucket_pos", "run", (F.col("upto") - F.col("n")).alias("first_batch"))
-    first = broadcast_if_small(first, budget.n_length_buckets * n_runs)
-    return packed.join(first, ["bucket_pos", "run"]).select(
-        "entity_id", "n_events", "n_event_tokens", "bucket",
-        (F.col("first_batch") + F.col("local_batch")).alias("batch_id"), "pos",
+    order = ["bucket_pos", "draw", "entity_id"]
+    ranked = ranks(shuffled(sizes, budget, epoch), [], order, "place")
+    placed = materialize(ranked.withColumn("place", F.col("place") - 1).drop("draw", "bucket_pos"), "epoch-order")
+    n_runs = -(-placed.count() // run_length)
+    here = F.floor(F.col("place") / run_length)
+    beyond = (F.col("place") % run_length < entries) & (here > 0)
+    both = F.when(beyond, F.array(here, here - 1)).otherwise(F.array(here))
+    in_runs = placed.withColumn("id", F.explode(both))
+
+    def mapped(run: pd.DataFrame) -> pd.DataFrame:
+        run = run.sort_values("place")
+        number = run["id"].iloc[0]
+        length = int((run["place"] // run_length == number).sum())
+        starts = _next_starts(run["n_event_tokens"].to_numpy(), run["n_events"].to_numpy(), budget)
+        leaves, counts = _through(starts, length, entries)
+        return pd.DataFrame({"id": [number], "leaves": [leaves], "counts": [counts]})
+
+    slim = in_runs.select("id", "place", "n_events", "n_event_tokens")
+    maps = materialize(slim.groupBy("id").applyInPandas(mapped, MAPS), "run-maps")
+    entered = _entered(maps, n_runs, entries)
+
+    def numbered(run: pd.DataFrame) -> pd.DataFrame:
+        run = run.sort_values("place")
+        mine = (run["place"] // run_length == run["id"]).to_numpy()
+        starts = _next_starts(run["n_event_tokens"].to_numpy(), run["n_events"].to_numpy(), budget)
+        opens, at = np.zeros(len(run), dtype=np.int64), int(run["entry"].iloc[0])
+        while at < mine.sum():
+            opens[at] = 1
+            at = int(starts[at])
+        run = run.assign(batch_id=int(run["first"].iloc[0]) - 1 + np.cumsum(opens))
+        return run[mine][["entity_id", "n_events", "n_event_tokens", "bucket", "place", "batch_id"]]
+
+    out = in_runs.join(entered, "id").groupBy("id").applyInPandas(
+        numbered, "entity_id string, n_events bigint, n_event_tokens bigint, bucket int, place bigint, batch_id bigint"
     )
+    start = F.min("place").over(Window.partitionBy("batch_id"))
+    return out.withColumn("pos", F.col("place") - start).drop("place")
 
 
 def batch_sizes(plan: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from eventlens.operators.ordered import quantiles, ranks
 from eventlens.operators.skew import join_per_entity
 from eventlens.session import materialize
 
-MONEY = "decimal(18,2)"
+# Wide enough that an amount is summed as it is given; only results are rounded.
+MONEY = "decimal(38,9)"
 ESCALATION_MIN_EVENTS = 4
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from eventlens import registry as R
 from eventlens.operators.bundle import N_SPECIAL, Bundle, EncoderConfig
 from eventlens.operators.ordered import quantiles_of_counts, ranks
-from eventlens.operators.split import SplitConfig, fingerprint, split_of
+from eventlens.operators.split import SplitConfig, split_of, tree_fingerprint
 from eventlens.operators.textvocab import learn_merges, word_counts
 from eventlens.operators.validate import fields_long
 from eventlens.session import materialize
@@ -141,5 +141,5 @@ def fit(
         merges = learn_merges(word_counts(texts), config.bpe_vocab_size, config.bpe_min_frequency)
     return Bundle(
         registry, config, bounds, categories, categories.count(), merges, True,
-        fingerprint(ids).first()["fingerprint"], n_train,
+        tree_fingerprint(ids).first()["fingerprint"], n_train,
     )

@@ -2,10 +2,10 @@
 
 A window over a whole group puts the group into one task. That is right for most
 groups and wrong for one that holds a third of the data (or for "the whole table").
-Here such heavy groups are cut into ordered slices first: every slice is a window of
-its own, and the totals of the earlier slices are added from a small table. The cut
-points come from a sample and only decide the balance; any cut points give the same,
-exact result.
+Where such heavy groups exist, the rows are range-partitioned by (group, order) first, so a
+large group lies in many partitions; every (group, partition) is a window of its own, and the
+totals of the group's earlier partitions are added from a small table. The partitions follow
+the rows; where they are cut does not change the result.
 """
 
 from __future__ import annotations
@@ -21,10 +21,6 @@ from eventlens.functions.buckets import bucket_index
 from eventlens.session import materialize
 
 ROWS_PER_TASK = 2_000_000
-# Bounds of what is kept on the driver and broadcast: heavy groups and slices.
-MAX_HEAVY = 10_000
-MAX_SLICES = 4_096
-SAMPLES_PER_SLICE = 16
 
 
 def heavy_groups(
@@ -32,15 +28,13 @@ def heavy_groups(
 ) -> list[tuple]:
     """Groups with more rows than one task should take: ``(*key values, rows)``.
 
-    At most ``MAX_HEAVY``, largest first. A group that does not make the list holds at
-    most 1/MAX_HEAVY of the rows, so it is left to a plain window.
+    There are at most rows / ``rows_per_task`` of them.
     """
     if not by:
         n = df.count()
         return [(n,)] if n > rows_per_task else []
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"))
-    top = counts.where(F.col("rows") > rows_per_task).orderBy(F.desc("rows")).limit(MAX_HEAVY)
-    return [tuple(r) for r in top.collect()]
+    return [tuple(r) for r in counts.where(F.col("rows") > rows_per_task).orderBy(F.desc("rows"), *by).collect()]
 
 
 def heavy_table(df: DataFrame, by: Sequence[str], heavy: Sequence[tuple]) -> DataFrame:
@@ -48,71 +42,6 @@ def heavy_table(df: DataFrame, by: Sequence[str], heavy: Sequence[tuple]) -> Dat
     return df.sparkSession.createDataFrame([h[:-1] for h in heavy], schema)
 
 
-def _sort_keys(order: Sequence[str]) -> Column:
-    return F.struct(*[F.col(c) for c in order])
-
-
-def _slice_cuts(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], heavy: Sequence[tuple], rows_per_task: int
-) -> list[tuple]:
-    """Per heavy group its sorted cut points, in chunks of about sqrt(n)."""
-    total = sum(h[-1] for h in heavy)
-    rows_per_slice = max(rows_per_task, math.ceil(total / MAX_SLICES))
-    n_slices = sum(math.ceil(h[-1] / rows_per_slice) for h in heavy)
-    wanted = n_slices * SAMPLES_PER_SLICE
-    hot = df.join(F.broadcast(heavy_table(df, by, heavy)), list(by), "left_semi") if by else df
-    keyed = hot.select(*by, _sort_keys(order).alias("k"))
-    sample = (
-        keyed.sample(min(1.0, 2.0 * wanted / total), seed=7).limit(4 * wanted)
-        .orderBy(*by, "k").collect()
-    )
-    picked: dict[tuple, list] = {}
-    for row in sample:
-        picked.setdefault(tuple(row[c] for c in by), []).append(row["k"])
-    rows = []
-    for h in heavy:
-        keys = picked.get(tuple(h[:-1]), [])
-        step = max(1, len(keys) // max(1, math.ceil(h[-1] / rows_per_slice)))
-        cuts = keys[step::step]
-        width = max(1, math.isqrt(len(cuts)))
-        rows.append((*h[:-1], [cuts[i : i + width] for i in range(0, len(cuts), width)]))
-    return rows
-
-
-def _with_cuts(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], heavy: Sequence[tuple], rows_per_task: int
-) -> DataFrame:
-    """Put the group's cut points beside each row: from a broadcast table for keyed groups,
-    as one constant when the group is the whole table."""
-    rows = _slice_cuts(df, by, order, heavy, rows_per_task)
-    key_type = T.StructType([df.schema[c] for c in order])
-    cuts_type = T.ArrayType(T.ArrayType(key_type))
-    if by:
-        schema = T.StructType([df.schema[c] for c in by] + [T.StructField("cuts", cuts_type)])
-        return df.join(F.broadcast(df.sparkSession.createDataFrame(rows, schema)), list(by), "left")
-
-    def constant(key: tuple) -> Column:
-        return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(key, key_type)])
-
-    chunks = [F.array(*[constant(k) for k in chunk]) for chunk in rows[0][-1]]
-    return df.withColumn("cuts", F.array(*chunks) if chunks else F.lit(None).cast(cuts_type))
-
-
-def _slice_of(order: Sequence[str]) -> Column:
-    """Two short searches: the chunk whose first cut is <= the row, then the cut in it.
-
-    Chunks have equal width but for the last, so (chunk, place in chunk) sorts like the rows.
-    """
-    key = _sort_keys(order)
-    chunk = F.size(F.filter("cuts", lambda c: F.element_at(c, 1) <= key))
-    inside = F.when(chunk == 0, F.lit(0)).otherwise(
-        F.size(F.filter(F.element_at("cuts", F.greatest(chunk, F.lit(1))), lambda c: c <= key))
-    )
-    return F.when(F.col("cuts").isNull() | (F.size("cuts") == 0), F.lit(0)).otherwise(
-        chunk.cast("bigint") * (MAX_SLICES * SAMPLES_PER_SLICE) + inside
-    )
-
-
 def running_totals(
     df: DataFrame,
     by: Sequence[str],
@@ -139,26 +68,24 @@ def running_totals(
         w = Window.partitionBy(*by).orderBy(*sort(order)).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(c).over(w).alias(name) for name, c in totals.items()])
 
-    cut = _with_cuts(df, by, order, heavy, rows_per_task)
-    cut = cut.withColumn("slice", _slice_of(order)).drop("cuts")
-
+    stored = materialize(df, "ordered-input")
+    parts = max(2, math.ceil(stored.count() / rows_per_task))
+    cut = materialize(
+        stored.repartitionByRange(parts, *by, *order).withColumn("slice", F.spark_partition_id()), "ordered-slices"
+    )
     w = (
         Window.partitionBy(*by, "slice").orderBy(*sort(order))
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     local = cut.select("*", *[F.sum(c).over(w).alias(name) for name, c in totals.items()])
-
-    hot = cut.join(F.broadcast(heavy_table(df, by, heavy)), by, "left_semi") if by else cut
-    per_slice = hot.groupBy(*by, "slice").agg(
-        *[F.sum(c).alias(f"sum_{name}") for name, c in totals.items()]
-    )
+    per_slice = cut.groupBy(*by, "slice").agg(*[F.sum(c).alias(f"sum_{name}") for name, c in totals.items()])
     before = (
         Window.partitionBy(*by).orderBy(*sort(["slice"])).rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = per_slice.select(
         *by, "slice", *[F.sum(f"sum_{name}").over(before).alias(f"before_{name}") for name in totals]
     )
-    joined = local.join(F.broadcast(offsets), [*by, "slice"], "left")
+    joined = local.join(offsets, [*by, "slice"], "left")
     return joined.select(
         *[c for c in df.columns],
         *[

@@ -17,8 +17,8 @@ from eventlens.session import materialize
 
 RESULT = "name string, auc double, n_train bigint, n_val bigint"
 SAME_TOTAL = "decimal(38,0)"
-MAX_ONE_HOT = 100_000
-RECORDS_PER_TRAINER = 50_000
+# Parts in which word vectors are trained; fixed, as it changes the vectors.
+TRAINING_PARTS = 16
 
 
 def rank_auc(scored: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
@@ -102,14 +102,19 @@ def fill_categories(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("missing")) for c in columns})
 
 
+def fold_rare(df: DataFrame, train: DataFrame, column: str, min_rows: int) -> DataFrame:
+    """Values with fewer than ``min_rows`` training rows become ``rare``, so that at most
+    rows / ``min_rows`` values are left."""
+    common = fill_categories(train, [column]).groupBy(F.col(column).alias("__value")).agg(F.count(F.lit(1)).alias("__n"))
+    filled = fill_categories(df, [column])
+    known = filled.join(common.where(F.col("__n") >= min_rows).drop("__n"), F.col(column) == F.col("__value"), "left")
+    return known.withColumn(column, F.coalesce("__value", F.lit("rare"))).drop("__value")
+
+
 def fit_categories(train: DataFrame, columns: Sequence[str]) -> PipelineModel:
-    """The indexer keeps its values on the driver, so their number is checked first."""
-    filled = fill_categories(train, columns)
-    sizes = filled.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-    for c in columns:
-        if sizes[c] > MAX_ONE_HOT:
-            raise ValueError(f"column '{c}' has about {sizes[c]} values, too many for one-hot encoding")
-    return Pipeline(stages=category_encoder(columns)).fit(filled)
+    """The indexer keeps its values on the driver: a column of very many values goes through
+    ``fold_rare`` first, with a bound of the caller's choice."""
+    return Pipeline(stages=category_encoder(columns)).fit(fill_categories(train, columns))
 
 
 def hot_slots(df: DataFrame, model: PipelineModel, columns: Sequence[str]) -> DataFrame:
@@ -242,7 +247,7 @@ def token_vectors(tokens: DataFrame, size: int = 16, seed: int = 0) -> DataFrame
 
     A distributed stand-in with the shape of record embeddings, so that probes have vectors
     to work on. Histories are capped, so a word list is bounded; the number of training parts
-    follows the number of records.
+    is fixed.
     """
     word = F.concat_ws(":", F.col("key_id").cast("string"), F.col("value_id").cast("string"))
     lists = tokens.groupBy("entity_id").agg(
@@ -257,7 +262,7 @@ def token_vectors(tokens: DataFrame, size: int = 16, seed: int = 0) -> DataFrame
     )
     model = Word2Vec(
         vectorSize=size, minCount=1, seed=seed, inputCol="all_words", outputCol="usr_v",
-        numPartitions=1 + rows.count() // RECORDS_PER_TRAINER, maxIter=1,
+        numPartitions=TRAINING_PARTS, maxIter=1,
     ).fit(rows)
     both = model.transform(rows)
     both = model.setInputCol("last_words").setOutputCol("last_v").transform(both)

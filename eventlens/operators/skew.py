@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eventlens.operators.ordered import heavy_table
 
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 100_000
 
 
 def broadcast_if_small(df: DataFrame, n_rows: int) -> DataFrame:
@@ -27,13 +27,13 @@ def join_per_entity(
 ) -> DataFrame:
     """Join ``rows`` with a table that has one row per ``key``.
 
-    Without heavy entities this is a plain join. Otherwise the heavy entities (a bounded
-    list) go through a broadcast of just their rows, and only the rest is shuffled.
+    Without heavy entities this is a plain join. Otherwise the heavy entities go through a
+    broadcast of just their rows, as long as these are few, and only the rest is shuffled.
     """
     if not heavy:
         return rows.join(per_entity, key, how)
-    hot = F.broadcast(heavy_table(rows, [key], heavy))
-    hot_side = F.broadcast(per_entity.join(hot, key, "left_semi"))
+    hot = broadcast_if_small(heavy_table(rows, [key], heavy), len(heavy))
+    hot_side = broadcast_if_small(per_entity.join(hot, key, "left_semi"), len(heavy))
     hot_rows = rows.join(hot, key, "left_semi").join(hot_side, key, how)
     cold_rows = rows.join(hot, key, "left_anti").join(per_entity, key, how)
     return hot_rows.unionByName(cold_rows)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,8 +9,8 @@ from pyspark.sql import functions as F
 
 from eventlens.functions.hashing import hex_word
 
-FLAT_LIMIT = 100_000
-IDS_PER_BRANCH = 50_000
+# 65,536 branches: below two million ids each up to 10^11 ids.
+DEPTH = 4
 
 
 @dataclass(frozen=True)
@@ -51,33 +50,17 @@ def split_audit(records: DataFrame) -> DataFrame:
     )
 
 
-def flat_fingerprint(ids: DataFrame, key: str = "entity_id") -> DataFrame:
-    """SHA-256 of the sorted ids joined by ``|``: all ids meet in one row, so the number
-    of ids is checked first."""
-    n = ids.count()
-    if n > FLAT_LIMIT:
-        raise ValueError(f"{n} ids are too many for a flat fingerprint; use tree_fingerprint")
-    return ids.agg(
-        F.sha2(F.concat_ws("|", F.array_sort(F.collect_list(key))), 256).alias("fingerprint")
-    )
-
+def tree_fingerprint(ids: DataFrame, key: str = "entity_id") -> DataFrame:
+    """One hash of a set of ids, independent of their order and number of partitions.
 
-def tree_fingerprint(
-    ids: DataFrame, key: str = "entity_id", *, ids_per_branch: int = IDS_PER_BRANCH
-) -> DataFrame:
-    """The same idea in levels: ids are grouped by a prefix of their own hash, each branch
-    is hashed in sorted order, then the branch hashes are folded level by level. The depth
-    comes from the number of ids, so no branch grows with the data."""
-    n = max(1, ids.count())
-    depth = max(1, math.ceil(math.log(n / ids_per_branch, 16))) if n > ids_per_branch else 1
+    Ids are grouped by the first ``DEPTH`` hex digits of their own hash, each branch is hashed in
+    sorted order, and the branch hashes are folded sixteen at a time up to the root. The depth is
+    fixed, so a set has one fingerprint whatever its size.
+    """
     level = ids.select(F.sha2(key, 256).alias("place"), F.col(key).alias("item"))
-    for width in range(depth, -1, -1):
+    for width in range(DEPTH, -1, -1):
         level = (
             level.groupBy(F.substring("place", 1, width).alias("place"))
             .agg(F.sha2(F.concat_ws("|", F.array_sort(F.collect_list("item"))), 256).alias("item"))
         )
     return level.select(F.col("item").alias("fingerprint"))
-
-
-def fingerprint(ids: DataFrame, key: str = "entity_id") -> DataFrame:
-    return flat_fingerprint(ids, key) if ids.count() <= FLAT_LIMIT else tree_fingerprint(ids, key)

@@ -14,7 +14,7 @@ from eventlens.operators.split import split_of
 from eventlens.operators.textvocab import byte_ids
 from eventlens.operators.validate import fields_long
 from eventlens.plans.catalog import query
-from eventlens.plans.reference_sql import secs_sql, softlog_sql, split_sql
+from eventlens.plans.reference_sql import secs_sql, softlog_sql, split_sql, tree_sql
 from eventlens.plans.workspace import Binding, Workspace
 from eventlens.session import materialize, new_path
 from eventlens.sources import bundles, shards
@@ -105,7 +105,7 @@ def text_vocabulary(ws: Workspace) -> DataFrame:
 @query("""SELECT (SELECT count(DISTINCT entity_id) FROM hist_app WHERE """ + TRAIN + """) AS n_train_records,
           (SELECT count(*) FROM bounds_app) AS n_bounds, (SELECT count(*) FROM cats_app) AS n_categories,
           257::BIGINT AS text_local_vocab_size, 7 + 9 + 17 + (SELECT count(*) FROM cats_app) + 257 AS total_vocab_size,
-          (SELECT sha256(string_agg(entity_id, '|' ORDER BY entity_id)) FROM (SELECT DISTINCT entity_id FROM hist_app WHERE """ + TRAIN + """)) AS train_fingerprint""")
+          (""" + tree_sql("(SELECT DISTINCT entity_id FROM hist_app WHERE " + TRAIN + ")") + """) AS train_fingerprint""")
 def fit_report(ws: Workspace) -> DataFrame:
     b = ws.app.bundle
     rows = [(

@@ -31,6 +31,16 @@ def secs_sql(earlier: str, later: str) -> str:
     return f"((epoch_us({later}) - epoch_us({earlier})) / 1e6::DOUBLE)"
 
 
+def tree_sql(source: str) -> str:
+    """Fingerprint of the ids of a source: hashes of sorted items, folded from four digits to none."""
+    levels = [f"t4 AS (SELECT substr(sha256(entity_id), 1, 4) AS place, sha256(string_agg(entity_id, '|' ORDER BY entity_id)) AS item FROM {source} GROUP BY 1)"]
+    for width in (3, 2, 1, 0):
+        levels.append(
+            f"t{width} AS (SELECT substr(place, 1, {width}) AS place, sha256(string_agg(item, '|' ORDER BY item)) AS item FROM t{width + 1} GROUP BY 1)"
+        )
+    return f"WITH {', '.join(levels)} SELECT item AS fingerprint FROM t0"
+
+
 def median_sql(source: str, by: str, value: str, fraction: str = "0.5") -> str:
     """``(by, q)`` exact quantile with interpolation, from ranks."""
     return f"""
@@ -46,22 +56,22 @@ def median_sql(source: str, by: str, value: str, fraction: str = "0.5") -> str:
 
 
 CTES["ev_app"] = """
-  SELECT user_id::VARCHAR AS entity_id, lpad(event_id::VARCHAR, 10, '0') AS event_id, ts AS created_at,
+  SELECT user_id::VARCHAR AS entity_id, lpad(event_id::VARCHAR, 20, '0') AS event_id, ts AS created_at,
          event_type AS type, value AS amount, json_extract_string(props, '$.k') AS view
   FROM events"""
 
 CTES["ev_com"] = """
-  SELECT o_custkey::VARCHAR AS entity_id, 'o' || lpad(o_orderkey::VARCHAR, 12, '0') AS event_id,
+  SELECT o_custkey::VARCHAR AS entity_id, 'o' || lpad(o_orderkey::VARCHAR, 20, '0') AS event_id,
          o_orderdate AS created_at, 'order' AS type, o_totalprice AS amount, NULL::DOUBLE AS discount,
          o_orderstatus AS direction, o_orderpriority AS channel, NULL::VARCHAR AS mcc,
          NULL::VARCHAR AS merchant_name, NULL::VARCHAR AS description
   FROM orders
   UNION ALL
   SELECT o_custkey::VARCHAR,
-         'l' || lpad(l_orderkey::VARCHAR, 12, '0') || '-' || lpad(l_linenumber::VARCHAR, 2, '0') || '-'
-             || lpad(l_partkey::VARCHAR, 10, '0') || '-' || lpad(l_suppkey::VARCHAR, 8, '0') || '-'
+         'l' || lpad(l_orderkey::VARCHAR, 20, '0') || '-' || lpad(l_linenumber::VARCHAR, 20, '0') || '-'
+             || lpad(l_partkey::VARCHAR, 20, '0') || '-' || lpad(l_suppkey::VARCHAR, 20, '0') || '-'
              || strftime(l_shipdate, '%Y%m%d') || '-'
-             || lpad(l_extendedprice::DECIMAL(18,2)::VARCHAR, 12, '0'),
+             || lpad(l_extendedprice::DECIMAL(18,2)::VARCHAR, 21, '0'),
          l_shipdate, 'line', l_extendedprice, l_discount, l_returnflag, NULL, p_brand, s_name, p_name
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
   LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey"""
@@ -222,32 +232,27 @@ for b in ("app", "com"):
   JOIN (SELECT b AS bucket, row_number() OVER (ORDER BY sha256('0|0|bucket|' || b)) AS bucket_pos
         FROM (SELECT unnest(range(0, 8)) AS b)) bo ON bo.bucket = s.bucket"""
 
+    over = "p.t + s.n_event_tokens > 4096 OR p.e + s.n_events > 2048 OR p.r + 1 > 256"
+    CTES[f"order_{b}"] = f"""
+  SELECT *, row_number() OVER (ORDER BY bucket_pos, rn) AS g FROM seq_{b}"""
+
     CTES[f"pack_{b}"] = f"""
-  SELECT entity_id, bucket, bucket_pos, rn, n_events, n_event_tokens, 0::BIGINT AS local_batch,
+  SELECT entity_id, bucket, g, n_events, n_event_tokens, 0::BIGINT AS batch_id,
          n_event_tokens AS t, n_events AS e, 1::BIGINT AS r
-  FROM seq_{b} WHERE rn = 1
+  FROM order_{b} WHERE g = 1
   UNION ALL
-  SELECT s.entity_id, s.bucket, s.bucket_pos, s.rn, s.n_events, s.n_event_tokens,
-         CASE WHEN p.t + s.n_event_tokens > 4096 OR p.e + s.n_events > 2048 OR p.r + 1 > 256
-              THEN p.local_batch + 1 ELSE p.local_batch END,
-         CASE WHEN p.t + s.n_event_tokens > 4096 OR p.e + s.n_events > 2048 OR p.r + 1 > 256
-              THEN s.n_event_tokens ELSE p.t + s.n_event_tokens END,
-         CASE WHEN p.t + s.n_event_tokens > 4096 OR p.e + s.n_events > 2048 OR p.r + 1 > 256
-              THEN s.n_events ELSE p.e + s.n_events END,
-         CASE WHEN p.t + s.n_event_tokens > 4096 OR p.e + s.n_events > 2048 OR p.r + 1 > 256
-              THEN 1 ELSE p.r + 1 END
-  FROM pack_{b} p JOIN seq_{b} s ON s.bucket = p.bucket AND s.rn = p.rn + 1"""
+  SELECT s.entity_id, s.bucket, s.g, s.n_events, s.n_event_tokens,
+         CASE WHEN {over} THEN p.batch_id + 1 ELSE p.batch_id END,
+         CASE WHEN {over} THEN s.n_event_tokens ELSE p.t + s.n_event_tokens END,
+         CASE WHEN {over} THEN s.n_events ELSE p.e + s.n_events END,
+         CASE WHEN {over} THEN 1 ELSE p.r + 1 END
+  FROM pack_{b} p JOIN order_{b} s ON s.g = p.g + 1"""
 
     CTES[f"batches_{b}"] = f"""
-  SELECT entity_id, n_events, n_event_tokens, bucket, (before + local_batch)::BIGINT AS batch_id,
-         (row_number() OVER (PARTITION BY bucket, local_batch ORDER BY rn) - 1)::BIGINT AS pos
-  FROM pack_{b} JOIN (
-    SELECT bucket_pos, coalesce(sum(n) OVER (ORDER BY bucket_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-    FROM (SELECT bucket_pos, max(local_batch) + 1 AS n FROM pack_{b} GROUP BY 1)
-  ) USING (bucket_pos)"""
+  SELECT entity_id, n_events, n_event_tokens, bucket, batch_id, r - 1 AS pos FROM pack_{b}"""
 
     CTES[f"totals_{b}"] = f"""
-  SELECT p.entity_id, coalesce(sum(amount::DECIMAL(18,2))::DOUBLE, 0.0) AS total
+  SELECT p.entity_id, coalesce(sum(amount::DECIMAL(38,9))::DOUBLE, 0.0) AS total
   FROM prof p LEFT JOIN ev_{b} e USING (entity_id) GROUP BY 1"""
 
     CTES[f"high_{b}"] = f"""
@@ -257,8 +262,8 @@ for b in ("app", "com"):
     CTES[f"escal_{b}"] = f"""
   SELECT p.entity_id, coalesce(n >= 4 AND coalesce(second, 0) > coalesce(first, 0), false) AS is_escalating
   FROM prof p LEFT JOIN (
-    SELECT entity_id, max(n) AS n, sum(amount::DECIMAL(18,2)) FILTER (WHERE rn > n // 2) AS second,
-           sum(amount::DECIMAL(18,2)) FILTER (WHERE rn <= n // 2) AS first
+    SELECT entity_id, max(n) AS n, sum(amount::DECIMAL(38,9)) FILTER (WHERE rn > n // 2) AS second,
+           sum(amount::DECIMAL(38,9)) FILTER (WHERE rn <= n // 2) AS first
     FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY created_at, event_id) AS rn,
                  count(*) OVER (PARTITION BY entity_id) AS n FROM ev_{b}) GROUP BY 1) h USING (entity_id)"""
 
@@ -271,7 +276,7 @@ for b in ("app", "com"):
          country, plan, balance_quantile
   FROM rec_{b} r LEFT JOIN (
     SELECT entity_id, count(*) AS n, count(DISTINCT type) AS n_types,
-           sum(amount::DECIMAL(18,2))::DOUBLE AS total, count(amount) AS n_amounts
+           sum(amount::DECIMAL(38,9))::DOUBLE AS total, count(amount) AS n_amounts
     FROM ev_{b} GROUP BY 1) e USING (entity_id)"""
 
     CTES[f"cohort_{b}"] = f"""
@@ -303,7 +308,7 @@ def with_ctes(body: str) -> str:
     if not order:
         return body.strip()
     word = "WITH RECURSIVE" if any(RECURSIVE.match(n) for n in order) else "WITH"
-    heads = ",\n".join(f"{n} AS ({CTES[n]})" for n in order)
+    heads = ",\n".join(f"{n} AS {'' if RECURSIVE.match(n) else 'MATERIALIZED '}({CTES[n]})" for n in order)
     tail = body.strip()
     if tail.upper().startswith("WITH"):
         tail = f"SELECT * FROM ({tail})"

@@ -153,10 +153,15 @@ def rank_auc(ws: Workspace) -> DataFrame:
     return probes.rank_auc(rows, "n_events", "is_escalating", ["split"])
 
 
-@query(AUC_SQL.format(source="(SELECT split, embedding[1]::DOUBLE AS s, label AS y FROM vec)"))
+@query(AUC_SQL.format(source="(SELECT split, list_reduce(list_transform(embedding, lambda x: x::DOUBLE::DECIMAL(38,12)), lambda a, b: a + b)::DOUBLE AS s, label AS y FROM vec)"))
 def vector_auc(ws: Workspace) -> DataFrame:
+    """Vectors scored by the sum of all their dimensions (as decimals: free of order)."""
+    zero = F.lit(0).cast("decimal(38,12)")
+    total = F.aggregate(
+        "concat", zero, lambda a, x: (a + x.cast("double").cast("decimal(30,12)")).cast("decimal(38,12)")
+    )
     rows = ws.vectors.select(
-        split_of(F.col("entity_id")).alias("split"), F.col("concat")[0].cast("double").alias("score"), "label"
+        split_of(F.col("entity_id")).alias("split"), total.cast("double").alias("score"), "label"
     )
     return probes.rank_auc(rows, "score", "label", ["split"])
 
@@ -241,4 +246,4 @@ def token_vectors(ws: Workspace) -> DataFrame:
     vectors = probes.token_vectors(encode.event_tokens(ws.app.stored))
     slots = [F.struct(F.lit(v).alias("variant"), F.col(v).alias("x")) for v in ("usr", "last_event", "concat")]
     long = vectors.select("entity_id", F.explode(F.array(*slots)).alias("s"))
-    return long.select("entity_id", F.col("s.variant").alias("variant"), F.size("s.x").alias("width"))
+    return long.select("entity_id", F.col("s.variant").alias("variant"), F.posexplode("s.x").alias("dim", "x"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from eventlens import registry as R
 from eventlens.operators import records, split, validate
 from eventlens.plans.catalog import query
-from eventlens.plans.reference_sql import split_sql
+from eventlens.plans.reference_sql import split_sql, tree_sql
 from eventlens.plans.workspace import MILESTONES, Workspace
 from eventlens.session import new_path
 from eventlens.sources import reports, tables
@@ -334,17 +334,13 @@ def split_audit(ws: Workspace) -> DataFrame:
     return split.split_audit(ws.commerce.records)
 
 
-@query(f"""SELECT sha256(string_agg(entity_id, '|' ORDER BY entity_id)) AS fingerprint
-          FROM (SELECT DISTINCT entity_id FROM hist_com WHERE {split_sql('entity_id')} = 'train')""")
+@query(tree_sql(f"(SELECT DISTINCT entity_id FROM hist_com WHERE {split_sql('entity_id')} = 'train')"))
 def train_fingerprint(ws: Workspace) -> DataFrame:
     from eventlens.operators.fit import train_rows
 
-    return split.flat_fingerprint(train_rows(ws.commerce.history).select("entity_id").distinct())
+    return split.tree_fingerprint(train_rows(ws.commerce.history).select("entity_id").distinct())
 
 
-@query("""
-  WITH ids AS (SELECT DISTINCT entity_id, sha256(entity_id) AS place FROM hist_com),
-  l1 AS (SELECT substr(place, 1, 1) AS place, sha256(string_agg(entity_id, '|' ORDER BY entity_id)) AS item FROM ids GROUP BY 1)
-  SELECT sha256(string_agg(item, '|' ORDER BY item)) AS fingerprint FROM l1""")
+@query(tree_sql("(SELECT DISTINCT entity_id FROM hist_com)"))
 def tree_fingerprint(ws: Workspace) -> DataFrame:
     return split.tree_fingerprint(ws.commerce.history.select("entity_id").distinct())

@@ -120,24 +120,37 @@ class Workspace:
     def vectors(self) -> DataFrame:
         """The embedding table in the shape of record embeddings."""
         raw = self.table("embeddings")
+        half = F.floor(F.size("embedding") / 2).cast("int")
         return raw.select(
             F.col("vec_id").cast("string").alias("entity_id"),
-            F.slice("embedding", 1, 32).alias("usr"),
-            F.slice("embedding", 33, 32).alias("last_event"),
+            F.slice("embedding", F.lit(1), half).alias("usr"),
+            F.slice("embedding", half + 1, F.size("embedding") - half).alias("last_event"),
             F.col("embedding").alias("concat"),
             (F.col("label") == 0).alias("label"),
         )
 
 
-_OPEN: dict[tuple[str, str], Workspace] = {}
+def _state(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of the input files, as the session's own file system reports them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files, found = store.listFiles(path, True), []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
+_OPEN: dict[tuple[str, str], tuple[tuple, Workspace]] = {}
 
 
 def workspace(spark: SparkSession, folder: str) -> Workspace:
-    """One workspace per application and folder, so the encoders are fitted once."""
-    key = (spark.sparkContext.applicationId, folder.rstrip("/"))
-    if key not in _OPEN:
-        _OPEN[key] = Workspace(spark, folder)
-    return _OPEN[key]
+    """One workspace per application, folder and state of its files, so the encoders are fitted
+    once, and anew when a file was replaced."""
+    key, state = (spark.sparkContext.applicationId, folder.rstrip("/")), _state(spark, folder)
+    if key not in _OPEN or _OPEN[key][0] != state:
+        _OPEN[key] = (state, Workspace(spark, folder))
+    return _OPEN[key][1]
 
 
 __all__ = ["ATTRIBUTES", "MILESTONES", "Binding", "Workspace", "workspace"]

@@ -76,12 +76,12 @@ def _relative(col: Column) -> Column:
 
 def file_hashes(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     """``(path, sha256)`` of the data files, read in parallel as whole files."""
+    folder = f"{path}/records" if split is None else f"{path}/records/split={split}"
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
-        .option("recursiveFileLookup", "true").load(f"{path}/records")
+        .option("recursiveFileLookup", "true").load(folder)
     )
-    out = files.select(_relative(F.col("path")).alias("path"), F.sha2("content", 256).alias("sha256"))
-    return out if split is None else out.where(F.col("path").startswith(f"split={split}/"))
+    return files.select(_relative(F.col("path")).alias("path"), F.sha2("content", 256).alias("sha256"))
 
 
 def build_manifest(spark: SparkSession, path: str, fingerprint: str | None) -> DataFrame:

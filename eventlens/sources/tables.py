@@ -88,11 +88,19 @@ def strict_app_registry() -> R.Registry:
     return R.Registry.declare(base.fields, families, ATTRIBUTES[:2], MILESTONES)
 
 
+# No bigint has more characters, so padding never cuts an id and text order is number order.
+ID_WIDTH = 20
+
+
+def padded(name: str) -> Column:
+    return F.lpad(F.col(name).cast("string"), ID_WIDTH, "0")
+
+
 def app_events(spark: SparkSession, folder: str) -> DataFrame:
     raw = read_table(spark, folder, "events").withColumn("view", F.get_json_object("props", "$.k"))
     return resolve_columns(raw, app_registry()).select(
         F.col("entity_id").cast("string").alias("entity_id"),
-        F.lpad(F.col("event_id").cast("string"), 10, "0").alias("event_id"),
+        padded("event_id").alias("event_id"),
         "created_at", "type", "amount", "view",
     )
 
@@ -123,10 +131,6 @@ def commerce_registry(*, with_text: bool = False) -> R.Registry:
     return R.Registry.declare(fields, families, ATTRIBUTES, MILESTONES)
 
 
-def _padded(name: str, width: int) -> Column:
-    return F.lpad(F.col(name).cast("string"), width, "0")
-
-
 def commerce_events(spark: SparkSession, folder: str) -> DataFrame:
     orders = read_table(spark, folder, "orders")
     lines = read_table(spark, folder, "lineitem")
@@ -136,7 +140,7 @@ def commerce_events(spark: SparkSession, folder: str) -> DataFrame:
     none = F.lit(None).cast("string")
     order_events = orders.select(
         F.col("o_custkey").cast("string").alias("entity_id"),
-        F.concat(F.lit("o"), _padded("o_orderkey", 12)).alias("event_id"),
+        F.concat(F.lit("o"), padded("o_orderkey")).alias("event_id"),
         F.col("o_orderdate").alias("created_at"),
         F.lit("order").alias("type"),
         F.col("o_totalprice").alias("amount"),
@@ -147,12 +151,12 @@ def commerce_events(spark: SparkSession, folder: str) -> DataFrame:
     )
     line_id = F.concat_ws(
         "-",
-        F.concat(F.lit("l"), _padded("l_orderkey", 12)),
-        _padded("l_linenumber", 2),
-        _padded("l_partkey", 10),
-        _padded("l_suppkey", 8),
+        F.concat(F.lit("l"), padded("l_orderkey")),
+        padded("l_linenumber"),
+        padded("l_partkey"),
+        padded("l_suppkey"),
         F.date_format("l_shipdate", "yyyyMMdd"),
-        F.lpad(F.col("l_extendedprice").cast("decimal(18,2)").cast("string"), 12, "0"),
+        F.lpad(F.col("l_extendedprice").cast("decimal(18,2)").cast("string"), ID_WIDTH + 1, "0"),
     )
     line_events = (
         lines.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))

@@ -190,19 +190,69 @@ def test_split_is_stable_and_complete(spark):
         assert name == ("train" if place < 0.8 else "val" if place < 0.8 + 0.1 else "test")
 
 
-def test_fingerprints(spark, monkeypatch):
+def test_fingerprints(spark):
     import hashlib
+    from itertools import groupby
+
+    def folded(ids):
+        sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+        level = sorted((sha(i), i) for i in ids)
+        for width in range(split.DEPTH, -1, -1):
+            level = sorted((p[:width], item) for p, item in level)
+            level = [(p, sha("|".join(i for _, i in g))) for p, g in groupby(level, key=lambda x: x[0])]
+        return level[0][1]
 
     ids = spark.range(300).select(F.col("id").cast("string").alias("entity_id"))
-    text = "|".join(sorted(str(i) for i in range(300)))
-    assert split.flat_fingerprint(ids).first()[0] == hashlib.sha256(text.encode()).hexdigest()
-    deep = split.tree_fingerprint(ids, ids_per_branch=3).first()[0]
-    assert deep == split.tree_fingerprint(ids.repartition(5), ids_per_branch=3).first()[0]
-    assert deep != split.tree_fingerprint(ids.where("entity_id <> '7'"), ids_per_branch=3).first()[0]
-    monkeypatch.setattr(split, "FLAT_LIMIT", 10)
-    with pytest.raises(ValueError):
-        split.flat_fingerprint(ids)
-    assert split.fingerprint(ids).first()[0] == split.tree_fingerprint(ids).first()[0]
+    got = split.tree_fingerprint(ids).first()[0]
+    assert got == folded([str(i) for i in range(300)]) == split.tree_fingerprint(ids.repartition(5)).first()[0]
+    assert got != split.tree_fingerprint(ids.where("entity_id <> '7'")).first()[0]
+    many = spark.range(120_000).select(F.col("id").cast("string").alias("entity_id"))
+    assert split.tree_fingerprint(many).first()[0] == folded([str(i) for i in range(120_000)])
+
+
+def test_long_ids_keep_all_digits(spark):
+    from eventlens.sources import tables
+
+    ids = [123456789012, 123456789013, 9, 2**63 - 1]
+    got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "k bigint").select(tables.padded("k")).collect()]
+    assert [int(x) for x in got] == ids and sorted(got) == [f"{i:020d}" for i in sorted(ids)]
+
+
+def test_amounts_are_summed_as_given(spark):
+    from eventlens.operators import features
+
+    rows = spark.createDataFrame([("a", "x", 0.004), ("a", "x", 0.004), ("a", "x", 0.004)], "entity_id string, type string, amount double")
+    assert float(features.amount_sums(rows).first()["total"]) == pytest.approx(0.012, abs=1e-12)
+
+
+def test_a_cluster_without_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from eventlens import session
+
+    class Conf(dict):
+        def get(self, key, default=None):
+            return dict.get(self, key, default)
+
+    def fake(master, **conf):
+        context = SimpleNamespace(master=master, getConf=lambda: Conf(conf), getCheckpointDir=lambda: None)
+        return SimpleNamespace(conf=Conf(conf, **{"spark.sql.warehouse.dir": "/w"}), sparkContext=context)
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            session.shared_dir(fake(master))
+        assert session.shared_dir(fake(master, **{"spark.checkpoint.dir": "s3://b/c/"})) == "s3://b/c"
+    assert session.shared_dir(fake("local[2]")) == "/w"
+
+
+def test_replaced_files_open_a_new_workspace(spark, tmp_path):
+    from eventlens.plans.workspace import workspace
+
+    spark.range(3).write.parquet(str(tmp_path / "a.parquet"))
+    first = workspace(spark, str(tmp_path))
+    assert workspace(spark, str(tmp_path)) is first
+    spark.range(30).write.mode("overwrite").parquet(str(tmp_path / "a.parquet"))
+    assert workspace(spark, str(tmp_path)) is not first
 
 
 def test_records_keep_entities_without_events(bank):
