@@ -6,10 +6,9 @@ order of their own (optimal densification). ``BANDS`` bands of ``ROWS`` bins are
 similarity s meets in no bucket with probability (1 - s^ROWS)^BANDS, below 1e-7 at 0.8.
 
 Documents with the same words are put together first, so hot groups of copies are one document. In
-a bucket only stars are compared: one document against the others. A first round compares each
-document with its smallest centre; after that, only buckets that still hold more than one component
-go on, and there documents outside of the largest component become centres, until every bucket
-holds one component or all its pairs were compared. So pairs inside a component that is already
+a bucket only stars are compared: the smallest document against the others. After that, only buckets
+that still hold more than one component go on, and there documents outside of the largest component
+become centres, until every bucket holds one component or all its pairs were compared. So pairs inside a component that is already
 joined are never listed, and no link between two components is missed in a bucket. Every link is
 confirmed on the full shingle sets of both texts.
 """
@@ -32,7 +31,7 @@ PERCENT = 80
 BINS = 128
 BANDS = 32
 ROWS = BINS // BANDS
-# Centres per unresolved bucket in the rounds after the first two.
+# Centres per unresolved bucket in the rounds after the first.
 CENTRES = (8, 64, 512)
 CHUNK = 1 << 20
 
@@ -189,22 +188,20 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 def components(links: DataFrame) -> DataFrame:
     """``doc, comp``: the smallest document reachable, for every document with a link.
 
-    Each step takes the smallest label of the neighbours and then the label's own label, so the
-    number of steps follows the logarithm of a chain's length. Every step is a written table.
+    Each step takes the smallest of the labels of the neighbours and of the label's own label, so the
+    number of steps follows the logarithm of a chain's length; a star takes one. Every step is a
+    written table and one join.
     """
-    edges = materialize(
-        links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links"
-    )
+    edges = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = materialize(edges.groupBy(F.col("a").alias("doc")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
     while True:
-        near = edges.join(labels.withColumnRenamed("doc", "b"), "b").groupBy(F.col("a").alias("doc")).agg(F.min("comp").alias("near"))
-        lower = labels.join(near, "doc").select("doc", F.col("comp").alias("old"), F.least("comp", "near").alias("step"))
-        jump = labels.select(F.col("doc").alias("step"), F.col("comp").alias("jump"))
-        after = materialize(
-            lower.join(jump, "step", "left").select("doc", "old", F.least("step", F.coalesce("jump", "step")).alias("comp")), "labels"
-        )
+        own = labels.select(F.col("doc").alias("a"), F.col("comp").alias("b"), F.col("comp").alias("old"))
+        reached = edges.withColumn("old", F.lit(None).cast(own.schema["old"].dataType)).unionByName(own)
+        known = labels.select(F.col("doc").alias("b"), "comp")
+        lower = reached.join(known, "b").groupBy(F.col("a").alias("doc")).agg(F.min("comp").alias("comp"), F.max("old").alias("old"))
+        after = materialize(lower.select("doc", "comp", (F.col("comp") < F.col("old")).alias("moved")), "labels")
         labels = after.select("doc", "comp")
-        if after.where(F.col("comp") != F.col("old")).isEmpty():
+        if after.where("moved").isEmpty():
             return labels
 
 
@@ -244,37 +241,15 @@ def near_duplicates(
         return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
     spokes = active.where((F.col("doc") != F.col("centre")) & able("n", "nc"))
-    pairs = materialize(spokes.groupBy(F.col("doc").alias("b")).agg(F.min("centre").alias("a")).select("a", "b"), "pairs")
+    pairs = materialize(spokes.select(F.col("centre").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
     links = materialize(confirmed(pairs, texts, words, percent), "confirmed")
-    checked, found = pairs, components(links)
-
-    def labelled(rows: DataFrame, column: str = "doc", name: str = "comp") -> DataFrame:
-        known = found.select(F.col("doc").alias("__doc"), F.col("comp").alias("__comp"))
-        joined = rows.join(known, F.col(column) == F.col("__doc"), "left")
-        return joined.withColumn(name, F.coalesce("__comp", column)).drop("__doc", "__comp")
-
-    def compared(candidates: DataFrame) -> bool:
-        """Check pairs not seen before; whether there were any."""
-        nonlocal checked, links, found
-        ordered = candidates.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        new = materialize(ordered.join(checked, ["a", "b"], "left_anti"), "pairs")
-        if new.isEmpty():
-            return False
-        more = materialize(confirmed(new, texts, words, percent), "confirmed")
-        checked = checked.unionByName(new)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            found = components(links)
-        return True
-
-    # Second round: the rest of every star, between components only.
-    apart = labelled(labelled(spokes), "centre", "centre_comp").where(F.col("comp") != F.col("centre_comp"))
-    compared(apart.select(F.col("centre").alias("x"), F.col("doc").alias("y")))
+    found = components(links)
     # From here on a document that was a centre has met all others of its bucket and leaves it.
     active = active.where(F.col("doc") != F.col("centre")).select("key", "doc", "n").distinct()
     step = 0
     while True:
-        here = labelled(active)
+        known = found.select("doc", "comp")
+        here = active.join(known, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
         per_comp = here.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
         mixed = per_comp.groupBy("key").agg(
             F.max(F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")
@@ -290,7 +265,11 @@ def near_duplicates(
             "centres",
         )
         met = open_.join(centres, "key").where((F.col("comp") != F.col("cx")) & able("n", "nx"))
-        compared(met.select("x", F.col("doc").alias("y")))
+        pairs = met.select(F.least("x", "doc").alias("a"), F.greatest("x", "doc").alias("b")).distinct()
+        more = materialize(confirmed(pairs, texts, words, percent), "confirmed")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            found = components(links)
         active = open_.select("key", "doc", "n").join(
             centres.select("key", F.col("x").alias("doc")), ["key", "doc"], "left_anti"
         )
