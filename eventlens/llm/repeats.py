@@ -9,10 +9,12 @@ be decided on their own:
    Neighbouring windows with one anchor form a run, about one run in 16 bytes.
 2. Documents are written once in packs, bucketed by pack, so no later step moves a text. Each pack asks
    once per distinct anchor whether another pack has it; most anchors are alone and end here.
-3. Runs of shared anchors travel, with their bytes, to blocks chosen by anchor. A block puts its windows
-   in suffix order; the previous and the next entry with a smaller document in this order have the
-   longest earlier matches, and where one of them agrees to the full length the window is a repeat.
-4. The repeats go back to their packs as byte intervals and are cut out of the texts.
+3. Runs of shared anchors meet by anchor, as hashes of their bytes. A run whose bytes stand in an
+   earlier document is a repeat. Left are anchors with several different runs, one document for each.
+4. Only these travel with their bytes, to blocks chosen by anchor. A block puts its windows in suffix
+   order; the previous and the next entry with a smaller document in this order have the longest
+   earlier matches, and where one of them agrees to the full length the window is a repeat.
+5. The repeats go back to their packs as byte intervals and are cut out of the texts.
 
 A pack sends equal runs once, for its smallest document, and settles the others itself; an anchor found
 in very many documents is sent window by window, to blocks chosen by the window. So neither a passage
@@ -32,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventlens.session import new_path
+from eventlens.session import materialize, new_path
 
 LENGTH = 50
 GRAM = 20
@@ -40,7 +42,7 @@ PACK_BYTES = 8 << 20
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
 # Documents with an anchor beyond which its windows are dealt out one by one.
-HOT_DOCUMENTS = 5_000
+HOT_DOCUMENTS = 20_000
 CHUNK = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
@@ -173,16 +175,33 @@ def _asked(table: pa.Table) -> pa.Table:
     return pa.table({"anchor": anchors.view(np.int64), "pack": pack, "n": counts.astype(np.int64)})
 
 
-_SENT = pa.schema([
-    ("key", pa.int64()), ("pack", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("bytes", pa.binary()),
-])
+_SENT = pa.schema([(n, pa.int64()) for n in ("key", "content", "pack", "doc", "start", "stop")])
+_MET = pa.schema([*[(n, pa.int64()) for n in ("key", "pack", "doc", "start", "stop")], ("open", pa.bool_())])
+_BYTES = pa.schema([*[(n, pa.int64()) for n in ("key", "pack", "doc", "start")], ("bytes", pa.binary())])
+
+
+def _fields(schema: pa.Schema) -> str:
+    names = {pa.int64(): "bigint", pa.bool_(): "boolean", pa.binary(): "binary"}
+    return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    columns = list(zip(*rows)) or [[] for _ in schema]
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _member(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    if not len(sorted_):
+        return np.zeros(len(values), dtype=bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values
 
 
 def _sent(texts: pa.Table, shared: pa.Table) -> pa.Table:
-    """Runs of shared anchors with their bytes; runs the pack can settle itself without."""
+    """Runs of shared anchors as hashes of their bytes. Runs that the pack settles itself have
+    no key."""
     rows: list[tuple] = []
     if not texts.num_rows:
-        return pa.table({f.name: pa.array([], f.type) for f in _SENT}, _SENT)
+        return _rows(rows, _SENT)
     pack = texts.column("pack")[0].as_py()
     others = np.sort(shared.column("anchor").to_numpy().view(np.uint64))
     hot = np.sort(shared.column("anchor").to_numpy()[shared.column("hot").to_numpy()].view(np.uint64))
@@ -194,37 +213,65 @@ def _sent(texts: pa.Table, shared: pa.Table) -> pa.Table:
     distinct = np.concatenate([np.unique(anchors) for anchors, _, _ in cut])
     anchors, counts = np.unique(distinct, return_counts=True)
     known = np.union1d(others, anchors[counts > 1])
-
-    def member(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
-        if not len(sorted_):
-            return np.zeros(len(values), dtype=bool)
-        return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values
-
     first_in: dict[bytes, int] = {}
     for i, (anchors, firsts, ends) in zip(order, cut):
         doc, raw = int(ids[i]), raws[int(i)].as_py()
-        keep = member(anchors, known)
-        split = member(anchors, hot)
+        keep = _member(anchors, known)
+        split = _member(anchors, hot)
         for anchor, a, b, one_by_one in zip(
             anchors[keep].view(np.int64).tolist(), firsts[keep].tolist(), ends[keep].tolist(), split[keep].tolist()
         ):
             for start, stop in ((w, w + 1) for w in range(a, b)) if one_by_one else ((a, b),):
-                content = raw[start : stop + LENGTH - 1]
+                stop += LENGTH - 1
+                content = raw[start:stop]
                 if first_in.setdefault(content, doc) < doc:
-                    rows.append((0, pack, doc, start, stop + LENGTH - 1, None))
+                    rows.append((None, None, pack, doc, start, stop))
                 else:
-                    key = int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "little", signed=True) if one_by_one else anchor
-                    rows.append((key, pack, doc, start, stop + LENGTH - 1, content))
-    columns = list(zip(*rows)) or [[] for _ in _SENT]
-    return pa.table([pa.array(c, f.type) for c, f in zip(columns, _SENT)], schema=_SENT)
+                    name = int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "little", signed=True)
+                    rows.append((name if one_by_one else anchor, name, pack, doc, start, stop))
+    return _rows(rows, _SENT)
+
+
+def _met(table: pa.Table) -> pa.Table:
+    """What the hashes settle: repeats, and runs that stay open until their bytes are compared."""
+    own = table.filter(pc.is_null(table.column("key")))
+    rest = table.filter(pc.is_valid(table.column("key")))
+    out = [own.select(["key", "pack", "doc", "start", "stop"]).append_column("open", pa.array(np.zeros(own.num_rows, dtype=bool)))]
+    if rest.num_rows:
+        key, content, doc = (rest.column(c).to_numpy() for c in ("key", "content", "doc"))
+        by = np.lexsort((doc, content, key))
+        key, content, doc = key[by], content[by], doc[by]
+        new_key = np.concatenate(([True], key[1:] != key[:-1]))
+        new_content = new_key | np.concatenate(([True], content[1:] != content[:-1]))
+        group, run = np.cumsum(new_key) - 1, np.cumsum(new_content) - 1
+        repeat = doc > doc[np.flatnonzero(new_content)][run]
+        several = np.bincount(group[new_content])[group] > 1
+        chosen = by[repeat | several]
+        found = rest.take(pa.array(chosen)).select(["key", "pack", "doc", "start", "stop"])
+        out.append(found.append_column("open", pa.array(~repeat[repeat | several])))
+    return pa.concat_tables([t.cast(_MET) for t in out])
+
+
+def _contents(texts: pa.Table, wanted: pa.Table) -> pa.Table:
+    """The bytes of open runs."""
+    where = {}
+    for i, doc in enumerate(texts.column("doc").to_pylist()):
+        where.setdefault(doc, []).append(i)
+    raws = texts.column("raw")
+    rows, last, raw = [], None, []
+    for doc, key, pack, start, stop in sorted(zip(*(wanted.column(c).to_pylist() for c in ("doc", "key", "pack", "start", "stop")))):
+        if doc != last:
+            last, raw = doc, [raws[i].as_py() for i in where[doc]]
+        rows += [(key, pack, doc, start, text[start:stop]) for text in raw if len(text) >= stop]
+    return _rows(rows, _BYTES)
 
 
 def _settled(table: pa.Table) -> pa.Table:
     """Byte intervals of one block's repeats."""
-    contents = table.column("bytes").combine_chunks()
-    sizes = np.array([0 if c is None else len(c) for c in contents.to_pylist()], dtype=np.int64)
+    contents = table.column("bytes").to_pylist()
+    sizes = np.array([len(c) for c in contents], dtype=np.int64)
     ids, begins = table.column("doc").to_numpy(), table.column("start").to_numpy()
-    data = np.frombuffer(b"".join(c for c in contents.to_pylist() if c is not None), dtype=np.uint8)
+    data = np.frombuffer(b"".join(contents), dtype=np.uint8)
     windows = np.maximum(sizes - LENGTH + 1, 0)
     row = np.repeat(np.arange(len(sizes)), windows)
     base = np.cumsum(sizes) - sizes
@@ -273,8 +320,8 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Ids are whole numbers. A null text is empty; a text shorter than ``LENGTH`` bytes stays whole. A row
     with a null id has no place in the order: it stays whole and removes nothing elsewhere. Repeated rows
-    and rows that share an id do not remove each other's bytes (only a smaller id does). Repeats inside
-    one document stay. Texts are cut at bytes, so ``kept`` may begin or end inside a character. Extra
+    do not remove each other's bytes (only a smaller id does); an id is one document, so different texts
+    under one id are not told apart and should not be given. Repeats inside one document stay. Texts are cut at bytes, so ``kept`` may begin or end inside a character. Extra
     columns are ignored.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
@@ -286,18 +333,14 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         asked.withColumn("packs", F.count(F.lit(1)).over(alike)).withColumn("docs", F.sum("n").over(alike))
         .where(F.col("packs") > 1).select("pack", "anchor", (F.col("docs") > HOT_DOCUMENTS).alias("hot"))
     )
-    sent = packs.groupBy("pack").cogroup(shared.groupBy("pack")).applyInArrow(
-        _sent, "key bigint, pack bigint, doc bigint, start bigint, stop bigint, bytes binary"
-    )
-    blocks = max(64, -(-n_bytes // BLOCK_BYTES))
-    open_ = sent.withColumn("block", F.pmod(F.xxhash64("key", F.when(F.col("bytes").isNull(), F.struct("doc", "start"))), F.lit(blocks)))
-
-    def settle(table: pa.Table) -> pa.Table:
-        own = table.filter(pc.is_null(table.column("bytes"))).select(["pack", "doc", "start", "stop"])
-        rest = table.filter(pc.is_valid(table.column("bytes")))
-        return pa.concat_tables([own, _settled(rest)]) if rest.num_rows else own
-
-    intervals = open_.groupBy("block").applyInArrow(settle, "pack bigint, doc bigint, start bigint, stop bigint")
+    blocks = F.lit(max(64, -(-n_bytes // BLOCK_BYTES)))
+    sent = packs.groupBy("pack").cogroup(shared.groupBy("pack")).applyInArrow(_sent, _fields(_SENT))
+    block = F.pmod(F.coalesce("key", F.xxhash64("doc", "start")), blocks)
+    met = materialize(sent.groupBy(block).applyInArrow(_met, _fields(_MET)), "met-runs")
+    wanted = met.where("open").select("key", "pack", "doc", "start", "stop")
+    contents = packs.groupBy("pack").cogroup(wanted.groupBy("pack")).applyInArrow(_contents, _fields(_BYTES))
+    compared = contents.groupBy(F.pmod("key", blocks)).applyInArrow(_settled, "pack bigint, doc bigint, start bigint, stop bigint")
+    intervals = met.where("not open").select("pack", "doc", "start", "stop").unionByName(compared)
     cut = packs.groupBy("pack").cogroup(intervals.groupBy("pack")).applyInArrow(
         _cut, "doc bigint, n_bytes bigint, n_removed bigint, spans array<array<bigint>>, kept binary"
     )
