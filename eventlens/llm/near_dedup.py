@@ -6,7 +6,7 @@ order of their own (optimal densification). ``BANDS`` bands of ``ROWS`` bins are
 similarity s meets in no bucket with probability (1 - s^ROWS)^BANDS, below 1e-7 at 0.8.
 
 Documents with the same words are put together first, so hot groups of copies are one document. In
-a bucket only stars are compared: the smallest document against the others. After that, only buckets
+a bucket only stars are compared: the document that meets most others against the rest. After that, only buckets
 that still hold more than one component go on, and there documents outside of the largest component
 become centres, until every bucket holds one component or all its pairs were compared. So pairs inside a component that is already
 joined are never listed, and no link between two components is missed in a bucket. Every link is
@@ -32,7 +32,7 @@ BINS = 128
 BANDS = 32
 ROWS = BINS // BANDS
 # Centres per unresolved bucket in the rounds after the first.
-CENTRES = (8, 64, 512)
+CENTRES = (1, 4, 16, 64, 256)
 CHUNK = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -228,12 +228,18 @@ def near_duplicates(
     )
     # One row per document and bucket; buckets with one document are gone after the first shuffle.
     placed = members.where(F.col("bands").isNotNull()).select("doc", "n", F.explode("bands").alias("key"))
-    stars = placed.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("centre"), F.max("doc").alias("last"))
-    stars = stars.where(F.col("centre.doc") < F.col("last")).select("key", F.col("centre.doc").alias("centre"), F.col("centre.n").alias("nc"))
-    active = materialize(placed.join(stars, "key"), "buckets")
+    sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("doc").alias("least"), F.max("doc").alias("last"))
+    sizes = sizes.where(F.col("least") < F.col("last")).select("key", "size")
+    shared = materialize(placed.join(sizes, "key"), "buckets")
+    # The document that meets most others stands nearest to the middle of its group: as the centre
+    # of all its buckets it links nearly the whole group in the first round.
+    rank = shared.groupBy("doc").agg(F.sum("size").alias("rank"))
+    ranked = materialize(shared.select("key", "doc", "n").distinct().join(rank, "doc"), "ranked-buckets")
+    stars = ranked.groupBy("key").agg(F.max_by(F.struct("doc", "n"), F.struct("rank", "key", "doc")).alias("centre"))
+    active = ranked.join(stars, "key").select("key", "doc", "n", "rank", F.col("centre.doc").alias("centre"), F.col("centre.n").alias("nc"))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
     source = docs.select(F.col(f"`{id_col}`").alias("doc"), text.alias("t"))
-    involved = active.select("doc").distinct()
+    involved = rank.select("doc")
     texts = materialize(source.join(involved, "doc", "left_semi"), "candidate-texts")
 
     def able(a: str, b: str) -> Column:
@@ -241,11 +247,11 @@ def near_duplicates(
         return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
     spokes = active.where((F.col("doc") != F.col("centre")) & able("n", "nc"))
-    pairs = materialize(spokes.select(F.col("centre").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
+    pairs = spokes.select(F.least("centre", "doc").alias("a"), F.greatest("centre", "doc").alias("b")).distinct()
     links = materialize(confirmed(pairs, texts, words, percent), "confirmed")
     found = components(links)
     # From here on a document that was a centre has met all others of its bucket and leaves it.
-    active = active.where(F.col("doc") != F.col("centre")).select("key", "doc", "n").distinct()
+    active = active.where(F.col("doc") != F.col("centre")).select("key", "doc", "n", "rank")
     step = 0
     while True:
         known = found.select("doc", "comp")
@@ -257,7 +263,7 @@ def near_duplicates(
         open_ = materialize(here.join(mixed.select("key", F.col("top.comp").alias("top")), "key"), "open-buckets")
         if open_.isEmpty():
             break
-        order = Window.partitionBy("key").orderBy(F.xxhash64("doc", F.lit(step)), "doc")
+        order = Window.partitionBy("key").orderBy(F.desc("rank"), "doc")
         centres = materialize(
             open_.where(F.col("comp") != F.col("top")).withColumn("place", F.row_number().over(order))
             .where(F.col("place") <= CENTRES[min(step, len(CENTRES) - 1)])
@@ -270,7 +276,7 @@ def near_duplicates(
         if not more.isEmpty():
             links = links.unionByName(more)
             found = components(links)
-        active = open_.select("key", "doc", "n").join(
+        active = open_.select("key", "doc", "n", "rank").join(
             centres.select("key", F.col("x").alias("doc")), ["key", "doc"], "left_anti"
         )
         step += 1
