@@ -3,14 +3,17 @@
 A document's distinct word shingles are hashed once; the hash range is cut into ``BINS`` bins and the
 smallest hash of each bin is its value. Empty bins borrow from the first non-empty bin in a random
 order of their own (optimal densification). ``BANDS`` bands of ``ROWS`` bins are bucket keys: a pair of
-similarity s meets in no bucket with probability (1 - s^ROWS)^BANDS, below 1e-7 at 0.8.
+similarity s meets in no bucket with probability (1 - s^ROWS)^BANDS, below 1e-8 at 0.8, and in one with
+1.5 % at 0.2, so that documents which only share a common passage seldom meet.
 
 Documents with the same words are put together first, so hot groups of copies are one document. In
-a bucket only stars are compared: the document that meets most others against the rest. After that, only buckets
-that still hold more than one component go on, and there documents outside of the largest component
-become centres, until every bucket holds one component or all its pairs were compared. So pairs inside a component that is already
-joined are never listed, and no link between two components is missed in a bucket. Every link is
-confirmed on the full shingle sets of both texts.
+a bucket only a star is compared: the document that meets most others against the rest. Buckets that
+then hold more than one component go on. Among their documents, two that are similar share one of
+their rarest shingles (a share of 1 - s of a set, plus one, cannot be missed by both), so these make
+new, smaller buckets, in which documents outside of the largest component become centres until every
+bucket holds one component or all its pairs were compared. Documents that have a frequent passage and
+nothing else in common part here; pairs inside a component that is already joined are never listed,
+and no link between two components is missed. Every link is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -28,11 +31,11 @@ from eventlens.session import materialize
 
 WORDS = 5
 PERCENT = 80
-BINS = 128
-BANDS = 32
-ROWS = BINS // BANDS
+BANDS = 48
+ROWS = 5
+BINS = BANDS * ROWS
 # Centres per unresolved bucket in the rounds after the first.
-CENTRES = (1, 4, 16, 64, 256)
+CENTRES = (4, 64, 1024)
 CHUNK = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -60,12 +63,24 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(maxsize=1)
-def _borrowing() -> np.ndarray:
+def _bins() -> tuple[np.ndarray, np.ndarray]:
+    """Lower bounds of the bins, and per bin the random order in which it asks others for a value."""
     rng = np.random.default_rng(2017)
-    order = np.stack([rng.permutation(BINS) for _ in range(BINS)])
-    # a bin with a value of its own keeps it
-    own = np.arange(BINS)[:, None]
-    return np.hstack([own, order])
+    bounds = np.array([b * 2**64 // BINS for b in range(BINS)], dtype=np.uint64)
+    return bounds, np.stack([rng.permutation(BINS) for _ in range(BINS)])
+
+
+def _densified(values: np.ndarray, full: np.ndarray) -> np.ndarray:
+    order = _bins()[1]
+    empty = np.flatnonzero(~full)
+    for attempt in range(BINS):
+        if not len(empty):
+            break
+        lender = order[empty, attempt]
+        lends = full[lender]
+        values[empty[lends]] = values[lender[lends]]
+        empty = empty[~lends]
+    return values
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,19 +114,19 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[n
     return _mixed(total), begin
 
 
+def signature(found: np.ndarray) -> np.ndarray:
+    """Values of all bins of a non-empty set of sorted distinct hashes."""
+    place = np.searchsorted(found, _bins()[0])
+    full = np.diff(np.append(place, len(found))) > 0
+    return _densified(found[np.minimum(place, len(found) - 1)], full)
+
+
 def bands(shingles: np.ndarray) -> tuple[int, np.ndarray | None]:
     """Size of the set and its bucket keys (None for an empty set)."""
     found = np.unique(shingles)
     if not len(found):
         return 0, None
-    bounds = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
-    place = np.searchsorted(found, bounds)
-    full = np.diff(np.append(place, len(found))) > 0
-    values = found[np.minimum(place, len(found) - 1)]
-    if not full.all():
-        order = _borrowing()
-        values = values[order[np.arange(BINS), full[order].argmax(axis=1)]]
-    keys = values.reshape(BANDS, ROWS)
+    keys = signature(found).reshape(BANDS, ROWS)
     weights = _mixed(np.arange(1, ROWS + 1, dtype=np.uint64)) | np.uint64(1)
     return len(found), _mixed((keys * weights).sum(axis=1) + np.arange(1, BANDS + 1, dtype=np.uint64)).view(np.int64)
 
@@ -205,6 +220,53 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def rarest(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """``key, doc, n, place, sketch``: the shingles of each text that stand in fewest of the texts, as
+    many as two similar texts cannot both be without; those of one text alone are left out. ``place``
+    counts them from the rarest, ``sketch`` has a byte of every bin's value."""
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("t").cast(pa.large_binary())
+            _, where, content = column.buffers()
+            offsets = np.frombuffer(where, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+            data = np.frombuffer(content, dtype=np.uint8) if content is not None else np.zeros(0, dtype=np.uint8)
+            for a, b in _chunks(offsets):
+                part = offsets[a : b + 1]
+                hashes, begin = shingle_hashes(data[part[0] : part[-1]], part - part[0], width)
+                sets = [np.unique(hashes[begin[i] : begin[i + 1]]) for i in range(b - a)]
+                sketches = [(signature(x) & np.uint64(255)).astype(np.uint8).view(np.int8) if len(x) else None for x in sets]
+                columns = [
+                    batch.column("doc").slice(a, b - a), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())),
+                    pa.array(sketches, pa.list_(pa.int8())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "keys", "sketch"])
+
+    kind = texts.schema["doc"].dataType.simpleString()
+    sets = materialize(
+        texts.select("doc", "t").mapInArrow(shingles, f"doc {kind}, keys array<bigint>, sketch array<tinyint>"), "open-sets"
+    )
+    rows = sets.select("doc", F.size("keys").alias("n"), F.explode("keys").alias("key"))
+    common = rows.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
+    place = F.row_number().over(Window.partitionBy("doc").orderBy("df", "key"))
+    counted = rows.join(common, "key", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("place", place)
+    enough = F.expr(f"n - (n * {percent} + 99) div 100 + 1")
+    rare = counted.where((F.col("place") <= enough) & (F.col("df") > 1)).select("key", "doc", "n", "place")
+    return materialize(rare.join(sets.select("doc", "sketch"), "doc"), "rare-shingles")
+
+
+def _possible(percent: int) -> Column:
+    """Whether a row and a centre (``x``-columns) that meet at a rare shingle can be similar: by the
+    shingles that are left behind it, and by the share of equal sketch bytes, six standard
+    deviations below what it is for similar sets (missed with a probability below 1e-8)."""
+    share = percent / 100
+    behind = 1 + F.least(F.col("nx") - F.col("px"), F.col("n") - F.col("place"))
+    needed = F.ceil(F.lit(percent) * (F.col("n") + F.col("nx")) / (100 + percent))
+    equal = F.size(F.filter(F.zip_with("sketch", "sx", lambda a, b: a == b), lambda same: same))
+    spread = F.sqrt(F.lit(share * (1 - share)) / F.least("n", "nx", F.lit(BINS)))
+    return (behind >= needed) & (equal >= BINS * (share - 6 * spread))
+
+
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT
 ) -> DataFrame:
@@ -250,8 +312,15 @@ def near_duplicates(
     pairs = spokes.select(F.least("centre", "doc").alias("a"), F.greatest("centre", "doc").alias("b")).distinct()
     links = materialize(confirmed(pairs, texts, words, percent), "confirmed")
     found = components(links)
-    # From here on a document that was a centre has met all others of its bucket and leaves it.
-    active = active.where(F.col("doc") != F.col("centre")).select("key", "doc", "n", "rank")
+    # A centre has met all others of its bucket; the rest of an open bucket is looked at again.
+    rest = active.where(F.col("doc") != F.col("centre")).join(found.select("doc", "comp"), "doc", "left")
+    comp = F.coalesce("comp", "doc")
+    undone = rest.groupBy("key").agg(F.min(comp).alias("low"), F.max(comp).alias("high")).where(F.col("low") < F.col("high"))
+    left = materialize(rest.join(undone.select("key"), "key", "left_semi").select("doc").distinct(), "open-documents")
+    if not left.isEmpty():
+        active = rarest(texts.join(left, "doc", "left_semi"), words, percent)
+    else:
+        active = left.where("false").selectExpr("0L key", "doc", "0 n", "0 place", "array(0Y) sketch")
     step = 0
     while True:
         known = found.select("doc", "comp")
@@ -263,20 +332,23 @@ def near_duplicates(
         open_ = materialize(here.join(mixed.select("key", F.col("top.comp").alias("top")), "key"), "open-buckets")
         if open_.isEmpty():
             break
-        order = Window.partitionBy("key").orderBy(F.desc("rank"), "doc")
+        order = Window.partitionBy("key").orderBy(F.xxhash64("doc"), "doc")
         centres = materialize(
-            open_.where(F.col("comp") != F.col("top")).withColumn("place", F.row_number().over(order))
-            .where(F.col("place") <= CENTRES[min(step, len(CENTRES) - 1)])
-            .select("key", F.col("doc").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx")),
+            open_.where(F.col("comp") != F.col("top")).withColumn("turn", F.row_number().over(order))
+            .where(F.col("turn") <= CENTRES[min(step, len(CENTRES) - 1)])
+            .select(
+                "key", F.col("doc").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("place").alias("px"),
+                F.col("sketch").alias("sx"),
+            ),
             "centres",
         )
-        met = open_.join(centres, "key").where((F.col("comp") != F.col("cx")) & able("n", "nx"))
+        met = open_.join(centres, "key").where((F.col("comp") != F.col("cx")) & able("n", "nx") & _possible(percent))
         pairs = met.select(F.least("x", "doc").alias("a"), F.greatest("x", "doc").alias("b")).distinct()
         more = materialize(confirmed(pairs, texts, words, percent), "confirmed")
         if not more.isEmpty():
             links = links.unionByName(more)
             found = components(links)
-        active = open_.select("key", "doc", "n", "rank").join(
+        active = open_.select(*active.columns).join(
             centres.select("key", F.col("x").alias("doc")), ["key", "doc"], "left_anti"
         )
         step += 1
