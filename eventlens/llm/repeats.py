@@ -175,9 +175,10 @@ def _asked(table: pa.Table) -> pa.Table:
     return pa.table({"anchor": anchors.view(np.int64), "pack": pack, "n": counts.astype(np.int64)})
 
 
-_SENT = pa.schema([(n, pa.int64()) for n in ("key", "content", "pack", "doc", "start", "stop")])
-_MET = pa.schema([*[(n, pa.int64()) for n in ("key", "pack", "doc", "start", "stop")], ("open", pa.bool_())])
-_BYTES = pa.schema([*[(n, pa.int64()) for n in ("key", "pack", "doc", "start")], ("bytes", pa.binary())])
+# ``key`` is half of the anchor: anchors of one block that share it are only compared more closely.
+_SENT = pa.schema([(n, pa.int64()) for n in ("block", "key", "content", "pack", "doc", "start", "size")])
+_MET = pa.schema([*[(n, pa.int64()) for n in ("block", "pack", "doc", "start", "stop")], ("open", pa.bool_())])
+_BYTES = pa.schema([*[(n, pa.int64()) for n in ("block", "pack", "doc", "start")], ("bytes", pa.binary())])
 
 
 def _fields(schema: pa.Schema) -> str:
@@ -196,9 +197,9 @@ def _member(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
     return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values
 
 
-def _sent(texts: pa.Table, shared: pa.Table) -> pa.Table:
-    """Runs of shared anchors as hashes of their bytes. Runs that the pack settles itself have
-    no key."""
+def _sent(texts: pa.Table, shared: pa.Table, blocks: int) -> pa.Table:
+    """Runs of shared anchors as hashes of their bytes. What the pack settles itself has no key;
+    neighbours of it are one row."""
     rows: list[tuple] = []
     if not texts.num_rows:
         return _rows(rows, _SENT)
@@ -218,6 +219,7 @@ def _sent(texts: pa.Table, shared: pa.Table) -> pa.Table:
         doc, raw = int(ids[i]), raws[int(i)].as_py()
         keep = _member(anchors, known)
         split = _member(anchors, hot)
+        own: list[int] = []  # the settled stretch so far
         for anchor, a, b, one_by_one in zip(
             anchors[keep].view(np.int64).tolist(), firsts[keep].tolist(), ends[keep].tolist(), split[keep].tolist()
         ):
@@ -225,18 +227,27 @@ def _sent(texts: pa.Table, shared: pa.Table) -> pa.Table:
                 stop += LENGTH - 1
                 content = raw[start:stop]
                 if first_in.setdefault(content, doc) < doc:
-                    rows.append((None, None, pack, doc, start, stop))
+                    if own and start <= own[1]:
+                        own[1] = stop
+                        continue
+                    if own:
+                        rows.append(((doc + own[0]) % blocks, None, None, pack, doc, own[0], own[1] - own[0]))
+                    own = [start, stop]
                 else:
                     name = int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "little", signed=True)
-                    rows.append((name if one_by_one else anchor, name, pack, doc, start, stop))
+                    met = name if one_by_one else anchor
+                    rows.append((met % blocks, met >> 32 & 0xFFFFFFFF, name, pack, doc, start, stop - start))
+        if own:
+            rows.append(((doc + own[0]) % blocks, None, None, pack, doc, own[0], own[1] - own[0]))
     return _rows(rows, _SENT)
 
 
 def _met(table: pa.Table) -> pa.Table:
     """What the hashes settle: repeats, and runs that stay open until their bytes are compared."""
+    table = table.append_column("stop", pc.add(table.column("start"), table.column("size")))
     own = table.filter(pc.is_null(table.column("key")))
     rest = table.filter(pc.is_valid(table.column("key")))
-    out = [own.select(["key", "pack", "doc", "start", "stop"]).append_column("open", pa.array(np.zeros(own.num_rows, dtype=bool)))]
+    out = [own.select(["block", "pack", "doc", "start", "stop"]).append_column("open", pa.array(np.zeros(own.num_rows, dtype=bool)))]
     if rest.num_rows:
         key, content, doc = (rest.column(c).to_numpy() for c in ("key", "content", "doc"))
         by = np.lexsort((doc, content, key))
@@ -247,7 +258,7 @@ def _met(table: pa.Table) -> pa.Table:
         repeat = doc > doc[np.flatnonzero(new_content)][run]
         several = np.bincount(group[new_content])[group] > 1
         chosen = by[repeat | several]
-        found = rest.take(pa.array(chosen)).select(["key", "pack", "doc", "start", "stop"])
+        found = rest.take(pa.array(chosen)).select(["block", "pack", "doc", "start", "stop"])
         out.append(found.append_column("open", pa.array(~repeat[repeat | several])))
     return pa.concat_tables([t.cast(_MET) for t in out])
 
@@ -259,10 +270,10 @@ def _contents(texts: pa.Table, wanted: pa.Table) -> pa.Table:
         where.setdefault(doc, []).append(i)
     raws = texts.column("raw")
     rows, last, raw = [], None, []
-    for doc, key, pack, start, stop in sorted(zip(*(wanted.column(c).to_pylist() for c in ("doc", "key", "pack", "start", "stop")))):
+    for doc, block, pack, start, stop in sorted(zip(*(wanted.column(c).to_pylist() for c in ("doc", "block", "pack", "start", "stop")))):
         if doc != last:
             last, raw = doc, [raws[i].as_py() for i in where[doc]]
-        rows += [(key, pack, doc, start, text[start:stop]) for text in raw if len(text) >= stop]
+        rows += [(block, pack, doc, start, text[start:stop]) for text in raw if len(text) >= stop]
     return _rows(rows, _BYTES)
 
 
@@ -333,13 +344,14 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         asked.withColumn("packs", F.count(F.lit(1)).over(alike)).withColumn("docs", F.sum("n").over(alike))
         .where(F.col("packs") > 1).select("pack", "anchor", (F.col("docs") > HOT_DOCUMENTS).alias("hot"))
     )
-    blocks = F.lit(max(64, -(-n_bytes // BLOCK_BYTES)))
-    sent = packs.groupBy("pack").cogroup(shared.groupBy("pack")).applyInArrow(_sent, _fields(_SENT))
-    block = F.pmod(F.coalesce("key", F.xxhash64("doc", "start")), blocks)
-    met = materialize(sent.groupBy(block).applyInArrow(_met, _fields(_MET)), "met-runs")
-    wanted = met.where("open").select("key", "pack", "doc", "start", "stop")
+    blocks = max(64, -(-n_bytes // BLOCK_BYTES))
+    sent = packs.groupBy("pack").cogroup(shared.groupBy("pack")).applyInArrow(
+        lambda texts, anchors: _sent(texts, anchors, blocks), _fields(_SENT)
+    )
+    met = materialize(sent.groupBy("block").applyInArrow(_met, _fields(_MET)), "met-runs")
+    wanted = met.where("open").select("block", "pack", "doc", "start", "stop")
     contents = packs.groupBy("pack").cogroup(wanted.groupBy("pack")).applyInArrow(_contents, _fields(_BYTES))
-    compared = contents.groupBy(F.pmod("key", blocks)).applyInArrow(_settled, "pack bigint, doc bigint, start bigint, stop bigint")
+    compared = contents.groupBy("block").applyInArrow(_settled, "pack bigint, doc bigint, start bigint, stop bigint")
     intervals = met.where("not open").select("pack", "doc", "start", "stop").unionByName(compared)
     cut = packs.groupBy("pack").cogroup(intervals.groupBy("pack")).applyInArrow(
         _cut, "doc bigint, n_bytes bigint, n_removed bigint, spans array<array<bigint>>, kept binary"
