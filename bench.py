@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -32,6 +33,7 @@ def main() -> None:
         SparkSession.builder.master(f"local[{CPUS}]").appName("eventlens-bench")
         .config("spark.driver.memory", "20g").config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", os.environ.get("BENCH_PARTITIONS", CPUS))
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="eventlens-bench-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -70,7 +71,8 @@ def main(argv: list[str]) -> int:
     folder = f"/root/testdata/sf{sf}"
     spark = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", os.environ.get("COMPARE_PARTITIONS", "8"))
-        .config("spark.driver.memory", "12g").config("spark.ui.enabled", "false").getOrCreate()
+        .config("spark.driver.memory", "12g").config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="eventlens-compare-")).getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
