@@ -1,8 +1,9 @@
 """Benchmark items in documents, found by templates. Spark functions only.
 
 Every word that can be re-parameterised is marked as a slot of its type: numbers, units after a
-number, and names (capitalised inside a sentence). Only the type counts in a window. Windows of ``WINDOW`` canonical words of the
-benchmark are hash-joined with the same windows of all documents. A hit means that the template
+number, and names (capitalised inside a sentence). Windows of ``WINDOW`` canonical words of the
+benchmark are hash-joined with the same windows of all documents, twice: with only the type of a
+slot, and as plain lower-case words, which finds verbatim copies of any case and spacing. A hit means that the template
 fits; the slots are then compared: in one document and item every benchmark value must stand for
 one document value throughout and the other way round. Equal values are a verbatim copy, a
 consistent renaming is a re-parameterised question, contradicting slots are no copy.
@@ -33,8 +34,10 @@ UNITS = (
 )
 # A slot is marked by a character before its value: number, unit, name.
 SLOT_MARKS = {"n": "\x01", "u": "\x02", "p": "\x03"}
-AMOUNT = r"(?<![\p{L}\p{N}.,])([-+$€£]?[0-9](?:[0-9.,:/]*[0-9])?)"
+AMOUNT = r"(?<![\p{L}\p{N}.,\x01])(?<!\x01[-+$€£])([-+$€£]?[0-9](?:[0-9.,:/]*[0-9])?)"
 NAME = r"(?<=[\p{L}\p{N},;]\s)(\p{Lu}\p{Ll}+)"
+# White space other than one plain space.
+SPACES = r"[\s\p{Z}]{2,}|[\s\p{Z}&&[^ ]]"
 # Between words: anything but letters and digits; marks inside a number belong to it.
 GAP = r"[^\p{L}\p{M}\p{N}\x01-\x03.,:/]+|[.,:/]+(?![0-9])|(?<![0-9])[.,:/]+"
 
@@ -43,10 +46,11 @@ def canonical_words(text: Column) -> Column:
     """Lower-case words; the words of a slot begin with its mark."""
     number, unit, name = (SLOT_MARKS[k] for k in "nup")
     units = "|".join(UNITS)
-    clean = F.translate(text, number + unit + name, "   ")
-    with_units = F.regexp_replace(clean, AMOUNT + rf"\s?({units})(?![\p{{L}}\p{{N}}])", f" {number}$1 {unit}$2 ")
+    spaced = F.regexp_replace(text, SPACES, " ")
+    clean = F.regexp_replace(F.translate(text, number + unit + name, "   "), SPACES, " ")
+    with_units = F.regexp_replace(clean, AMOUNT + rf"\s?((?i:{units}))(?![\p{{L}}\p{{N}}])", f" {number}$1 {unit}$2 ")
     numbers = F.regexp_replace(with_units, AMOUNT, f" {number}$1")
-    marked = F.when(text.rlike("[0-9]"), numbers).otherwise(text)
+    marked = F.when(text.rlike("[0-9]"), numbers).otherwise(spaced)
     marked = F.when(text.rlike("[\x01-\x03]") & ~text.rlike("[0-9]"), clean).otherwise(marked)
     return F.array_remove(F.split(F.lower(F.regexp_replace(marked, NAME, f"{name}$1")), GAP, -1), "")
 
@@ -66,21 +70,47 @@ def _pairwise(a: Column, step: int) -> Column:
     return F.zip_with(F.slice(a, 1, F.greatest(F.size(a) - step, F.lit(0))), later, lambda x, y: F.xxhash64(x, y))
 
 
+def _value(word: Column) -> Column:
+    """The word without the mark of its slot."""
+    return F.when(_is_slot(word), F.substring(word, 2, 1_000_000)).otherwise(word)
+
+
+def _shape(words: Column) -> Column:
+    """The words with slots reduced to their type."""
+    return F.transform(words, lambda w: F.when(_is_slot(w), F.substring(w, 1, 1)).otherwise(w))
+
+
 def window_hashes(words: DataFrame) -> DataFrame:
-    """Add ``hashes``: one per window of ``WINDOW`` canonical words, in order."""
-    unit = F.transform("words", lambda w: F.xxhash64(F.when(_is_slot(w), F.substring(w, 1, 1)).otherwise(w)))
-    step, rows = 1, once(words, "__a1", unit)
-    while step < WINDOW:
-        rows = once(rows, f"__a{2 * step}", _pairwise(F.col(f"__a{step}"), step)).drop(f"__a{step}")
-        step *= 2
-    return rows.withColumnRenamed(f"__a{step}", "hashes")
+    """Add ``typed`` and ``plain``: one hash per window of ``WINDOW`` canonical words, in order; slots count
+    by their type in the first and by their value, as plain words, in the second."""
+    rows = words
+    for name, unit in (("typed", F.transform(_shape(F.col("words")), lambda w: F.xxhash64(w))),
+                       ("plain", F.transform("words", lambda w: F.xxhash64(_value(w))))):
+        step, rows = 1, once(rows, f"__{name}1", unit)
+        while step < WINDOW:
+            rows = once(rows, f"__{name}{2 * step}", _pairwise(F.col(f"__{name}{step}"), step)).drop(f"__{name}{step}")
+            step *= 2
+        rows = rows.withColumnRenamed(f"__{name}{step}", name)
+    return rows
+
+
+def _plain_only() -> Column:
+    """Hashes of ``plain``, null where the window has no slot and ``typed`` says the same."""
+    return F.zip_with("plain", "typed", lambda p, t: F.when(p != t, p))
 
 
 def _windows(hashed: DataFrame) -> DataFrame:
-    """Explode ``hashes`` into ``pos, h, window`` (the words of the window)."""
-    cut = F.transform("hashes", lambda h, i: F.struct(i.alias("pos"), h.alias("h"), F.slice("words", i + 1, WINDOW).alias("window")))
-    keys = [c for c in hashed.columns if c not in ("words", "hashes")]
-    return once(hashed, "__cut", cut).select(*keys, F.explode("__cut").alias("x")).select(*keys, "x.pos", "x.h", "x.window")
+    """Explode the hashes into ``pos, h, typed, window`` (the words of the window)."""
+    def cut(hashes: Column, typed: bool) -> Column:
+        place = lambda h, i: F.struct(
+            i.alias("pos"), h.alias("h"), F.lit(typed).alias("typed"), F.slice("words", i + 1, WINDOW).alias("window")
+        )
+        return F.transform(hashes, place)
+
+    keys = [c for c in hashed.columns if c not in ("words", "typed", "plain")]
+    cuts = once(once(hashed, "__only", _plain_only()), "__cut", F.concat(cut(F.col("typed"), True), cut(F.col("__only"), False)))
+    fields = [f"x.{c}" for c in ("pos", "h", "typed", "window")]
+    return cuts.select(*keys, F.explode("__cut").alias("x")).select(*keys, *fields).where(F.col("h").isNotNull())
 
 
 def contaminated(
@@ -94,29 +124,36 @@ def contaminated(
 ) -> DataFrame:
     """Pairs ``doc_id, item_id, n_windows, n_item_windows, n_slots, n_renamed, verbatim``.
 
-    A pair is returned when the document holds at least ``MIN_WINDOWS`` windows of the item, or
-    ``MIN_COVERAGE`` of them, and the slots of these windows agree. Windows with fewer than
-    ``MIN_LITERALS`` literal words say nothing and are left out; an item without any other window
-    (shorter than ``WINDOW`` words, or almost all slots) has no template and matches nothing. Rows
-    with a null document or item id, and null or empty texts, match nothing. Repeated rows count
-    once; rows that share an id are one document. Extra columns are ignored.
+    A window of the item is met typed (at least ``MIN_LITERALS`` literal words, any slot values) or
+    plain (the same words whatever their case and spacing). A pair is returned when the document
+    holds at least ``MIN_WINDOWS`` windows of the item, or ``MIN_COVERAGE`` of them (or of those
+    with enough literals), and the slots of these windows agree. Plain windows of one unbroken run
+    that is enough by itself count also where the slots disagree. An item shorter than ``WINDOW``
+    words has no window and matches nothing. Rows with a null document or item id, and null or empty
+    texts, match nothing. Repeated rows count once; rows that share an id are one document. Extra
+    columns are ignored.
     """
     item_rows = benchmark.select(F.col(f"`{item_col}`").alias("item_id"), F.col(f"`{item_text_col}`").cast("string").alias("t"))
     items = window_hashes(canonical(item_rows.where(F.col("item_id").isNotNull()), F.coalesce("t", F.lit("")), "item_id"))
     literals = F.size(F.filter("window", lambda w: ~_is_slot(w)))
+    # a window with few literals is met by its values only
     side = materialize(
-        _windows(items).where(literals >= MIN_LITERALS)
-        .select("item_id", F.col("pos").alias("ipos"), "h", F.col("window").alias("iwords"))
-        .dropDuplicates(["item_id", "ipos", "h"]),
+        _windows(items)
+        .withColumn("h", F.when(F.col("typed") & (literals < MIN_LITERALS), F.lit(None)).otherwise(F.col("h")))
+        .select("item_id", F.col("pos").alias("ipos"), "h", F.col("window").alias("iwords"), (literals >= MIN_LITERALS).alias("open"))
+        .where(F.col("h").isNotNull()).dropDuplicates(["item_id", "ipos", "h"]),
         "template-windows",
     )
-    n_item = side.groupBy("item_id").agg(F.countDistinct("ipos").alias("n_item_windows"))
+    n_item = side.groupBy("item_id").agg(
+        F.countDistinct("ipos").alias("n_item_windows"), F.countDistinct(F.when(F.col("open"), F.col("ipos"))).alias("n_open")
+    )
     keys = side.select("h").distinct()
     small = keys.count() <= BROADCAST_WINDOWS
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("t"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("t").isNotNull())
     # Only hashes meet the windows of the corpus; the texts of the few documents hit are read again.
-    windows = window_hashes(canonical(rows, F.col("t"), "doc_id")).select("doc_id", F.explode("hashes").alias("h"))
+    hashed = window_hashes(canonical(rows, F.col("t"), "doc_id"))
+    windows = hashed.select("doc_id", F.explode(F.concat("typed", _plain_only())).alias("h")).where(F.col("h").isNotNull())
     found = windows.join(F.broadcast(keys) if small else keys, "h", "left_semi").select("doc_id").distinct()
     # the documents hit grow with the corpus: never broadcast
     few = materialize(found, "template-hits").hint("merge")
@@ -125,22 +162,40 @@ def contaminated(
         "doc_id", F.col("pos").alias("dpos"), "h", F.col("window").alias("dwords")
     ).join(side, "h")
     # the hash is confirmed on the words themselves
-    shape = lambda c: F.transform(c, lambda w: F.when(_is_slot(w), F.substring(w, 1, 1)).otherwise(w))
-    same = met.where(shape(F.col("dwords")) == shape(F.col("iwords")))
-    slots = F.filter(F.zip_with("iwords", "dwords", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: _is_slot(x["a"]))
+    values = lambda c: F.transform(c, _value)
+    met = met.withColumn("exact", values(F.col("dwords")) == values(F.col("iwords")))
+    same = met.where(F.col("exact") | (F.col("open") & (_shape(F.col("dwords")) == _shape(F.col("iwords")))))
+    # both values of a slot under the item's mark: in a copy of other case a name is a plain word
+    pair = lambda a, b: F.struct(a.alias("a"), F.concat(F.substring(a, 1, 1), _value(b)).alias("b"))
+    slots = F.filter(F.zip_with("iwords", "dwords", pair), lambda x: _is_slot(x["a"]))
     # one alignment of item and document at a time: a document may hold an item twice, differently filled
     aligned = same.groupBy("doc_id", "item_id", (F.col("dpos") - F.col("ipos")).alias("shift")).agg(
-        F.collect_set("ipos").alias("places"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots")
+        F.collect_set(F.struct("ipos", "open", "exact", slots.alias("slots"))).alias("met")
+    ).join(n_item, "item_id")
+    aligned = once(aligned, "pairs", F.array_distinct(F.flatten("met.slots")))
+    exact = F.array_sort(F.array_distinct(F.transform(F.filter("met", lambda w: w["exact"]), lambda w: w["ipos"])))
+    aligned = once(aligned, "exact", exact)
+    # places of unbroken runs of `need` windows or more
+    need = F.least(F.lit(MIN_WINDOWS), F.ceil(MIN_COVERAGE * F.col("n_item_windows"))).cast("int")
+    at = lambda i: F.get("exact", i)
+    unbroken = lambda _, i: F.exists(
+        F.sequence(F.lit(0), need - 1), lambda d: F.coalesce(at(i - d + need - 1) - at(i - d) == need - 1, F.lit(False))
     )
-    distinct = lambda f: F.size(F.array_distinct(F.transform("slots", f)))
-    consistent = (F.size("slots") == distinct(lambda x: x["a"])) & (F.size("slots") == distinct(lambda x: x["b"]))
-    per_pair = aligned.where(consistent).groupBy("doc_id", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("bigint").alias("n_windows"),
-        F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"),
+    aligned = once(aligned, "runs", F.filter("exact", unbroken))
+    distinct = lambda f: F.size(F.array_distinct(F.transform("pairs", f)))
+    consistent = (F.size("pairs") == distinct(lambda x: x["a"])) & (F.size("pairs") == distinct(lambda x: x["b"]))
+    aligned = once(aligned, "consistent", consistent)
+    counted = F.filter("met", lambda w: F.col("consistent") | (w["exact"] & F.array_contains("runs", w["ipos"])))
+    per_pair = aligned.groupBy("doc_id", "item_id", "n_item_windows", "n_open").agg(F.flatten(F.collect_list(counted)).alias("met"))
+    places = lambda c: F.size(F.array_distinct(F.transform(c, lambda w: w["ipos"]))).cast("bigint")
+    per_pair = per_pair.select(
+        "doc_id", "item_id", places("met").alias("n_windows"), "n_item_windows", "n_open",
+        places(F.filter("met", lambda w: w["open"])).alias("n_open_met"), F.array_distinct(F.flatten("met.slots")).alias("slots"),
     )
     renamed = F.size(F.filter("slots", lambda x: x["a"] != x["b"]))
-    enough = (F.col("n_windows") >= MIN_WINDOWS) | (F.col("n_windows") >= MIN_COVERAGE * F.col("n_item_windows"))
-    return per_pair.join(n_item, "item_id").where(enough).select(
+    part = lambda n, of: (F.col(of) > 0) & (F.col(n) >= MIN_COVERAGE * F.col(of))
+    enough = (F.col("n_windows") >= MIN_WINDOWS) | part("n_windows", "n_item_windows") | part("n_open_met", "n_open")
+    return per_pair.where(enough).select(
         "doc_id", "item_id", "n_windows", "n_item_windows",
         F.size("slots").cast("bigint").alias("n_slots"), renamed.cast("bigint").alias("n_renamed"),
         (renamed == 0).alias("verbatim"),

@@ -405,3 +405,15 @@ def test_large_benchmarks_are_joined_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
     some = spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")
     assert decontaminate.contaminated(table(spark, [(1, ITEM, "en", "a")]), some).count() == 1
+
+
+def test_copies_of_any_case_and_spacing_are_found(spark):
+    german = "Am Morgen geht die Lehrerin mit der Klasse in den Garten und zeigt den Kindern die Blumen, Bäume und Vögel der Stadt"
+    rows = [
+        (1, ITEM.upper()), (2, ITEM.lower()), (3, ITEM.replace(" ", "  ")), (4, ITEM.replace(" ", "\r\n")), (5, "Intro\n\n" + ITEM.replace(" ", "\n\n", 9)),
+        (6, german.upper()), (7, german.lower()), (8, german.replace(" ", " \u00a0")), (9, ITEM.replace("120 km", "120KM").lower()),
+    ]
+    items = spark.createDataFrame([(1, ITEM), (2, german)], "item_id bigint, text string")
+    got = decontaminate.contaminated(table(spark, [(i, t, "en", "a") for i, t in rows]), items).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, 2 if i in (6, 7, 8) else 1) for i, _ in rows}
+    assert all(r["verbatim"] and r["n_windows"] == r["n_item_windows"] for r in got if r["doc_id"] != 5)
