@@ -4,9 +4,10 @@ Every word that can be re-parameterised is marked as a slot of its type: numbers
 number, and names (capitalised inside a sentence). Windows of ``WINDOW`` canonical words of the
 benchmark are hash-joined with the same windows of all documents, twice: with only the type of a
 slot, and as plain lower-case words, which finds verbatim copies of any case and spacing. A hit means that the template
-fits; the slots are then compared: in one document and item every benchmark value must stand for
-one document value throughout and the other way round. Equal values are a verbatim copy, a
-consistent renaming is a re-parameterised question, contradicting slots are no copy.
+fits; the slots are then compared: in one alignment of document and item every benchmark value must
+stand for one document value; several may stand for the same. Equal values are a verbatim copy, a
+consistent renaming is a re-parameterised question. A value that stands for several takes away the
+windows that hold it, unless they are part of a long verbatim run.
 """
 
 from __future__ import annotations
@@ -127,8 +128,8 @@ def contaminated(
     A window of the item is met typed (at least ``MIN_LITERALS`` literal words, any slot values) or
     plain (the same words whatever their case and spacing). A pair is returned when the document
     holds at least ``MIN_WINDOWS`` windows of the item, or ``MIN_COVERAGE`` of them (or of those
-    with enough literals), and the slots of these windows agree. Plain windows of one unbroken run
-    that is enough by itself count also where the slots disagree. An item shorter than ``WINDOW``
+    with enough literals). Windows do not count if they hold an item value that stands for several
+    values in this alignment, except plain windows of one unbroken run that is enough by itself. An item shorter than ``WINDOW``
     words has no window and matches nothing. Rows with a null document or item id, and null or empty
     texts, match nothing. Repeated rows count once; rows that share an id are one document. Extra
     columns are ignored.
@@ -182,10 +183,11 @@ def contaminated(
         F.sequence(F.lit(0), need - 1), lambda d: F.coalesce(at(i - d + need - 1) - at(i - d) == need - 1, F.lit(False))
     )
     aligned = once(aligned, "runs", F.filter("exact", unbroken))
-    distinct = lambda f: F.size(F.array_distinct(F.transform("pairs", f)))
-    consistent = (F.size("pairs") == distinct(lambda x: x["a"])) & (F.size("pairs") == distinct(lambda x: x["b"]))
-    aligned = once(aligned, "consistent", consistent)
-    counted = F.filter("met", lambda w: F.col("consistent") | (w["exact"] & F.array_contains("runs", w["ipos"])))
+    # item values that stand for several document values take their windows with them, no others
+    aligned = once(aligned, "named", F.transform("pairs", lambda x: x["a"]))
+    aligned = once(aligned, "torn", F.array_distinct(F.filter("named", lambda a, i: F.array_position("named", a) != i + 1)))
+    agrees = lambda w: ~F.exists(w["slots"], lambda x: F.array_contains("torn", x["a"]))
+    counted = F.filter("met", lambda w: agrees(w) | (w["exact"] & F.array_contains("runs", w["ipos"])))
     per_pair = aligned.groupBy("doc_id", "item_id", "n_item_windows", "n_open").agg(F.flatten(F.collect_list(counted)).alias("met"))
     places = lambda c: F.size(F.array_distinct(F.transform(c, lambda w: w["ipos"]))).cast("bigint")
     per_pair = per_pair.select(

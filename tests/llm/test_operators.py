@@ -417,3 +417,15 @@ def test_copies_of_any_case_and_spacing_are_found(spark):
     got = decontaminate.contaminated(table(spark, [(i, t, "en", "a") for i, t in rows]), items).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, 2 if i in (6, 7, 8) else 1) for i, _ in rows}
     assert all(r["verbatim"] and r["n_windows"] == r["n_item_windows"] for r in got if r["doc_id"] != 5)
+
+
+def test_a_contradicting_slot_costs_its_own_windows_only(spark):
+    middle = "so that nobody in the whole village could remember when the last heavy snow had come down over these quiet hills"
+    edited = f"The farmer bought 12 bags {middle} and then sold 12 bags"
+    fruit = "Somebody puts 3 apples in the basket and then adds 4 pears before carrying all of it to the kitchen"
+    # values that differ everywhere: only windows without the contradicting slots count
+    moved = edited.replace("sold 12", "sold 15").replace("bought 12", "bought 11")
+    rows = [(1, edited.replace("sold 12", "sold 15")), (2, fruit.replace("3", "5").replace("4", "5")), (3, moved)]
+    items = spark.createDataFrame([(1, edited), (2, fruit)], "item_id bigint, text string")
+    got = decontaminate.contaminated(table(spark, [(i, t, "en", "a") for i, t in rows]), items).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 1), (2, 2), (3, 1)}
