@@ -12,6 +12,8 @@ windows that hold it, unless they are part of a long verbatim run.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,10 +67,11 @@ def canonical(df: DataFrame, text: Column, *keys: str) -> DataFrame:
     return once(df.select(*keys, text.alias("__text")), "words", canonical_words(F.col("__text"))).drop("__text")
 
 
-def _pairwise(a: Column, step: int) -> Column:
-    """Hash of each value with the one ``step`` later."""
-    later = F.slice(a, step + 1, F.greatest(F.size(a) - step, F.lit(0)))
-    return F.zip_with(F.slice(a, 1, F.greatest(F.size(a) - step, F.lit(0))), later, lambda x, y: F.xxhash64(x, y))
+def _pairwise(a: Column, step: int, b: Column | None = None) -> Column:
+    """Hash of each value of ``a`` with the one ``step`` later, in ``a`` or ``b``."""
+    b = a if b is None else b
+    n = F.greatest(F.size(b) - step, F.lit(0))
+    return F.zip_with(F.slice(a, 1, n), F.slice(b, step + 1, n), lambda x, y: F.xxhash64(x, y))
 
 
 def _value(word: Column) -> Column:
@@ -81,17 +84,29 @@ def _shape(words: Column) -> Column:
     return F.transform(words, lambda w: F.when(_is_slot(w), F.substring(w, 1, 1)).otherwise(w))
 
 
-def window_hashes(words: DataFrame) -> DataFrame:
+def window_hashes(words: DataFrame, short: Sequence[int] = ()) -> DataFrame:
     """Add ``typed`` and ``plain``: one hash per window of ``WINDOW`` canonical words, in order; slots count
-    by their type in the first and by their value, as plain words, in the second."""
+    by their type in the first and by their value, as plain words, in the second. Add ``short<n>``: the
+    same as ``plain`` for windows of ``n`` words, for the lengths in ``short`` (below ``WINDOW``)."""
     rows = words
     for name, unit in (("typed", F.transform(_shape(F.col("words")), lambda w: F.xxhash64(w))),
                        ("plain", F.transform("words", lambda w: F.xxhash64(_value(w))))):
-        step, rows = 1, once(rows, f"__{name}1", unit)
+        made, step = {n: None for n in short if name == "plain"}, 1
+        rows = once(rows, f"__{name}", unit)
         while step < WINDOW:
-            rows = once(rows, f"__{name}{2 * step}", _pairwise(F.col(f"__{name}{step}"), step)).drop(f"__{name}{step}")
-            step *= 2
-        rows = rows.withColumnRenamed(f"__{name}{step}", name)
+            # the powers of two in a length, smallest first
+            for n in made:
+                if n & step:
+                    done = n & (step - 1)
+                    longer = F.col(f"__{name}") if made[n] is None else _pairwise(F.col(made[n]), done, F.col(f"__{name}"))
+                    rows = once(rows, f"__n{n}_{step}", longer)
+                    rows = rows.drop(made[n]) if made[n] else rows
+                    made[n] = f"__n{n}_{step}"
+            rows = once(rows, f"__{name}{2 * step}", _pairwise(F.col(f"__{name}"), step)).drop(f"__{name}")
+            step, rows = 2 * step, rows.withColumnRenamed(f"__{name}{2 * step}", f"__{name}")
+        rows = rows.withColumnRenamed(f"__{name}", name)
+        for n, column in made.items():
+            rows = rows.withColumnRenamed(column, f"short{n}")
     return rows
 
 
@@ -100,18 +115,19 @@ def _plain_only() -> Column:
     return F.zip_with("plain", "typed", lambda p, t: F.when(p != t, p))
 
 
-def _windows(hashed: DataFrame) -> DataFrame:
+def _windows(hashed: DataFrame, short: Sequence[int] = ()) -> DataFrame:
     """Explode the hashes into ``pos, h, typed, window`` (the words of the window)."""
-    def cut(hashes: Column, typed: bool) -> Column:
+    def cut(hashes: Column, typed: bool, length: int) -> Column:
         place = lambda h, i: F.struct(
-            i.alias("pos"), h.alias("h"), F.lit(typed).alias("typed"), F.slice("words", i + 1, WINDOW).alias("window")
+            i.alias("pos"), h.alias("h"), F.lit(typed).alias("typed"), F.slice("words", i + 1, length).alias("window")
         )
         return F.transform(hashes, place)
 
-    keys = [c for c in hashed.columns if c not in ("words", "typed", "plain")]
-    cuts = once(once(hashed, "__only", _plain_only()), "__cut", F.concat(cut(F.col("typed"), True), cut(F.col("__only"), False)))
+    keys = [c for c in hashed.columns if c not in ("words", "typed", "plain", *(f"short{n}" for n in short))]
+    cuts = [cut(F.col("typed"), True, WINDOW), cut(F.col("__only"), False, WINDOW), *(cut(F.col(f"short{n}"), False, n) for n in short)]
+    rows = once(once(hashed, "__only", _plain_only()), "__cut", F.concat(*cuts))
     fields = [f"x.{c}" for c in ("pos", "h", "typed", "window")]
-    return cuts.select(*keys, F.explode("__cut").alias("x")).select(*keys, *fields).where(F.col("h").isNotNull())
+    return rows.select(*keys, F.explode("__cut").alias("x")).select(*keys, *fields).where(F.col("h").isNotNull())
 
 
 def contaminated(
@@ -130,16 +146,21 @@ def contaminated(
     holds at least ``MIN_WINDOWS`` windows of the item, or ``MIN_COVERAGE`` of them (or of those
     with enough literals). Windows do not count if they hold an item value that stands for several
     values in this alignment, except plain windows of one unbroken run that is enough by itself. An item shorter than ``WINDOW``
-    words has no window and matches nothing. Rows with a null document or item id, and null or empty
+    words is one plain window of its own length, even if it is one word. Rows with a null document or item id, and null or empty
     texts, match nothing. Repeated rows count once; rows that share an id are one document. Extra
     columns are ignored.
     """
     item_rows = benchmark.select(F.col(f"`{item_col}`").alias("item_id"), F.col(f"`{item_text_col}`").cast("string").alias("t"))
-    items = window_hashes(canonical(item_rows.where(F.col("item_id").isNotNull()), F.coalesce("t", F.lit("")), "item_id"))
+    item_words = canonical(item_rows.where(F.col("item_id").isNotNull()), F.coalesce("t", F.lit("")), "item_id")
+    n_words = item_words.select(F.size("words").alias("n")).where(F.col("n").between(1, WINDOW - 1)).distinct()
+    short = sorted(r["n"] for r in n_words.collect())  # lengths below WINDOW
+    items = window_hashes(item_words, short).withColumn("n_words", F.size("words"))
+    # of an item shorter than a window only the whole counts
+    whole = F.size("window") == F.least(F.col("n_words"), F.lit(WINDOW))
     literals = F.size(F.filter("window", lambda w: ~_is_slot(w)))
     # a window with few literals is met by its values only
     side = materialize(
-        _windows(items)
+        _windows(items, short).where(whole)
         .withColumn("h", F.when(F.col("typed") & (literals < MIN_LITERALS), F.lit(None)).otherwise(F.col("h")))
         .select("item_id", F.col("pos").alias("ipos"), "h", F.col("window").alias("iwords"), (literals >= MIN_LITERALS).alias("open"))
         .where(F.col("h").isNotNull()).dropDuplicates(["item_id", "ipos", "h"]),
@@ -153,13 +174,14 @@ def contaminated(
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("t"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("t").isNotNull())
     # Only hashes meet the windows of the corpus; the texts of the few documents hit are read again.
-    hashed = window_hashes(canonical(rows, F.col("t"), "doc_id"))
-    windows = hashed.select("doc_id", F.explode(F.concat("typed", _plain_only())).alias("h")).where(F.col("h").isNotNull())
+    hashed = window_hashes(canonical(rows, F.col("t"), "doc_id"), short)
+    hashes = F.concat("typed", _plain_only(), *(f"short{n}" for n in short))
+    windows = hashed.select("doc_id", F.explode(hashes).alias("h")).where(F.col("h").isNotNull())
     found = windows.join(F.broadcast(keys) if small else keys, "h", "left_semi").select("doc_id").distinct()
     # the documents hit grow with the corpus: never broadcast
     few = materialize(found, "template-hits").hint("merge")
     hit = materialize(rows.join(few, "doc_id", "left_semi"), "template-texts")
-    met = _windows(window_hashes(canonical(hit, F.col("t"), "doc_id"))).select(
+    met = _windows(window_hashes(canonical(hit, F.col("t"), "doc_id"), short), short).select(
         "doc_id", F.col("pos").alias("dpos"), "h", F.col("window").alias("dwords")
     ).join(side, "h")
     # the hash is confirmed on the words themselves

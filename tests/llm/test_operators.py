@@ -429,3 +429,13 @@ def test_a_contradicting_slot_costs_its_own_windows_only(spark):
     items = spark.createDataFrame([(1, edited), (2, fruit)], "item_id bigint, text string")
     got = decontaminate.contaminated(table(spark, [(i, t, "en", "a") for i, t in rows]), items).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 1), (2, 2), (3, 1)}
+
+
+def test_short_items_and_items_of_few_literals_are_found_verbatim(spark):
+    texts = {1: "What is 12 + 7 * 3 - 4 / 2?", 2: "Solve 3 x 5", 3: "Abracadabra", 4: "7 11 13 17 19 23 29 31 37 41 43 47", 5: "one two three", 6: "a b c d e", 7: "p q r s", 8: "k l m n o p"}
+    rows = [(i, f"He asked: {t} and went on", "en", "a") for i, t in texts.items()]
+    rows += [(20, "What is 12 + 7 * 3 - 4 / 3?", "en", "a"), (21, "7 11 13 18 19 23 30 31 37 42 43 47", "en", "a"), (22, "Solve 3 x 6 or one two four", "en", "a")]
+    items = spark.createDataFrame(list(texts.items()), "item_id bigint, text string")
+    got = decontaminate.contaminated(table(spark, rows), items).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, i) for i in texts}
+    assert all(r["verbatim"] and r["n_windows"] == r["n_item_windows"] for r in got)
