@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences, in five stages.
 
 Every stage reads what its predecessor wrote. All but the last return the columns of ``documents``;
-the last returns the placed token pieces. Rows with a null id pass the filters that decide by id.
+the last returns the placed token pieces.
 """
 
 from __future__ import annotations
@@ -38,18 +38,32 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """One row per id and text, with ``row``: a number that grows with the id."""
+    prints = [F.xxhash64("text").alias("p1"), F.xxhash64(F.lit(7), "text").alias("p2")]
+    single = docs.select(*COLUMNS, *prints).groupBy("doc_id", "p1", "p2").agg(
+        F.first("text").alias("text"), F.min(F.struct("lang", "source", "n_chars")).alias("rest")
+    )
+    ordered = single.repartitionByRange("doc_id", "p1", "p2").sortWithinPartitions("doc_id", "p1", "p2")
+    rows = ordered.select("doc_id", "text", "rest.*", F.monotonically_increasing_id().alias("row"))
+    return materialize(rows, "numbered-rows")
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of every group of near duplicates (five-word shingles, 0.8)."""
-    slim = docs.select(*COLUMNS)
-    gone = near_dedup.near_duplicates(slim).where(~F.col("kept")).select("doc_id").distinct()
-    return slim.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """The first document of every group of near duplicates (five-word shingles, 0.8), one row per id
+    and text. Rows count by themselves, also if they share an id or have none."""
+    rows = _numbered(docs)
+    gone = near_dedup.near_duplicates(rows, id_col="row").where(~F.col("kept")).select("row")
+    return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, verbatim or with other numbers, units and names."""
-    slim = docs.select(*COLUMNS)
-    found = decontaminate.contaminated(slim, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return slim.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that hold no benchmark item, verbatim or with other numbers, units and names. Rows
+    count by themselves, also if they share an id or have none."""
+    named = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))
+    keyed = docs.select(*COLUMNS, F.sha2(F.concat(named, F.lit("\n"), F.coalesce("text", F.lit(""))), 256).alias("row"))
+    found = decontaminate.contaminated(keyed, read(spark, sf_dir, "benchmark"), id_col="row").select(F.col("doc_id").alias("row")).distinct()
+    return keyed.join(found, "row", "left_anti").select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

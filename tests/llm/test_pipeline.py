@@ -82,3 +82,20 @@ def test_run_and_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").where("false").write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_that_share_an_id_or_have_none_count_by_themselves(spark, tmp_path):
+    rng = random.Random(4)
+    texts = [" ".join(str(rng.randrange(10**6)) for _ in range(40)) for _ in range(5)]
+    leak = f"Intro words. {ITEM}"
+    rows = [(1, texts[0])] * 3 + [(None, texts[1])] * 2 + [(2, texts[1]), (3, texts[2]), (3, texts[0]), (None, leak), (4, leak + " x"), (4, texts[3])]
+    rows += [(5, "")] * 2 + [(6, None)] * 2
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], SCHEMA).repartition(3)
+    spark.createDataFrame([(1, ITEM)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    pairs = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    clean = [(None, texts[1]), (1, texts[0]), (3, texts[2]), (4, texts[3]), (5, ""), (6, None)]
+    single = corpus_pipeline.one_of_each(spark, docs, str(tmp_path))
+    assert pairs(single) == sorted([*clean, (None, leak)], key=str)
+    assert pairs(corpus_pipeline.without_benchmark(spark, single, str(tmp_path))) == sorted(clean, key=str)
+    leaks = corpus_pipeline.without_benchmark(spark, docs, str(tmp_path))
+    assert pairs(leaks) == sorted((r for r in rows if r[1] not in (leak, leak + " x")), key=str)
