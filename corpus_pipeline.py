@@ -67,8 +67,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their places in sequences."""
-    return packing.pack(docs, f"{VOCABULARIES}/word_bpe_49k.json")
+    """Token pieces with their ids and places in sequences."""
+    return packing.pack(docs, f"{VOCABULARIES}/word_bpe_49k.json", with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -67,7 +67,10 @@ def op6_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every document's pieces in sequences of 4096 tokens."""
-    return packing.pack(read(spark, sf_dir, "documents"), f"{VOCABULARIES}/word_bpe_49k.json")
+    pieces = packing.pack(read(spark, sf_dir, "documents"), f"{VOCABULARIES}/word_bpe_49k.json", with_ids=True)
+    return pieces.select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset"
+    )
 
 
 def op8_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

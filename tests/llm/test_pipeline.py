@@ -1,6 +1,7 @@
 """Every stage of the corpus pipeline against a plain version of it."""
 
 import random
+import zlib
 
 import corpus_pipeline
 import pytest
@@ -99,3 +100,10 @@ def test_rows_that_share_an_id_or_have_none_count_by_themselves(spark, tmp_path)
     assert pairs(corpus_pipeline.without_benchmark(spark, single, str(tmp_path))) == sorted(clean, key=str)
     leaks = corpus_pipeline.without_benchmark(spark, docs, str(tmp_path))
     assert pairs(leaks) == sorted((r for r in rows if r[1] not in (leak, leak + " x")), key=str)
+
+
+def test_the_last_stage_holds_the_token_ids(spark):
+    docs = spark.createDataFrame([(1, "Some words of a text", "en", "s", 20), (2, None, "en", "s", None)], SCHEMA)
+    pieces = corpus_pipeline.packed(spark, docs, "").collect()
+    assert {p["doc_id"] for p in pieces} == {1, 2}
+    assert all(len(p["ids"]) == 4 * p["length"] and zlib.crc32(p["ids"]) == p["ids_crc32"] for p in pieces)
