@@ -3,8 +3,8 @@
 The features of a Gaussian kernel are approximated by ``N_FOURIER`` cosines of random projections
 (Rahimi and Recht). Each task adds up its part of the normal equations; the sums meet per matrix row
 and only the finished matrix, of fixed size, comes to the driver. Held-back training rows calibrate
-the raw scores by pool-adjacent-violators. Fitting reads at most ``MAX_LABELLED`` labelled rows (those
-with the smallest hash of their id); scoring reads every whole text.
+the raw scores by pool-adjacent-violators. Fitting reads the rows of at most ``MAX_LABELLED`` labelled ids (those
+with the smallest hash), equal rows of an id once; scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -102,7 +102,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     )
     # at most MAX_LABELLED ids and labels
     texts = docs.select(key.alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), "id")
-    rows = materialize(with_counts(texts, "text", ["id", "y"]), "quality-training")
+    # repeated rows count once
+    rows = materialize(with_counts(texts.dropDuplicates(["id", "text"]), "text", ["id", "y"]), "quality-training")
     rng = np.random.default_rng(SEED)
     width = statistics(np.zeros((1, len(COUNTS)), dtype=np.int64)).shape[1]
     directions = rng.normal(size=(width, N_FOURIER)) / np.sqrt(width / 2.0)

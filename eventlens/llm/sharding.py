@@ -38,8 +38,8 @@ def interleave(
     spread = docs.select(
         *[F.col(f"`{c}`").alias(n) for c, n in named.items()],
         F.coalesce(F.concat(F.lit("="), src), F.lit("")).alias("__stratum"),
-        # rows that share an id are told apart by all their columns
-        F.xxhash64(F.lit(seed), doc).alias("__h"),
+        # rows that share an id are told apart by all their columns, also where the order is cut into slices
+        F.xxhash64(F.lit(seed), doc, *[F.col(f"`{c}`") for c in kept]).alias("__h"),
         F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in kept]).alias("__tie"),
     )
     rows = materialize(spread, "interleave-rows")

@@ -439,3 +439,20 @@ def test_short_items_and_items_of_few_literals_are_found_verbatim(spark):
     got = decontaminate.contaminated(table(spark, rows), items).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, i) for i in texts}
     assert all(r["verbatim"] and r["n_windows"] == r["n_item_windows"] for r in got)
+
+
+def test_repeated_labelled_rows_are_fitted_once(spark, monkeypatch):
+    rows = [(i, f"text {i % 3} of some kind", "en", "a") for i in range(20)]
+    written, write = [], quality_model.materialize
+    monkeypatch.setattr(quality_model, "materialize", lambda df, label: written.append(write(df, label)) or written[-1])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, quality int")
+    quality_model.fit(table(spark, rows), labels)
+    quality_model.fit(table(spark, rows + rows[3:4] * 300 + rows[5:6] * 300), labels)
+    assert written[0].count() == written[1].count() > 0
+
+
+def test_rows_of_one_repeated_id_lie_in_many_slices(spark, monkeypatch):
+    seen, sums = [], sharding.prefix_sums
+    monkeypatch.setattr(sharding, "prefix_sums", lambda df, *rest: seen.append(df) or sums(df, *rest))
+    sharding.interleave(table(spark, [(1, f"text {i}", "en", "a") for i in range(500)]), 4).count()
+    assert seen[0].select("__slice").distinct().count() > 32
