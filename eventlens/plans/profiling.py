@@ -11,7 +11,8 @@ from eventlens.plans.catalog import query
 from eventlens.plans.reference_sql import median_sql
 from eventlens.plans.scoring import LONG_FROM
 from eventlens.plans.workspace import Workspace
-from eventlens.session import materialize
+from eventlens.session import materialize, new_path
+from eventlens.sources import shards
 
 
 @query("SELECT type, n, round(n / sum(n) OVER ()::DOUBLE, 6) AS share FROM (SELECT type, count(*) AS n FROM ev_app GROUP BY 1)")
@@ -88,8 +89,10 @@ def corpus_manifest(ws: Workspace) -> DataFrame:
 
 @query("SELECT count(*) FILTER (WHERE n_events > 0) AS n_records, 0::BIGINT AS n_without_events FROM rec_app")
 def stored_zero_event_records(ws: Workspace) -> DataFrame:
-    shards = ws.app.shards()
-    return shards.agg(
+    """Records without events among the shards written and read back."""
+    path = new_path(ws.spark, "shards")
+    shards.write_shards(ws.app.shards(), path, fingerprint=ws.app.bundle.train_fingerprint)
+    return shards.read_shards(ws.spark, path).agg(
         F.count(F.lit(1)).alias("n_records"), F.count_if(F.col("n_events_kept") == 0).alias("n_without_events")
     )
 

@@ -32,3 +32,12 @@ def test_sql_belongs_to_queries():
 def test_entry(spark):
     df = entry.entry(spark)
     assert "n_events" in df.columns and df.count() > 0
+
+
+def test_zero_event_records_are_read_from_written_shards(spark, monkeypatch):
+    from eventlens.sources import shards
+
+    paths, read = [], shards.read_shards
+    monkeypatch.setattr(shards, "read_shards", lambda s, path, *rest: paths.append(path) or read(s, path, *rest))
+    assert QUERIES["stored_zero_event_records"](spark, FOLDER).first()["n_without_events"] == 0
+    assert len(paths) == 1 and shards.read_manifest(spark, paths[0]).count() > 0
