@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.llm import (
-    decontaminate, line_dedup, near_dedup, packing, quality_model, repeats, rules, sharding, token_counts, training_order,
+    decontaminate, line_dedup, merkle, near_dedup, packing, quality_model, repeats, rules, sharding, simhash, token_counts,
+    training_order, vector_codes,
 )
 from eventlens.llm.common import read
 
@@ -114,11 +115,141 @@ def op10_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof in the manifest of all documents, checked against rows of which some were changed."""
+    docs = read(spark, sf_dir, "documents")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    changed = F.when(hit, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    other = merkle.leaf(changed if c == "n_chars" else F.col(c) for c in merkle.LEAF_COLUMNS)
+    proven = merkle.manifest(docs, changed=other).prove()
+    root = merkle.folded(F.col("changed"), F.col("path"))
+    return proven.select(
+        F.col("key").alias("doc_id"), F.col("hash").alias("leaf"), "subroot", "root",
+        F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), root.alias("folded_root"), (root == F.col("root")).alias("verified"),
+    )
+
+
+OP11_SQL = r"""
+with recursive rows as (
+  select *, cast(doc_id as varchar) as name from documents
+), sums as (
+  select *, list_reduce(
+    list_concat([4294967295::bigint], list_transform(range(length(name)), lambda i: ascii(name[i + 1])::bigint)),
+    lambda c, b: list_reduce(
+      list_concat([xor(c, b)], [0::bigint, 0, 0, 0, 0, 0, 0, 0]),
+      lambda x, y: xor(x >> 1, 3988292384::bigint * (x & 1)))) as crc
+  from rows
+), framed as (
+  select doc_id, lang, n_chars, xor(crc, 4294967295::bigint) % 7 = 0 as hit,
+    coalesce(strlen(name) || ':' || name, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') as head,
+    coalesce(strlen(text) || ':' || text, '-') as tail
+  from sums
+), leaves as (
+  select doc_id, coalesce('=' || lang, '') as tree,
+    sha256(head || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') || tail) as leaf,
+    sha256(head || coalesce(strlen((n_chars + hit::int)::varchar) || ':' || (n_chars + hit::int), '-') || tail) as other
+  from framed
+), placed as (
+  select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as idx,
+    count(*) over (partition by tree) as n
+  from leaves
+), nodes as (
+  select tree, 0 as level, idx, n, leaf as h from placed
+  union all
+  select tree, any_value(level) + 1, idx // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' order by idx))
+  from nodes where n > 1 group by tree, idx // 2
+), subroots as (
+  select tree, h as subroot, row_number() over (order by tree) - 1 as place, count(*) over () as trees from nodes where n = 1
+), tops as (
+  select 0 as level, place as idx, trees as n, subroot as h from subroots
+  union all
+  select any_value(level) + 1, idx // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' order by idx))
+  from tops where n > 1 group by idx // 2
+), ways as (
+  select doc_id, tree, leaf, idx, 0 as level, other as h, '' as proof from placed
+  union all
+  select w.doc_id, w.tree, w.leaf, w.idx // 2, w.level + 1,
+    case when s.h is null then sha256(w.h) when w.idx % 2 = 0 then sha256(w.h || s.h) else sha256(s.h || w.h) end,
+    w.proof || coalesce(s.h, '')
+  from ways w
+  join nodes me on me.tree = w.tree and me.level = w.level and me.idx = w.idx and me.n > 1
+  left join nodes s on s.tree = w.tree and s.level = w.level and s.idx = xor(w.idx, 1)
+), ended as (
+  select w.* from ways w join nodes me on me.tree = w.tree and me.level = w.level and me.idx = w.idx and me.n = 1
+), beyond as (
+  select e.doc_id, e.leaf, r.subroot, r.place as idx, 0 as level, e.h, e.proof from ended e join subroots r on r.tree = e.tree
+  union all
+  select w.doc_id, w.leaf, w.subroot, w.idx // 2, w.level + 1,
+    case when s.h is null then sha256(w.h) when w.idx % 2 = 0 then sha256(w.h || s.h) else sha256(s.h || w.h) end,
+    w.proof || coalesce(s.h, '')
+  from beyond w
+  join tops me on me.level = w.level and me.idx = w.idx and me.n > 1
+  left join tops s on s.level = w.level and s.idx = xor(w.idx, 1)
+)
+select w.doc_id, w.leaf, w.subroot, me.h as root, sha256(w.proof) as proof_sha256, w.h as folded_root, w.h = me.h as verified
+from beyond w join tops me on me.level = w.level and me.idx = w.idx and me.n = 1
+"""
+
+
+def op12_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and the component of documents with near fingerprints."""
+    found = simhash.simhash_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes and errors of all embeddings, by codebooks learned from all of them."""
+    codes, books = vector_codes.vector_codes(read(spark, sf_dir, "embeddings"))
+    listed = ",".join(str(x) for x in books.ravel().tolist())
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return codes.select("vec_id", code.alias("code"), "error", "label_error", F.sha2(F.lit(listed), 256).alias("codebooks_sha256"))
+
+
+def _codes_sql() -> str:
+    """The rounds written out: parts against entries, nearest, floored means."""
+    rounds = vector_codes.ROUNDS
+    steps = [
+        f"""book0 as (select part, entry, place, x from (
+  select p.part, p.place, p.x, dense_rank() over (order by p.vec_id) - 1 as entry from pieces p) where entry < {vector_codes.ENTRIES})"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""far{r} as (select p.vec_id, p.part, b.entry, sum((p.x - b.x) * (p.x - b.x)) as d
+  from pieces p join book{r} b on b.part = p.part and b.place = p.place group by all),
+near{r} as (select vec_id, part, entry, d from (
+  select *, row_number() over (partition by vec_id, part order by d, entry) as turn from far{r}) where turn = 1)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""mean{r} as (select p.part, n.entry, p.place, sum(p.x) as s, count(*) as c
+  from pieces p join near{r} n on n.vec_id = p.vec_id and n.part = p.part group by all),
+book{r + 1} as (select b.part, b.entry, b.place, cast(coalesce((m.s - ((m.s % m.c) + m.c) % m.c) // m.c, b.x) as bigint) as x
+  from book{r} b left join mean{r} m on m.part = b.part and m.entry = b.entry and m.place = b.place)"""
+            )
+    head = f"""with kept as (
+  select vec_id, label, embedding from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), spread as (
+  select vec_id, unnest(embedding) as x, unnest(range(len(embedding))) as i, len(embedding) // {vector_codes.PARTS} as width from kept
+), pieces as (
+  select vec_id, i // width as part, i % width as place, cast(floor(x::double * {vector_codes.SCALE}) as bigint) as x from spread
+)"""
+    tail = f"""totals as (
+  select vec_id, string_agg(printf('%02x', entry), '' order by part) as code, sum(d)::bigint as error from near{rounds} group by vec_id
+), digest as (
+  select sha256(string_agg(x::varchar, ',' order by part, entry, place)) as codebooks_sha256 from book{rounds}
+)
+select k.vec_id, t.code, t.error, (sum(t.error) over (partition by k.label))::bigint as label_error, g.codebooks_sha256
+from kept k join totals t on t.vec_id = k.vec_id cross join digest g"""
+    return ",\n".join([head, *steps, tail])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mixture_shards, op2_training_order, op3_repeated_passages, op4_unigram_counts, op5_near_duplicates, op6_quality_scores, op7_pattern_packing,
-        op8_repeated_lines, op9_controlled_rules, op10_benchmark_templates,
+        op8_repeated_lines, op9_controlled_rules, op10_benchmark_templates, op11_merkle_manifest, op12_simhash_groups, op13_vector_codes,
     )
 }
-SQL: dict[str, str] = {"op8_repeated_lines": OP8_SQL}
+SQL: dict[str, str] = {"op8_repeated_lines": OP8_SQL, "op11_merkle_manifest": OP11_SQL, "op13_vector_codes": _codes_sql()}
