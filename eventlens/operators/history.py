@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventlens.operators.ordered import ranks
+from eventlens.operators.ordered import first_rows
 
 
 def keep_recent(
@@ -16,19 +16,18 @@ def keep_recent(
     """The newest ``max_events`` per entity, with ``event_ord`` (0 is the oldest kept) and
     ``latest_at``.
 
-    The rank handles entities of any size (see ``ranks``). What passes is at most
+    The rank handles entities of any size (see ``first_rows``). What passes is at most
     ``max_events`` rows per entity, so the second window is bounded by the cap.
     """
     if max_events < 1:
         raise ValueError("max_events must be at least 1")
-    ranked = ranks(
-        events, ["entity_id"], ["created_at", "event_id"], "age_rank",
+    newest = first_rows(
+        events, ["entity_id"], ["created_at", "event_id"], max_events, "age_rank",
         newest_first=True, heavy=heavy, **kw,
     )
     per_entity = Window.partitionBy("entity_id")
     return (
-        ranked.where(F.col("age_rank") <= max_events)
-        .withColumn("latest_at", F.max("created_at").over(per_entity))
+        newest.withColumn("latest_at", F.max("created_at").over(per_entity))
         .withColumn("event_ord", F.count(F.lit(1)).over(per_entity) - F.col("age_rank"))
         .drop("age_rank")
     )

@@ -2,10 +2,11 @@
 
 A window over a whole group puts the group into one task. That is right for most
 groups and wrong for one that holds a third of the data (or for "the whole table").
-Where such heavy groups exist, the rows are range-partitioned by (group, order) first, so a
-large group lies in many partitions; every (group, partition) is a window of its own, and the
-totals of the group's earlier partitions are added from a small table. The partitions follow
-the rows; where they are cut does not change the result.
+Rows of such heavy groups, and only they, leave the stream: they are range-partitioned by
+(group, order), so a large group lies in many partitions; every (group, partition) is a
+window of its own, and what the group's earlier partitions add up to comes from a small table.
+The partitions follow the rows; where they are cut does not change the result. The newest rows of
+a heavy group are found by a tree instead: first among a share of its rows each, then among the winners.
 """
 
 from __future__ import annotations
@@ -15,31 +16,36 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from eventlens.functions.buckets import bucket_index
+from eventlens.operators.skew import HeavyGroups, split_heavy
 from eventlens.session import materialize
 
 ROWS_PER_TASK = 2_000_000
+# Longer lists of heavy groups stay a table.
+LISTED_GROUPS = 10_000
 
 
 def heavy_groups(
     df: DataFrame, by: Sequence[str], rows_per_task: int = ROWS_PER_TASK
-) -> list[tuple]:
-    """Groups with more rows than one task should take: ``(*key values, rows)``.
+) -> Sequence[tuple]:
+    """Groups with more rows than one task should take: ``(*key values, rows)``, largest first.
 
     There are at most rows / ``rows_per_task`` of them.
     """
     if not by:
         n = df.count()
         return [(n,)] if n > rows_per_task else []
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"))
-    return [tuple(r) for r in counts.where(F.col("rows") > rows_per_task).orderBy(F.desc("rows"), *by).collect()]
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > rows_per_task)
+    found = counts.orderBy(F.desc("rows"), *by).limit(LISTED_GROUPS + 1).collect()
+    if len(found) <= LISTED_GROUPS:
+        return [tuple(r) for r in found]
+    table = materialize(counts, "heavy-groups")
+    return HeavyGroups(table, table.count())
 
 
-def heavy_table(df: DataFrame, by: Sequence[str], heavy: Sequence[tuple]) -> DataFrame:
-    schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in by])
-    return df.sparkSession.createDataFrame([h[:-1] for h in heavy], schema)
+def _sorted(cols: Sequence[str], newest_first: bool) -> list[Column]:
+    return [F.col(c).desc() if newest_first else F.col(c).asc() for c in cols]
 
 
 def running_totals(
@@ -48,51 +54,54 @@ def running_totals(
     order: Sequence[str],
     totals: Mapping[str, Column],
     *,
+    maxima: Mapping[str, Column] | None = None,
     newest_first: bool = False,
     heavy: Sequence[tuple] | None = None,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Add inclusive running sums of ``totals`` per group, rows in the given order.
+    """Add inclusive running sums of ``totals`` and running maxima of ``maxima`` per group, rows in
+    the given order.
 
     ``order`` must be free of nulls and make rows unique inside a group. ``heavy`` is the
     result of ``heavy_groups``, for callers that know it already.
     """
     by, order = list(by), list(order)
+    maxima = dict(maxima or {})
+    states = [(n, F.sum, c) for n, c in totals.items()] + [(n, F.max, c) for n, c in maxima.items()]
     if heavy is None:
         heavy = heavy_groups(df, by, rows_per_task)
 
-    def sort(cols: Sequence[str]) -> list[Column]:
-        return [F.col(c).desc() if newest_first else F.col(c).asc() for c in cols]
+    def plain(rows: DataFrame) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(*_sorted(order, newest_first)).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.select("*", *[step(c).over(w).alias(name) for name, step, c in states])
 
     if not heavy:
-        w = Window.partitionBy(*by).orderBy(*sort(order)).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(c).over(w).alias(name) for name, c in totals.items()])
-
-    stored = materialize(df, "ordered-input")
+        return plain(df)
+    hot, cold = split_heavy(df, by, heavy) if by else (df, None)
+    stored = materialize(hot, "heavy-rows")
     parts = max(2, math.ceil(stored.count() / rows_per_task))
     cut = materialize(
         stored.repartitionByRange(parts, *by, *order).withColumn("slice", F.spark_partition_id()), "ordered-slices"
     )
     w = (
-        Window.partitionBy(*by, "slice").orderBy(*sort(order))
+        Window.partitionBy(*by, "slice").orderBy(*_sorted(order, newest_first))
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    local = cut.select("*", *[F.sum(c).over(w).alias(name) for name, c in totals.items()])
-    per_slice = cut.groupBy(*by, "slice").agg(*[F.sum(c).alias(f"sum_{name}") for name, c in totals.items()])
+    local = cut.select("*", *[step(c).over(w).alias(name) for name, step, c in states])
+    per_slice = cut.groupBy(*by, "slice").agg(*[step(c).alias(f"all_{name}") for name, step, c in states])
     before = (
-        Window.partitionBy(*by).orderBy(*sort(["slice"])).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*by).orderBy(*_sorted(["slice"], newest_first)).rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = per_slice.select(
-        *by, "slice", *[F.sum(f"sum_{name}").over(before).alias(f"before_{name}") for name in totals]
+        *by, "slice", *[step(f"all_{name}").over(before).alias(f"before_{name}") for name, step, _ in states]
     )
     joined = local.join(offsets, [*by, "slice"], "left")
-    return joined.select(
-        *[c for c in df.columns],
-        *[
-            (F.col(name) + F.coalesce(F.col(f"before_{name}"), F.lit(0))).alias(name)
-            for name in totals
-        ],
+    sliced = joined.select(
+        *df.columns,
+        *[(F.col(n) + F.coalesce(F.col(f"before_{n}"), F.lit(0))).alias(n) for n in totals],
+        *[F.greatest(n, f"before_{n}").alias(n) for n in maxima],
     )
+    return sliced if cold is None else plain(cold).unionByName(sliced)
 
 
 def ranks(
@@ -109,8 +118,7 @@ def ranks(
     if heavy is None:
         heavy = heavy_groups(df, by, rows_per_task)
     if not heavy:
-        cols = [F.col(c).desc() if newest_first else F.col(c).asc() for c in order]
-        w = Window.partitionBy(*by).orderBy(*cols)
+        w = Window.partitionBy(*by).orderBy(*_sorted(order, newest_first))
         return df.withColumn(name, F.row_number().over(w).cast("bigint"))
     return running_totals(
         df, by, order, {name: F.lit(1).cast("bigint")},
@@ -118,6 +126,44 @@ def ranks(
     )
 
 
+def first_rows(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    n: int,
+    name: str,
+    *,
+    newest_first: bool = False,
+    heavy: Sequence[tuple] | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """The first ``n`` rows of each group, with their 1-based row number.
+
+    A heavy group's rows compete in shares first; the winners of as many shares as one task takes
+    compete again, until one share is left. Nothing is written, and each row of a heavy group is read
+    and sorted once more than the others.
+    """
+    by, order = list(by), list(order)
+    if heavy is None:
+        heavy = heavy_groups(df, by, rows_per_task)
+
+    def best(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(*_sorted(order, newest_first))
+        return rows.withColumn(name, F.row_number().over(w).cast("bigint")).where(F.col(name) <= n)
+
+    if not heavy:
+        return best(df, by)
+    hot, cold = split_heavy(df, by, heavy) if by else (df, None)
+    shares = math.ceil(heavy[0][-1] / rows_per_task)
+    hot = hot.withColumn("__share", F.pmod(F.xxhash64(*order), F.lit(shares)))
+    while shares > 1:
+        together = max(2, rows_per_task // n)
+        hot = best(hot, [*by, "__share"]).drop(name).withColumn("__share", F.floor(F.col("__share") / together))
+        shares = math.ceil(shares / together)
+    won = best(hot.drop("__share"), by)
+    return won if cold is None else best(cold, by).unionByName(won)
+
+
 def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Distinct values with their counts: combined before the shuffle."""
     return (

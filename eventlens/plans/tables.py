@@ -246,6 +246,56 @@ def events_as_of_cutoff(ws: Workspace) -> DataFrame:
     return records.events_as_of(ws.commerce.events, ws.cutoffs, ws.commerce.heavy).select("entity_id", "event_id")
 
 
+POINTS_SQL = """
+  SELECT entity_id, signup_at + to_days(d::INTEGER) AS at_eval
+  FROM prof, (SELECT unnest([0, 200, 730, 1461, 10227]) AS d)
+  WHERE (d <> 730 OR plan <> 'BUILDING') AND (d = 0 OR plan <> 'MACHINERY') AND plan <> 'FURNITURE'"""
+
+
+@query("""
+  SELECT p.entity_id, """ + split_sql("p.entity_id") + """ AS split, epoch_us(at_eval) AS evaluation_time, n_events, country, plan,
+         balance_quantile, CASE WHEN signup_at <= at_eval THEN epoch_us(signup_at) END AS signup_at,
+         CASE WHEN first_purchase_at <= at_eval THEN epoch_us(first_purchase_at) END AS first_purchase_at,
+         CASE WHEN first_view_at <= at_eval THEN epoch_us(first_view_at) END AS first_view_at
+  FROM prof p JOIN (
+    SELECT q.entity_id, q.at_eval, count(e.event_id) AS n_events
+    FROM (""" + POINTS_SQL + """) q LEFT JOIN ev_com e ON e.entity_id = q.entity_id AND e.created_at <= q.at_eval
+    GROUP BY ALL
+    UNION ALL
+    SELECT d.entity_id, coalesce(max(e.created_at), any_value(d.signup_at)), count(e.event_id)
+    FROM prof d LEFT JOIN ev_com e ON e.entity_id = d.entity_id WHERE d.plan = 'FURNITURE' GROUP BY 1
+  ) r ON r.entity_id = p.entity_id""")
+def records_at_points(ws: Workspace) -> DataFrame:
+    """Records at several points per entity; one plan has no points and keeps its latest event."""
+    return records.build_records(ws.commerce.events, ws.profile, MILESTONES, points=ws.several_points, heavy=ws.commerce.heavy)
+
+
+HISTORY_CAP = 12
+
+
+@query("""
+  SELECT entity_id, event_id, epoch_us(at_eval) AS evaluation_time, epoch_us(latest_at) AS latest_at, n - age AS event_ord
+  FROM (SELECT *, max(created_at) OVER (PARTITION BY entity_id, at_eval) AS latest_at,
+               count(*) OVER (PARTITION BY entity_id, at_eval) AS n
+        FROM (SELECT q.entity_id, q.at_eval, e.event_id, e.created_at,
+                     row_number() OVER (PARTITION BY q.entity_id, q.at_eval ORDER BY e.created_at DESC, e.event_id DESC) AS age
+              FROM (""" + POINTS_SQL + f""") q JOIN ev_com e ON e.entity_id = q.entity_id AND e.created_at <= q.at_eval)
+        WHERE age <= {HISTORY_CAP})""")
+def histories_at_points(ws: Workspace) -> DataFrame:
+    """The newest events known at each of several points per entity."""
+    found = records.record_events(ws.commerce.events, ws.several_points, HISTORY_CAP, ws.commerce.heavy)
+    return found.select("entity_id", "event_id", "evaluation_time", "latest_at", "event_ord")
+
+
+@query("""
+  SELECT 0::BIGINT AS n_late_events, 0::BIGINT AS n_over_cap, 0::BIGINT AS n_with_gaps, count(*) AS n_histories
+  FROM (SELECT DISTINCT q.entity_id, q.at_eval FROM (""" + POINTS_SQL + """) q
+        JOIN ev_com e ON e.entity_id = q.entity_id AND e.created_at <= q.at_eval)""")
+def histories_audit(ws: Workspace) -> DataFrame:
+    found = records.record_events(ws.commerce.events, ws.several_points, HISTORY_CAP, ws.commerce.heavy)
+    return records.history_audit(found, HISTORY_CAP)
+
+
 @query("""SELECT entity_id, event_id, row_number() OVER (PARTITION BY entity_id ORDER BY created_at, event_id) - 1 AS event_ord FROM ev_com""")
 def ordered_events(ws: Workspace) -> DataFrame:
     return records.order_events(ws.commerce.events, ws.commerce.heavy).select("entity_id", "event_id", "event_ord")

@@ -116,6 +116,16 @@ class Workspace:
             "entity_id", (F.col("signup_at") + F.expr("interval 1096 days")).alias("evaluation_time")
         )
 
+    @cached_property
+    def several_points(self) -> DataFrame:
+        """Up to five evaluation points per entity: the signup, 200 days, two and four years, 28 years after it."""
+        days = F.explode(F.array(*[F.lit(d) for d in (0, 200, 730, 1461, 10227)])).alias("days")
+        spread = self.profile.select("entity_id", "plan", "signup_at", days)
+        wanted = spread.where((F.col("days") != 730) | (F.col("plan") != "BUILDING")).where("days = 0 or plan <> 'MACHINERY'")
+        return wanted.where("plan <> 'FURNITURE'").select(
+            "entity_id", (F.col("signup_at") + F.make_interval(days="days")).alias("evaluation_time")
+        )
+
     @cached_property
     def vectors(self) -> DataFrame:
         """The embedding table in the shape of record embeddings."""

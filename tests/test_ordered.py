@@ -128,3 +128,125 @@ def test_join_with_heavy_entity(events, how):
     split = join_per_entity(events, side, how, heavy)
     assert plain.exceptAll(split.select(plain.columns)).count() == 0
     assert plain.count() == split.count()
+
+
+@pytest.mark.parametrize("newest_first", [False, True])
+@pytest.mark.parametrize("n", [1, 7, 400])
+def test_first_rows_of_heavy_groups_by_a_tree(events, newest_first, n):
+    """Shares of one task compete first: with n = 7 a task takes seven shares, so three rounds are run."""
+    order = ["created_at", "event_id"]
+    plain = ordered.first_rows(events, ["entity_id"], order, n, "r", newest_first=newest_first, heavy=[])
+    tree = ordered.first_rows(events, ["entity_id"], order, n, "r", newest_first=newest_first, rows_per_task=50)
+    whole = ordered.first_rows(events, [], order, n, "r", newest_first=newest_first, rows_per_task=50)
+    assert plain.exceptAll(tree.select(plain.columns)).count() == 0 and plain.count() == tree.count()
+    assert [r["r"] for r in whole.orderBy("r").select("r").collect()] == list(range(1, n + 1))
+
+
+def test_only_heavy_rows_are_written(events, monkeypatch):
+    written = {}
+    real = ordered.materialize
+
+    def noted(df, label):
+        out = real(df, label)
+        written[label] = {r[0] for r in out.select("entity_id").distinct().collect()}
+        return out
+
+    monkeypatch.setattr(ordered, "materialize", noted)
+    heavy = [g for g in ordered.heavy_groups(events, ["entity_id"], 50) if g[0] == "7"]
+    ordered.ranks(events, ["entity_id"], ["created_at", "event_id"], "r", heavy=heavy, rows_per_task=50)
+    assert written == {"heavy-rows": {"7"}, "ordered-slices": {"7"}}
+    written.clear()
+    kept = history.keep_recent(events, 20, heavy, rows_per_task=50)
+    assert written == {} and kept.where("entity_id = '7'").count() == 20
+
+
+def test_many_heavy_groups_stay_a_table(events, monkeypatch):
+    want = ordered.heavy_groups(events, ["entity_id"], 10)
+    monkeypatch.setattr(ordered, "LISTED_GROUPS", 2)
+    groups = ordered.heavy_groups(events, ["entity_id"], 10)
+    assert isinstance(groups, ordered.HeavyGroups) and len(groups) == len(want) and groups[0] == want[0] and list(groups) == want
+    order = ["created_at", "event_id"]
+    for step in (lambda h: ordered.ranks(events, ["entity_id"], order, "r", heavy=h, rows_per_task=10),
+                 lambda h: ordered.first_rows(events, ["entity_id"], order, 5, "r", heavy=h, rows_per_task=10),
+                 lambda h: join_per_entity(events, events.select("entity_id").distinct(), "inner", h)):
+        plain, split = step([]), step(groups)
+        assert plain.exceptAll(split.select(plain.columns)).count() == 0 and plain.count() == split.count()
+
+
+def test_running_maxima_in_slices(events):
+    """The maximum of an unordered column with nulls, carried over the slices."""
+    odd = F.when(F.col("event_id") % 5 == 0, F.col("amount"))
+    args = (["entity_id"], ["created_at", "event_id"], {"n": F.lit(1)})
+    plain = ordered.running_totals(events, *args, maxima={"top": odd}, heavy=[])
+    sliced = ordered.running_totals(events, *args, maxima={"top": odd}, rows_per_task=40)
+    assert plain.exceptAll(sliced.select(plain.columns)).count() == 0 and sliced.where("top is not null").count() > 0
+
+
+@pytest.fixture(scope="module")
+def points(events):
+    """Many points of the heavy entity, some at the very instants of events; entities without events; no time."""
+    own = events.where("entity_id = '7'").select("entity_id", F.col("created_at").alias("evaluation_time")).distinct()
+    spread = events.groupBy("entity_id").agg(F.expr("min(created_at) + interval 20 days").alias("a"), F.expr("max(created_at) + interval 1 day").alias("b"))
+    others = spread.where("entity_id <> '7' and entity_id <> '9'").select("entity_id", F.explode(F.array("a", "b")).alias("evaluation_time")).distinct()
+    early = others.select("entity_id", F.lit("1990-01-01").cast("timestamp").alias("evaluation_time")).distinct()
+    odd = events.limit(1).select(F.explode(F.array(F.lit("nobody"), F.lit("9"))).alias("entity_id"), F.when(F.col("entity_id") == "?", F.col("created_at")).alias("evaluation_time"))
+    late = events.limit(1).select(F.lit("nobody").alias("entity_id"), F.lit("2030-01-01").cast("timestamp").alias("evaluation_time"))
+    return own.unionByName(others).unionByName(early).unionByName(odd).unionByName(late).cache()
+
+
+def plain_histories(events, points, n):
+    by = {}
+    for r in events.collect():
+        by.setdefault(r["entity_id"], []).append((r["created_at"], r["event_id"]))
+    out = {}
+    for p in points.where("evaluation_time is not null").collect():
+        known = sorted(e for e in by.get(p["entity_id"], []) if e[0] <= p["evaluation_time"])
+        out[p["entity_id"], p["evaluation_time"]] = (len(known), known[-n:])
+    return out
+
+
+@pytest.mark.parametrize("rows_per_task", [30, 10**9])
+def test_states_and_histories_at_many_points(events, points, rows_per_task):
+    want = plain_histories(events, points, 9)
+    states = records.states_at(events, points, rows_per_task=rows_per_task).collect()
+    got = {(r["entity_id"], r["evaluation_time"]): (r["n_events"], r["latest_at"]) for r in states}
+    assert len(states) == len(got)
+    assert got == {k: (n, known[-1][0] if known else None) for k, (n, known) in want.items()}
+    rows = records.record_events(events, points, 9, rows_per_task=rows_per_task)
+    found = {}
+    for r in rows.collect():
+        found.setdefault((r["entity_id"], r["evaluation_time"]), []).append((r["event_ord"], r["created_at"], r["event_id"], r["latest_at"]))
+    assert {k: [(t, e) for _, t, e, _ in sorted(v)] for k, v in found.items()} == {k: known for k, (n, known) in want.items() if known}
+    assert all([o for o, *_ in sorted(v)] == list(range(len(v))) and {x[3] for x in v} == {max(x[1] for x in v)} for v in found.values())
+    assert tuple(records.history_audit(rows, 9).first())[:3] == (0, 0, 0)
+
+
+def test_histories_do_not_join_events_with_all_points(events, points):
+    """Events meet a point by (entity, run): what the join makes is at most twice what is kept."""
+    known = records.states_at(events, points)
+    kept = known.agg(F.sum(F.least(F.col("n_events"), F.lit(9)))).first()[0]
+    product = events.join(known, "entity_id").where("created_at <= evaluation_time").count()
+    assert product > 20 * kept
+    plan = records.record_events(events, points, 9)._jdf.queryExecution().optimizedPlan().toString()
+    assert "run" in plan and "Cartesian" not in plan
+
+
+def test_a_point_given_twice_is_refused(events, points):
+    twice = points.unionByName(points.where("entity_id = '7'").limit(1))
+    with pytest.raises(Exception, match="evaluation point given twice: 7 at"):
+        records.states_at(events, twice).collect()
+
+
+def test_entities_without_points_keep_the_default(events, points):
+    profile = events.select("entity_id").distinct().withColumn("signup_at", F.lit("1999-01-01").cast("timestamp"))
+    times = records.evaluation_times(events, profile, points).collect()
+    want = plain_histories(events, points, 1)
+    last = {r["entity_id"]: (r["t"], r["n"]) for r in events.groupBy("entity_id").agg(F.max("created_at").alias("t"), F.count("*").alias("n")).collect()}
+    got = {(r["entity_id"], r["evaluation_time"]): r["n_events"] for r in times}
+    assert len(got) == len(times) and all(k[0] != "nobody" for k in got)
+    with_points = {k[0] for k in want}
+    assert "9" not in with_points and got["9", last["9"][0]] == last["9"][1]
+    assert {k: n for k, n in got.items() if k[0] in with_points} == {k: n for k, (n, _) in want.items() if k[0] != "nobody"}
+    assert {k: n for k, n in got.items() if k[0] not in with_points} == {(e, t): n for e, (t, n) in last.items() if e not in with_points}
+    kept = records.events_as_of(events, points)
+    assert kept.count() == kept.select("event_id").distinct().count()
