@@ -18,7 +18,8 @@ from eventlens.functions.temporal import CALENDAR, calendar, seconds_between, so
 from eventlens.functions.values import as_category
 from eventlens.operators.bundle import MILESTONE_ABSENT, MILESTONE_PRESENT, UNK, Bundle
 from eventlens.operators.skew import BROADCAST_ROWS, broadcast_if_small
-from eventlens.operators.textvocab import text_ids
+from eventlens.operators.textvocab import text_dictionary, text_ids
+
 
 def _none() -> Column:
     return F.array().cast("array<int>")
@@ -48,7 +49,16 @@ def category_ids(df: DataFrame, keys: Sequence[str], bundle: Bundle) -> DataFram
     return df
 
 
-def _field_ids(df: DataFrame, keys: Sequence[str], bundle: Bundle) -> DataFrame:
+def spelled_texts(rows: DataFrame, bundle: Bundle) -> DataFrame | None:
+    """The ids of every distinct text of ``rows``, small enough to be broadcast, or None: then, and
+    where there is no text field, rows are spelled in place."""
+    keys = [k for k in bundle.registry.keys_of(R.TEXT) if k in rows.columns]
+    if not keys:
+        return None
+    return text_dictionary(rows, keys, bundle.merges, bundle.text_base, bundle.config.max_within_field_tokens)
+
+
+def _field_ids(df: DataFrame, keys: Sequence[str], bundle: Bundle, texts: DataFrame | None = None) -> DataFrame:
     """Add ``ids_<key>``: the value ids of the field, null when the field is absent."""
     kinds = {k: bundle.registry.field(k).kind for k in keys}
     df = category_ids(df, [k for k in keys if kinds[k] == R.CATEGORICAL], bundle)
@@ -63,7 +73,11 @@ def _field_ids(df: DataFrame, keys: Sequence[str], bundle: Bundle) -> DataFrame:
         elif kinds[key] == R.CATEGORICAL:
             ids = F.when(F.col(key).isNotNull(), F.array(f"id_{key}"))
         else:
-            df = df.withColumn(f"all_{key}", text_ids(F.col(key), bundle.merges, bundle.text_base))
+            if texts is None:
+                df = df.withColumn(f"all_{key}", text_ids(F.col(key), bundle.merges, bundle.text_base, cap))
+            else:
+                known = F.broadcast(texts.select(F.col("txt").alias(f"txt_{key}"), F.col("ids").alias(f"all_{key}")))
+                df = df.join(known, F.col(key).cast("string") == F.col(f"txt_{key}"), "left").drop(f"txt_{key}")
             full = F.col(f"all_{key}")
             ids = F.when(F.size(full) == 0, F.array(F.lit(UNK))).when(
                 full.isNotNull(), F.slice(full, 1, cap)
@@ -101,14 +115,16 @@ def _flatten(
     }
 
 
-def encode_events(events: DataFrame, bundle: Bundle) -> DataFrame:
+def encode_events(events: DataFrame, bundle: Bundle, texts: DataFrame | None = None) -> DataFrame:
     """Tokens and clock features for capped events (``keep_recent``), one row per event.
 
+    ``texts`` (``spelled_texts`` of rows that hold these events) saves the spelling in place.
+
     An event over the token cap loses whole fields from the first one that does not fit;
     a running sum over the fields of the row finds it.
     """
     keys = event_keys(events, bundle)
-    df = _field_ids(events, keys, bundle)
+    df = _field_ids(events, keys, bundle, texts)
     cap = bundle.config.max_event_tokens
     running: Column = F.lit(0)
     keep: dict[str, Column] = {}

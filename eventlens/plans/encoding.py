@@ -90,7 +90,8 @@ def wide_category_vocabulary(ws: Workspace) -> DataFrame:
     return fit.category_vocabulary(fit.distinct_values(values), ws.app.registry, base)
 
 
-@query()
+@query("""SELECT (step - 1)::BIGINT AS rank, list_position(names, l)::BIGINT AS left_id, list_position(names, r)::BIGINT AS right_id,
+          list_position(names, l || r)::BIGINT AS new_id, l || r AS piece_hex FROM bpe_com WHERE step > 0""")
 def text_vocabulary(ws: Workspace) -> DataFrame:
     """Merges of the shared text vocabulary over supplier and part names, spelled out."""
     b = ws.commerce_text.bundle
@@ -202,7 +203,8 @@ def category_value_ids(ws: Workspace) -> DataFrame:
     return long.select("event_id", "s.*").where("value_id is not null")
 
 
-@query()
+@query("""SELECT event_id, key_id::BIGINT AS key_id, pos::BIGINT AS pos, value_id::BIGINT AS value_id
+          FROM toktxt_com WHERE key IN ('merchant_name', 'description')""")
 def text_value_ids(ws: Workspace) -> DataFrame:
     """Text pieces of the commerce events: key id, value ids and positions per field."""
     b = ws.commerce_text
@@ -217,6 +219,26 @@ def event_tokens(ws: Workspace) -> DataFrame:
     return encode.event_tokens(ws.commerce.encoded())
 
 
+@query("""SELECT entity_id, event_id, event_ord, tok_ord, pos::BIGINT AS pos, key_id::BIGINT AS key_id, value_id::BIGINT AS value_id
+          FROM toktxt_com WHERE upto <= 24""")
+def event_tokens_with_text(ws: Workspace) -> DataFrame:
+    """Tokens of all fields, text fields with several each."""
+    return encode.event_tokens(ws.commerce_text.encoded())
+
+
+@query("""SELECT e.event_id, coalesce(c.n, 0) AS n_tokens, coalesce(ids, '') AS value_ids, coalesce(places, '') AS within_field_pos,
+                 coalesce(sizes, '') AS field_lengths, e.n > 12 AS truncated FROM
+          (SELECT event_id, count(*) AS n FROM toktxt_com GROUP BY 1) e LEFT JOIN
+          (SELECT event_id, count(*) AS n, string_agg(value_id::BIGINT::VARCHAR, ',' ORDER BY tok_ord) AS ids,
+                  string_agg(pos::VARCHAR, ',' ORDER BY tok_ord) AS places,
+                  string_agg(n_field::VARCHAR, ',' ORDER BY tok_ord) FILTER (WHERE pos = 0) AS sizes
+           FROM toktxt_com WHERE upto <= 12 GROUP BY 1) c USING (event_id)""")
+def capped_tokens_with_text(ws: Workspace) -> DataFrame:
+    """At most twelve tokens an event: a text that does not fit goes as a whole, and all fields after it."""
+    rows = ws.commerce_text.encoded(ws.commerce_text.bundle.with_config(max_event_tokens=12))
+    return rows.select("event_id", F.size("value_ids").alias("n_tokens"), "value_ids", "within_field_pos", "field_lengths", "truncated")
+
+
 @query("""SELECT entity_id, split, tok_ord, 0::BIGINT AS pos, key_id::BIGINT AS key_id, value_id::BIGINT AS value_id,
           round(time_coord, 6) AS time_coord FROM proftok_app""")
 def profile_tokens(ws: Workspace) -> DataFrame:

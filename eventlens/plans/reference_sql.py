@@ -286,11 +286,74 @@ for b in ("app", "com"):
   FROM prof p LEFT JOIN (SELECT entity_id, count(*) AS n, min(created_at) AS lo, max(created_at) AS hi
                          FROM ev_{b} GROUP BY 1) e USING (entity_id)"""
 
+# Text fields. Pieces are written as the hex of their bytes between commas, so a pair that spells a
+# known piece is that piece; ids are places in the list of names, after the unknown piece.
+CTES["txts_com"] = f"""
+  SELECT txt, sum(train)::BIGINT AS n
+  FROM (SELECT unnest([merchant_name, description]) AS txt, ({split_sql('entity_id')} = 'train')::INT AS train FROM hist_com)
+  WHERE txt IS NOT NULL GROUP BY 1"""
+
+CTES["cut_com"] = r"""
+  SELECT txt, n, regexp_extract_all(txt, $$'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+$$) AS ws FROM txts_com"""
+
+CTES["wrds_com"] = r"""
+  SELECT list(word ORDER BY word) AS ws, list(n ORDER BY word) AS ns,
+         list(regexp_replace(lower(hex(encode(word))), '(..)', ',\1,', 'g') ORDER BY word) AS ps
+  FROM (SELECT word, sum(n)::BIGINT AS n FROM (SELECT unnest(ws) AS word, n FROM cut_com) GROUP BY 1)"""
+
+CTES["abc_com"] = """
+  SELECT list(printf('%02x', b) ORDER BY shown DESC, b) AS names
+  FROM (SELECT b, (b BETWEEN 33 AND 126) OR (b BETWEEN 161 AND 172) OR b >= 174 AS shown FROM (SELECT unnest(range(256)) AS b))"""
+
+CTES["bpe_com"] = """
+  SELECT 0 AS step, names, ps, ns, NULL::VARCHAR AS l, NULL::VARCHAR AS r FROM wrds_com, abc_com
+  UNION ALL
+  SELECT step + 1, CASE WHEN list_contains(names, x || y) THEN names ELSE list_append(names, x || y) END,
+         list_transform(ps, lambda p: replace(p, ',' || x || ',,' || y || ',', ',' || x || y || ',')), ns, x, y
+  FROM (SELECT *, best.l AS x, best.r AS y FROM (
+    SELECT s.step, s.names, s.ps, s.ns, (
+      SELECT arg_min({'l': l, 'r': r}, [-n, list_position(s.names, l), list_position(s.names, r)])
+      FROM (SELECT l, r, sum(n)::BIGINT AS n FROM (
+              SELECT q[i] AS l, q[i + 1] AS r, n FROM (
+                SELECT q, n, unnest(range(1, len(q))) AS i FROM (
+                  SELECT string_split(substr(p, 2, length(p) - 2), ',,') AS q, n
+                  FROM (SELECT unnest(s.ps) AS p, unnest(s.ns) AS n))))
+            GROUP BY l, r HAVING sum(n) > 0)) AS best
+    FROM bpe_com s WHERE len(s.names) < 511) WHERE best IS NOT NULL)"""
+
+CTES["spelt_com"] = """
+  SELECT word, list_transform(string_split(substr(p, 2, length(p) - 2), ',,'), lambda h: list_position(names, h)) AS ids
+  FROM (SELECT unnest(ws) AS word, unnest(f.ps) AS p, f.names
+        FROM wrds_com, (SELECT ps, names FROM bpe_com ORDER BY step DESC LIMIT 1) f)"""
+
+CTES["txtids_com"] = """
+  SELECT txt, list_slice(flatten(list(ids ORDER BY place)), 1, 8) AS ids
+  FROM (SELECT txt, unnest(ws) AS word, unnest(range(len(ws))) AS place FROM cut_com) JOIN spelt_com USING (word) GROUP BY 1"""
+
+CTES["keyidx_com"] = f"""
+  SELECT key, 6 + row_number() OVER (ORDER BY key) AS key_id
+  FROM (SELECT unnest({[*KEYS['com'], *IGNORED]}) AS key)"""
+
+# All tokens with the text fields in: two more keys move the other value ids up by two.
+CTES["fieldtxt_com"] = f"""
+  SELECT entity_id, event_id, field_ord, key, k.key_id, 0 AS pos, CASE WHEN value_id = 1 THEN 1 ELSE value_id + 2 END AS value_id
+  FROM fieldtok_com JOIN keyidx_com k USING (key)
+  UNION ALL
+  SELECT entity_id, event_id, field_ord, key, key_id, unnest(range(len(ids))), unnest(ids) + base
+  FROM (SELECT l.*, t.ids, k.key_id, 7 + {len(KEYS['com']) + 2} + 17 + (SELECT count(*) FROM cats_com) AS base
+        FROM long_com l JOIN txtids_com t ON t.txt = l.txt JOIN keyidx_com k ON k.key = l.key WHERE l.key IN {IGNORED})"""
+
+CTES["toktxt_com"] = """
+  SELECT f.*, e.event_ord, count(*) OVER (PARTITION BY f.event_id, f.field_ord) AS n_field,
+         count(*) OVER (PARTITION BY f.event_id ORDER BY f.field_ord) AS upto,
+         row_number() OVER (PARTITION BY f.event_id ORDER BY f.field_ord, f.pos) - 1 AS tok_ord
+  FROM fieldtxt_com f JOIN capped_com e ON e.event_id = f.event_id"""
+
 CTES["vec"] = f"""
   SELECT vec_id::VARCHAR AS entity_id, embedding, label = 0 AS label, {split_sql('vec_id::VARCHAR')} AS split
   FROM embeddings"""
 
-RECURSIVE = re.compile(r"^pack_")
+RECURSIVE = re.compile(r"^(pack|bpe)_")
 
 
 def with_ctes(body: str) -> str:

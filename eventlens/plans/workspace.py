@@ -23,6 +23,7 @@ class Binding:
         self.ws = ws
         self.registry = registry
         self.events = events
+        self._texts: dict[int, tuple] = {}
 
     @cached_property
     def heavy(self) -> list[tuple]:
@@ -54,7 +55,14 @@ class Binding:
     def encoded(self, bundle: Bundle | None = None) -> DataFrame:
         """Encoding from the raw tables."""
         bundle = bundle or self.bundle
-        return encode.encode_events(self.capped(bundle.config.max_history_events), bundle)
+        return encode.encode_events(self.capped(bundle.config.max_history_events), bundle, self.texts(bundle))
+
+    def texts(self, bundle: Bundle) -> DataFrame | None:
+        """Spelled once per fitted bundle: configurations that only cap events share it."""
+        found = self._texts.get(id(bundle.merges))
+        if found is None:
+            found = self._texts[id(bundle.merges)] = (encode.spelled_texts(self.history, bundle), bundle.merges)
+        return found[0]
 
     @cached_property
     def stored(self) -> DataFrame:

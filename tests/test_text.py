@@ -82,8 +82,84 @@ def test_null_text(spark):
     assert rows[0]["ids"] is None and len(rows[1]["ids"]) == 2
 
 
-def test_independent_pairs():
-    assert tv._independent([(1, 2, 9), (3, 4, 8), (2, 5, 7)], 10, 1) == [(1, 2), (3, 4)]
-    assert tv._independent([(1, 2, 9), (3, 4, 7), (2, 5, 7)], 10, 1) == [(1, 2)]
-    assert tv._independent([(1, 2, 9), (3, 4, 8)], 1, 1) == [(1, 2)]
-    assert tv._independent([(1, 2, 1)], 10, 2) == []
+SERIAL = [f"Supplier#{i:09d}" for i in range(1, 60)] + ["aaaa aaa", "0000000", "ababab abab", "aabaab"]
+
+
+def recounted(texts, vocab_size):
+    """Merges by a full recount after each."""
+    from collections import Counter
+
+    import regex
+
+    pattern = regex.compile(tv.PRETOKEN.replace("IsWhite_Space", "White_Space"))
+    ids = tv.byte_ids()
+    words = Counter(w for x in texts for w in pattern.findall(x))
+    state, names, out = [([ids[b] for b in w.encode()], n) for w, n in words.items()], tv._Pieces(), []
+    while names.next_id < vocab_size:
+        pairs = Counter()
+        for word, n in state:
+            for p in zip(word, word[1:]):
+                pairs[p] += n
+        if not pairs:
+            break
+        best = min(pairs, key=lambda p: (-pairs[p], p))
+        out.append(names.named(best))
+        after = []
+        for word, n in state:
+            new, i = [], 0
+            while i < len(word):
+                hit = tuple(word[i : i + 2]) == best
+                new.append(out[-1][2] if hit else word[i])
+                i += 2 if hit else 1
+            after.append((new, n))
+        state = after
+    return out
+
+
+@pytest.mark.parametrize("settings", [{}, {"guess_words": 0}, {"guess_words": 7, "guesses": 9}, {"guesses": 1}])
+def test_merges_do_not_depend_on_the_guesses(spark, settings):
+    texts = PARTS + SERIAL
+    df = spark.createDataFrame([(t, 1) for t in texts], "txt string, n bigint").repartition(5)
+    size = 275 if settings.get("guesses") == 1 or settings.get("guess_words") == 0 else 320
+    assert tv.learn_merges(tv.word_counts(df), size, **settings) == recounted(texts, size)
+
+
+def test_words_are_written_anew_after_some_merges(spark, monkeypatch):
+    monkeypatch.setattr(tv, "MERGES_PER_TABLE", 5)
+    df = spark.createDataFrame([(t, 2) for t in PARTS + SERIAL], "txt string, n bigint")
+    assert tv.learn_merges(tv.word_counts(df), 290, guesses=8) == recounted(PARTS + SERIAL, 290)
+
+
+def test_right_guesses_need_few_jobs(spark, monkeypatch):
+    runs = []
+    real = tv._replayed
+    monkeypatch.setattr(tv, "_replayed", lambda *a: runs.append(len(a[2])) or real(*a))
+    merges = learn(spark, PARTS + SERIAL, 330)
+    assert len(merges) > 60 and len(runs) <= 2
+
+
+def test_repeated_signs_like_the_library(spark):
+    merges = learn(spark, SERIAL, 300)
+    lib = library(SERIAL, 300)
+    assert encode(spark, merges, SERIAL) == [lib.encode(t).ids for t in SERIAL]
+
+
+TEXTS = [*PARTS, *SERIAL, "", " ", None, "a the the the the the the the the the the", "it's  re-ringed", "naïve café " * 30]
+
+
+@pytest.mark.parametrize("rows_per_task", [3, 10**9])
+@pytest.mark.parametrize("cap", [1, 8, 1000])
+def test_dictionary_equals_spelling_in_place(spark, rows_per_task, cap):
+    """With three rows a task, frequent words go by broadcast."""
+    merges = recounted(PARTS, 300)
+    rows = spark.createDataFrame([(t, TEXTS[-1 - i]) for i, t in enumerate(TEXTS)] * 2, "x string, y string").repartition(4)
+    found = {r["txt"]: list(r["ids"]) for r in tv.text_dictionary(rows, ["x", "y"], merges, 100, cap, rows_per_task=rows_per_task).collect()}
+    in_place = rows.select("x", F.slice(tv.text_ids(F.col("x"), merges, 100, cap), 1, cap).alias("ids")).where("x is not null").collect()
+    assert found == {r["x"]: list(r["ids"]) for r in in_place} and found[""] == []
+
+
+def test_too_many_texts_are_spelled_in_place(spark, monkeypatch):
+    rows = spark.createDataFrame([(t,) for t in PARTS], "x string")
+    monkeypatch.setattr(tv, "DICTIONARY_BYTES", 100)
+    assert tv.text_dictionary(rows, ["x"], [], 0, 8) is None
+    assert tv.text_dictionary(rows.limit(0), ["x"], [], 0, 8).count() == 0
