@@ -7,7 +7,8 @@ similarity s meets in no bucket with probability (1 - s^ROWS)^BANDS, below 1e-8
 1.5 % at 0.2, so that documents which only share a common passage seldom meet.
 
 Documents with the same words are put together first, so hot groups of copies are one document. In
-a bucket only a star is compared: the document that meets most others against the rest. Buckets that
+a bucket only a star is compared: the document that meets most others against the rest, and the rest
+against the best of their centres before the others, which are left out where they are in one component by then. Buckets that
 then hold more than one component go on. Among their documents, two that are similar share one of
 their rarest shingles (a share of 1 - s of a set, plus one, cannot be missed by both), so these make
 new, smaller buckets, in which documents outside of the largest component become centres until every
@@ -220,6 +221,11 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def stars_of(found: DataFrame) -> DataFrame:
+    """Components as links to their smallest document: later links are added to these, not to all earlier ones."""
+    return found.where(F.col("doc") != F.col("comp")).select(F.col("doc").alias("a"), F.col("comp").alias("b"))
+
+
 def rarest(texts: DataFrame, width: int, percent: int) -> DataFrame:
     """``key, doc, n, place, sketch``: the shingles of each text that stand in fewest of the texts, as
     many as two similar texts cannot both be without; those of one text alone are left out. ``place``
@@ -297,8 +303,10 @@ def near_duplicates(
     # of all its buckets it links nearly the whole group in the first round.
     rank = shared.groupBy("doc").agg(F.sum("size").alias("rank"))
     ranked = materialize(shared.select("key", "doc", "n").distinct().join(rank, "doc"), "ranked-buckets")
-    stars = ranked.groupBy("key").agg(F.max_by(F.struct("doc", "n"), F.struct("rank", "key", "doc")).alias("centre"))
-    active = ranked.join(stars, "key").select("key", "doc", "n", "rank", F.col("centre.doc").alias("centre"), F.col("centre.n").alias("nc"))
+    stars = ranked.groupBy("key").agg(F.max_by(F.struct("doc", "n", "rank"), F.struct("rank", "key", "doc")).alias("centre"))
+    active = ranked.join(stars, "key").select(
+        "key", "doc", "n", "rank", F.col("centre.doc").alias("centre"), F.col("centre.n").alias("nc"), F.col("centre.rank").alias("rc")
+    )
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
     source = docs.select(F.col(f"`{id_col}`").alias("doc"), text.alias("t"))
     involved = rank.select("doc")
@@ -309,9 +317,24 @@ def near_duplicates(
         return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
     spokes = active.where((F.col("doc") != F.col("centre")) & able("n", "nc"))
-    pairs = spokes.select(F.least("centre", "doc").alias("a"), F.greatest("centre", "doc").alias("b")).distinct()
-    links = materialize(confirmed(pairs, texts, words, percent), "confirmed")
+
+    def in_order(one: str, other: str) -> list[Column]:
+        return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
+
+    # Each document meets the best of its centres first, and another one only if that is not yet in its component.
+    best = spokes.groupBy("doc").agg(F.max_by("centre", F.struct("rc", "centre")).alias("centre"))
+    links = materialize(confirmed(best.select(*in_order("doc", "centre")).distinct(), texts, words, percent), "confirmed")
     found = components(links)
+    ends = found.select("doc", "comp")
+    other = spokes.select("doc", "centre").distinct().join(best, ["doc", "centre"], "left_anti")
+    apart = (
+        other.join(ends.withColumnRenamed("comp", "c1"), "doc", "left")
+        .join(ends.select(F.col("doc").alias("centre"), F.col("comp").alias("c2")), "centre", "left")
+        .where(F.coalesce("c1", "doc") != F.coalesce("c2", "centre"))
+    )
+    more = materialize(confirmed(apart.select(*in_order("doc", "centre")).distinct(), texts, words, percent), "confirmed")
+    if not more.isEmpty():
+        found = components(stars_of(found).unionByName(more))
     # A centre has met all others of its bucket; the rest of an open bucket is looked at again.
     rest = active.where(F.col("doc") != F.col("centre")).join(found.select("doc", "comp"), "doc", "left")
     comp = F.coalesce("comp", "doc")
@@ -346,8 +369,7 @@ def near_duplicates(
         pairs = met.select(F.least("x", "doc").alias("a"), F.greatest("x", "doc").alias("b")).distinct()
         more = materialize(confirmed(pairs, texts, words, percent), "confirmed")
         if not more.isEmpty():
-            links = links.unionByName(more)
-            found = components(links)
+            found = components(stars_of(found).unionByName(more))
         active = open_.select(*active.columns).join(
             centres.select("key", F.col("x").alias("doc")), ["key", "doc"], "left_anti"
         )
