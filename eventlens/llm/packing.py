@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.llm.common import hash_slice, prefix_sums, slices_for
-from eventlens.llm.tokens import word_encoder
+from eventlens.llm.tokens import WordEncoder, word_encoder
 from eventlens.session import materialize
 
 CAPACITY = 4096
 END_ID = 1
+# Characters of texts that are encoded together.
+GROUP = 1 << 18
 FEW = 4
 SPREAD = 12
 SWEEPS = 25
@@ -133,6 +135,18 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Pattern
     return best or []
 
 
+def _runs(encoder: WordEncoder, column: pa.Array) -> Iterator[bytes]:
+    """Ids of the texts in order, encoded in groups of texts of about ``GROUP`` bytes."""
+    held, size = [], 0
+    for text in column:
+        held.append(text.as_py())
+        size += len(held[-1])
+        if size >= GROUP:
+            yield from encoder.many(held)
+            held, size = [], 0
+    yield from encoder.many(held)
+
+
 def token_pieces(
     docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text",
     with_ids: bool = False,
@@ -148,8 +162,8 @@ def token_pieces(
         encode = word_encoder(tokenizer_path)
         for batch in batches:
             rows, pieces, starts, lengths, crcs, ids = [], [], [], [], [], []
-            for row, text in enumerate(batch.column("t")):
-                whole = memoryview(encode(text.as_py()) + end)
+            for row, encoded in enumerate(_runs(encode, batch.column("t"))):
+                whole = memoryview(encoded + end)
                 for p, start in enumerate(range(0, len(whole), 4 * capacity)):
                     part = whole[start : start + 4 * capacity]
                     rows.append(row)
