@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from eventlens import registry as R
 
@@ -37,6 +38,12 @@ class EncoderConfig:
                 raise ValueError(f"{name} must be at least 1")
 
 
+def category_sizes(categories: DataFrame) -> dict[str, tuple[int, int]]:
+    """Values of each key, and their bytes with ids: one row per key of the schema."""
+    sizes = categories.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value") + 12).alias("b")).collect()
+    return {r["key"]: (r["n"], r["b"]) for r in sizes}
+
+
 @dataclass(frozen=True)
 class Bundle:
     """``[special][keys][zero + numeric buckets][category blocks][text pieces]``.
@@ -54,6 +61,7 @@ class Bundle:
     text_fitted: bool = False
     train_fingerprint: str | None = None
     n_train_records: int = 0
+    category_sizes: dict[str, tuple[int, int]] = field(default_factory=dict, compare=False)  # values, bytes per key
 
     @property
     def key_ids(self) -> dict[str, int]:

@@ -16,32 +16,40 @@ from eventlens import registry as R
 from eventlens.functions.buckets import length_label, numeric_token
 from eventlens.functions.temporal import CALENDAR, calendar, seconds_between, soft_log
 from eventlens.functions.values import as_category
-from eventlens.operators.bundle import MILESTONE_ABSENT, MILESTONE_PRESENT, UNK, Bundle
-from eventlens.operators.skew import BROADCAST_ROWS, broadcast_if_small
+from eventlens.operators.bundle import MILESTONE_ABSENT, MILESTONE_PRESENT, UNK, Bundle, category_sizes
+from eventlens.operators.ordered import heavy_groups
+from eventlens.operators.skew import BROADCAST_ROWS, broadcast_if_small, join_per_entity
 from eventlens.operators.textvocab import text_dictionary, text_ids
 
+BROADCAST_BYTES = 32 << 20
+
 
 def _none() -> Column:
     return F.array().cast("array<int>")
 
 
-def category_ids(df: DataFrame, keys: Sequence[str], bundle: Bundle) -> DataFrame:
+def category_ids(df: DataFrame, keys: Sequence[str], bundle: Bundle, **kw) -> DataFrame:
     """Add ``id_<key>`` per categorical key; a value outside the vocabulary is unknown.
 
-    A small vocabulary is broadcast. A large one is joined by shuffle, and there the rows
-    without a value get a key of their own that meets nothing: they spread evenly instead of
-    landing in one task as nulls do. Frequent values are left to the adaptive skew join.
+    Each key decides for itself: a vocabulary that is small in rows and bytes is broadcast, and only
+    a large one is joined by shuffle. There the values that fill more than one task are found first
+    and go by a broadcast of just these; the others are shuffled, and rows without a value have a
+    value of their own that meets nothing, so they spread evenly instead of landing in one task.
     """
+    sizes = bundle.category_sizes or category_sizes(bundle.categories)
+    row = "event_id" if "event_id" in df.columns else "entity_id"
+    given = df
     for key in keys:
-        value = as_category(df, key)
-        if bundle.n_categories > BROADCAST_ROWS:
-            row = "event_id" if "event_id" in df.columns else "entity_id"
-            value = F.coalesce(value, F.concat(F.lit("\x00"), F.col(row)))
         vocab = bundle.categories.where(F.col("key") == key).select(
             F.col("value").alias(f"value_{key}"), F.col("value_id").alias(f"found_{key}")
         )
-        vocab = broadcast_if_small(vocab, bundle.n_categories)
-        df = df.join(vocab, value == F.col(f"value_{key}"), "left")
+        n, n_bytes = sizes.get(key, (0, 0))
+        if n <= BROADCAST_ROWS and n_bytes <= BROADCAST_BYTES:
+            df = df.join(F.broadcast(vocab), as_category(df, key) == F.col(f"value_{key}"), "left")
+        else:
+            own = F.coalesce(as_category(given, key), F.concat(F.lit("\x00"), F.col(row))).alias(f"value_{key}")
+            heavy = heavy_groups(given.where(F.col(key).isNotNull()).select(own), [f"value_{key}"], **kw)
+            df = join_per_entity(df.withColumn(f"value_{key}", own), vocab, "left", heavy, key=f"value_{key}")
         df = df.withColumn(
             f"id_{key}",
             F.when(F.col(key).isNotNull(), F.coalesce(F.col(f"found_{key}"), F.lit(UNK))),

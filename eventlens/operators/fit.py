@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens import registry as R
-from eventlens.operators.bundle import N_SPECIAL, Bundle, EncoderConfig
+from eventlens.operators.bundle import N_SPECIAL, Bundle, EncoderConfig, category_sizes
 from eventlens.operators.ordered import quantiles_of_counts, ranks
 from eventlens.operators.split import SplitConfig, split_of, tree_fingerprint
 from eventlens.operators.textvocab import learn_merges, word_counts
@@ -139,7 +139,8 @@ def fit(
     if registry.keys_of(R.TEXT):
         texts = counts.where(F.col("kind") == R.TEXT)
         merges = learn_merges(word_counts(texts), config.bpe_vocab_size, config.bpe_min_frequency)
+    sizes = category_sizes(categories)
     return Bundle(
-        registry, config, bounds, categories, categories.count(), merges, True,
-        tree_fingerprint(ids).first()["fingerprint"], n_train,
+        registry, config, bounds, categories, sum(n for n, _ in sizes.values()), merges, True,
+        tree_fingerprint(ids).first()["fingerprint"], n_train, sizes,
     )

@@ -247,3 +247,28 @@ def test_large_vocabularies_are_joined_by_shuffle(spark, app, monkeypatch):
     monkeypatch.setattr(skew, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(encode, "BROADCAST_ROWS", 0)
     assert plain.exceptAll(app.encoded()).count() == 0
+
+
+def test_frequent_values_of_a_large_vocabulary_go_by_broadcast(spark, monkeypatch):
+    """One value fills half of the rows and its key is large; the other key stays small."""
+    from eventlens.operators import encode
+    from eventlens.operators.bundle import Bundle, EncoderConfig
+    from eventlens.sources.tables import app_registry
+
+    words = [("view", f"v{i}", 100 + i) for i in range(60)] + [("type", t, 10 + i) for i, t in enumerate("abc")]
+    categories = spark.createDataFrame(words, "key string, value string, value_id int")
+    bundle = Bundle(app_registry(), EncoderConfig(), {}, categories, len(words))
+    rows = [(f"e{i}", None if i % 7 == 0 else "v3" if i % 2 else f"v{i % 90}", "abcd"[i % 4]) for i in range(900)]
+    events = spark.createDataFrame(rows, "event_id string, view string, type string").repartition(5)
+    ids = {(k, v): i for k, v, i in words}
+    want = {e: (None if v is None else ids.get(("view", v), 1), ids.get(("type", t), 1)) for e, v, t in rows}
+    for limit in (1000, 10):
+        monkeypatch.setattr(encode, "BROADCAST_ROWS", limit)
+        found = encode.category_ids(events, ["view", "type"], bundle, rows_per_task=200)
+        assert {r["event_id"]: (r["id_view"], r["id_type"]) for r in found.collect()} == want and found.count() == 900
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert ("Union" in plan) == (limit == 10)  # the frequent value apart from the shuffled ones
+    monkeypatch.setattr(encode, "BROADCAST_ROWS", 1000)
+    monkeypatch.setattr(encode, "BROADCAST_BYTES", 100)
+    by_bytes = encode.category_ids(events, ["view", "type"], bundle)
+    assert {r["event_id"]: (r["id_view"], r["id_type"]) for r in by_bytes.collect()} == want
