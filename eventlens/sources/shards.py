@@ -9,14 +9,17 @@ from eventlens.functions.buckets import LENGTH_EDGES, length_label
 from eventlens.operators.encode import SHARD_TYPES
 
 SCHEMA_VERSION = 1
-# Bounds the size of one file, which the checksum reads whole.
 RECORDS_PER_FILE = 20_000
+# A file up to this size is hashed as one row; a larger one is held against its blocks.
+WHOLE_FILE_BYTES = 256 << 20
+RECORDS_PER_BLOCK = 1024
 
 RECORD_SCHEMA = ", ".join(f"{n} {t}" for n, t in SHARD_TYPES.items())
 SHARD_SCHEMA = (
     ", ".join(f"{n} {t}" for n, t in SHARD_TYPES.items() if n != "split")
     + ", split string, length_bucket string"
 )
+BLOCK_SCHEMA = "path string, block bigint, n_records bigint, content_hash bigint"
 MANIFEST_SCHEMA = (
     "schema_version int, processor_train_fingerprint string, created_at string, path string, "
     "split string, length_bucket string, n_records bigint, n_events bigint, n_value_tokens bigint, "
@@ -49,7 +52,8 @@ def write_shards(
     edges=LENGTH_EDGES,
     records_per_file: int = RECORDS_PER_FILE,
 ) -> DataFrame:
-    """Write one folder per (split, length bucket) and a manifest with one row per file.
+    """Write one folder per (split, length bucket), a manifest with one row per file, and the content
+    hashes of runs of records in each file.
 
     The rebalance hint sizes the writing tasks by bytes: a group with most of the records is
     split over many tasks, small groups share one.
@@ -61,6 +65,7 @@ def write_shards(
         .partitionBy("split", "length_bucket").parquet(f"{path}/records")
     )
     spark = records.sparkSession
+    block_hashes(spark, path).write.mode("error").parquet(f"{path}/blocks")
     manifest = build_manifest(spark, path, fingerprint)
     manifest.coalesce(1).write.mode("error").json(f"{path}/manifest")
     return read_manifest(spark, path)
@@ -74,14 +79,44 @@ def _relative(col: Column) -> Column:
     return F.substring_index(col, "/records/", -1)
 
 
-def file_hashes(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
-    """``(path, sha256)`` of the data files, read in parallel as whole files."""
+def file_hashes(spark: SparkSession, path: str, split: str | None = None, whole_bytes: int | None = None) -> DataFrame:
+    """``(path, sha256)`` of the data files, read in parallel as whole files; null for a file too large for one row."""
     folder = f"{path}/records" if split is None else f"{path}/records/split={split}"
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
         .option("recursiveFileLookup", "true").load(folder)
     )
-    return files.select(_relative(F.col("path")).alias("path"), F.sha2("content", 256).alias("sha256"))
+    limit = WHOLE_FILE_BYTES if whole_bytes is None else whole_bytes
+    small = files.where(F.col("length") <= limit).select("path", F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > limit).select("path", F.lit(None).cast("string").alias("sha256"))
+    return small.unionByName(large).withColumn("path", _relative(F.col("path")))
+
+
+def block_hashes(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
+    """``(path, block, n_records, content_hash)``: order-free hashes of runs of records of each file.
+
+    Files are read in splits, so no file is one row or one task. What cannot be decoded is left out:
+    its records are missing from their blocks.
+    """
+    shards = spark.read.schema(SHARD_SCHEMA).option("ignoreCorruptFiles", "true").parquet(f"{path}/records")
+    if split is not None:
+        shards = shards.where(F.col("split") == split)
+    place = shards.withColumn("path", _relative(F.col("_metadata.file_path"))).withColumn(
+        "block", F.floor(F.col("_metadata.row_index") / RECORDS_PER_BLOCK)
+    )
+    return place.groupBy("path", "block").agg(
+        F.count(F.lit(1)).alias("n_records"), F.bit_xor(F.xxhash64(*[F.col(n) for n in SHARD_TYPES])).alias("content_hash")
+    )
+
+
+def block_mismatches(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
+    """``(path, block)`` of the runs of records that are not as they were written."""
+    stated = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
+    if split is not None:
+        stated = stated.where(F.col("path").startswith(f"split={split}/"))
+    actual = block_hashes(spark, path, split)
+    both = stated.withColumnsRenamed({"n_records": "n", "content_hash": "h"}).join(actual, ["path", "block"], "full")
+    return both.where(~F.col("n").eqNullSafe(F.col("n_records")) | ~F.col("h").eqNullSafe(F.col("content_hash"))).select("path", "block")
 
 
 def build_manifest(spark: SparkSession, path: str, fingerprint: str | None) -> DataFrame:
@@ -117,13 +152,24 @@ def checksum_mismatches(spark: SparkSession, path: str, split: str | None = None
 
 
 def read_shards(
-    spark: SparkSession, path: str, split: str | None = None, *, verify: bool = True
+    spark: SparkSession, path: str, split: str | None = None, *, verify: bool | str = True
 ) -> DataFrame:
-    """Stored records; a split filter prunes folders. A changed file stops the read."""
-    if verify:
+    """Stored records; a split filter prunes folders. A changed file stops the read.
+
+    Files are held against their checksums, those too large for one row against the content hashes of
+    their blocks; ``verify="content"`` checks all blocks instead, and an error names the first one that differs.
+    """
+    if verify and verify != "content":
         bad = checksum_mismatches(spark, path, split).orderBy("path").first()
         if bad is not None:
             raise ValueError(f"checksum mismatch for shard '{bad['path']}'")
+        unhashed = read_manifest(spark, path).where("sha256 is null").select("path")
+        changed = None if unhashed.isEmpty() else block_mismatches(spark, path, split).join(unhashed, "path", "left_semi")
+    else:
+        changed = block_mismatches(spark, path, split) if verify else None
+    bad = None if changed is None else changed.orderBy("path", "block").first()
+    if bad is not None:
+        raise ValueError(f"content of shard '{bad['path']}' differs in block {bad['block']}")
     shards = _files(spark, path).select(*SHARD_TYPES, "length_bucket")
     return shards if split is None else shards.where(F.col("split") == split)
 

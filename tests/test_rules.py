@@ -377,6 +377,39 @@ def nested(bank, bundle):
     return encode.assemble(encode.encode_profile(recs, bundle), encoded(bank, bundle))
 
 
+def test_blocks_name_what_changed(spark, bank, bundle, tmp_path, monkeypatch):
+    """Files too large for one row are held against runs of their records."""
+    rows = materialize(nested(bank, bundle), "nested-blocks")
+    monkeypatch.setattr(shards, "WHOLE_FILE_BYTES", 0)
+    monkeypatch.setattr(shards, "RECORDS_PER_BLOCK", 4)
+    path = str(tmp_path / "blocks")
+    manifest = shards.write_shards(rows, path).collect()
+    assert all(m["sha256"] is None for m in manifest) and shards.checksum_mismatches(spark, path).count() == 0
+    stated = spark.read.schema(shards.BLOCK_SCHEMA).parquet(f"{path}/blocks").collect()
+    assert sum(b["n_records"] for b in stated) == rows.count() and max(b["block"] for b in stated) > 0
+    assert all(b["n_records"] <= 4 for b in stated)
+    assert shards.read_shards(spark, path).count() == shards.read_shards(spark, path, verify="content").count() == rows.count()
+    victim = max(manifest, key=lambda m: m["n_records"])
+    file = tmp_path / "blocks" / "records" / victim["path"]
+    whole = file.read_bytes()
+    (file.parent / f".{file.name}.crc").unlink()
+    found = 0
+    for at in range(len(whole) // 20, len(whole) // 2, len(whole) // 9):
+        file.write_bytes(whole[:at] + bytes([whole[at] ^ 0x55]) + whole[at + 1 :])
+        spark.catalog.clearCache()
+        bad = shards.block_mismatches(spark, path).collect()
+        assert {b["path"] for b in bad} <= {victim["path"]}
+        found += bool(bad)
+        if bad:
+            with pytest.raises(ValueError, match="differs in block"):
+                shards.read_shards(spark, path)
+            with pytest.raises(ValueError, match="differs in block"):
+                shards.read_shards(spark, path, victim["split"], verify="content")
+    assert found >= 3
+    file.unlink()
+    assert shards.block_mismatches(spark, path).count() == len({b["block"] for b in stated if b["path"] == victim["path"]})
+
+
 def test_shards_round_trip_and_corruption(spark, bank, bundle, tmp_path):
     rows = materialize(nested(bank, bundle), "nested")
     path = str(tmp_path / "shards")
