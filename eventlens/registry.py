@@ -119,7 +119,7 @@ class Registry:
     def field(self, name: str) -> Field:
         key = self.resolve(name)
         if key is None:
-            raise KeyError(f"unknown field or alias: '{name}'")
+            raise KeyError(f"the registry declares no field named '{name}'")
         return next(f for f in self.fields if f.key == key)
 
     def family(self, name: str) -> Family:
