@@ -95,8 +95,8 @@ def file_hashes(spark: SparkSession, path: str, split: str | None = None, whole_
 def block_hashes(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     """``(path, block, n_records, content_hash)``: order-free hashes of runs of records of each file.
 
-    Files are read in splits, so no file is one row or one task. What cannot be decoded is left out:
-    its records are missing from their blocks.
+    Files are read in splits, so no file is one row or one task. What the reader cannot decode is left
+    out: its records are missing from their blocks. Damage that shows only in a value's use stops the job.
     """
     shards = spark.read.schema(SHARD_SCHEMA).option("ignoreCorruptFiles", "true").parquet(f"{path}/records")
     if split is not None:
