@@ -362,6 +362,38 @@ def oov_rates(events: DataFrame, split: Column, bundle: Bundle) -> DataFrame:
     )
 
 
+def field_report(events: DataFrame, split: Column, bundle: Bundle, train: str = "train") -> DataFrame:
+    """What was learned per event field, and how it holds outside of the training split: values and
+    zeros that were fitted on, the numeric boundaries, and the share of the other splits' values that
+    the vocabulary does not know (a text is unknown when it has no piece). Null where it does not apply."""
+    keys = event_keys(events, bundle)
+    kinds = {k: bundle.registry.field(k).kind for k in keys}
+    found = category_ids(events.withColumn("split", split), [k for k in keys if kinds[k] == R.CATEGORICAL], bundle)
+
+    def unknown(key: str) -> Column:
+        if kinds[key] == R.NUMERICAL:
+            return F.lit(None).cast("boolean")
+        return F.col(f"id_{key}") == UNK if kinds[key] == R.CATEGORICAL else F.col(key).cast("string") == ""
+
+    slots = [
+        F.struct(
+            F.lit(k).alias("key"), F.lit(kinds[k]).alias("kind"), F.col(k).isNotNull().alias("there"),
+            (F.col(k).cast("double") == 0.0 if kinds[k] == R.NUMERICAL else F.lit(None).cast("boolean")).alias("zero"),
+            unknown(k).alias("unknown"),
+        )
+        for k in keys
+    ]
+    fitted = F.col("split") == train
+    fields = found.select("split", F.explode(F.array(*slots)).alias("s")).select("split", "s.*").where("there").groupBy("key", "kind").agg(
+        F.count_if(fitted).alias("n_train_values"),
+        F.sum(F.when(fitted, F.col("zero").cast("bigint"))).alias("n_zero_values"),
+        F.avg(F.when(~fitted, F.col("unknown").cast("double"))).alias("oov_rate"),
+    )
+    bounds = [(k, len(b), min(b, default=None), max(b, default=None)) for k, b in bundle.numeric_bounds.items()]
+    table = events.sparkSession.createDataFrame(bounds, "key string, n_bounds bigint, low_bound double, high_bound double")
+    return fields.join(F.broadcast(table), "key", "left")  # one row per numeric field of the schema
+
+
 def decode_keys(tokens: DataFrame, bundle: Bundle) -> DataFrame:
     """Add ``key``, ``kind`` and the readable ``value`` of each token."""
     names = {i: k for k, i in bundle.key_ids.items()}

@@ -364,6 +364,24 @@ def oov_rates(ws: Workspace) -> DataFrame:
     return encode.oov_rates(ws.app.history, split_of(F.col("entity_id")), ws.app.bundle)
 
 
+@query(f"""
+  SELECT f.key, f.kind, n_train_values, n_zero_values, n_bounds, round(low, 6) AS low_bound, round(high, 6) AS high_bound, round(oov, 6) AS oov_rate
+  FROM (SELECT key, CASE WHEN key IN ('amount', 'discount') THEN 'numerical' WHEN key IN ('merchant_name', 'description') THEN 'text'
+                         ELSE 'categorical' END AS kind,
+               count(*) FILTER (WHERE {TRAIN}) AS n_train_values,
+               CASE WHEN key IN ('amount', 'discount') THEN count(*) FILTER (WHERE num = 0 AND {TRAIN}) END AS n_zero_values
+        FROM long_com GROUP BY key) f
+  LEFT JOIN (SELECT key, count(*) AS n_bounds, min(bound) AS low, max(bound) AS high FROM bounds_com GROUP BY key) b ON b.key = f.key
+  LEFT JOIN (SELECT key, avg((value_id = 1)::INT) AS oov FROM fieldtok_com
+             WHERE key IN ('direction', 'channel', 'mcc') AND NOT {TRAIN} GROUP BY key
+             UNION ALL SELECT key, avg((txt = '')::INT) FROM long_com WHERE key IN ('merchant_name', 'description') AND NOT {TRAIN} GROUP BY key
+  ) o ON o.key = f.key""")
+def fit_report_fields(ws: Workspace) -> DataFrame:
+    """The report per field: numeric statistics and unknown rates, text fields included."""
+    b = ws.commerce_text
+    return encode.field_report(b.history, split_of(F.col("entity_id")), b.bundle)
+
+
 # -- stored form ---------------------------------------------------------------------------
 
 
