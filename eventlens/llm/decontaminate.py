@@ -24,6 +24,9 @@ WINDOW = 8
 MIN_LITERALS = 4
 MIN_WINDOWS = 6
 MIN_COVERAGE = 0.5
+# An item shorter than a window is a common phrase if more than one document and more than this share
+# of all documents hold it.
+COMMON_SHARE = 0.001
 # Windows of a benchmark up to which its side is broadcast (16 bytes of key and place each).
 BROADCAST_WINDOWS = 2_000_000
 
@@ -41,6 +44,9 @@ AMOUNT = r"(?<![\p{L}\p{N}.,\x01])(?<!\x01[-+$€£])([-+$€£]?[0-9](?:[0-9.,:
 NAME = r"(?<=[\p{L}\p{N},;]\s)(\p{Lu}\p{Ll}+)"
 # White space other than one plain space.
 SPACES = r"[\s\p{Z}]{2,}|[\s\p{Z}&&[^ ]]"
+# Ends of a line, and of a sentence.
+LINE_END = r"[\r\n\x{85}\x{2028}\x{2029}]+"
+SENTENCE_END = r"(?<=[.!?:;\x{3002}])\s+|" + LINE_END
 # Between words: anything but letters and digits; marks inside a number belong to it.
 GAP = r"[^\p{L}\p{M}\p{N}\x01-\x03.,:/]+|[.,:/]+(?![0-9])|(?<![0-9])[.,:/]+"
 
@@ -130,6 +136,30 @@ def _windows(hashed: DataFrame, short: Sequence[int] = ()) -> DataFrame:
     return rows.select(*keys, F.explode("__cut").alias("x")).select(*keys, *fields).where(F.col("h").isNotNull())
 
 
+def _alone(rows: DataFrame, hits: DataFrame, side: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """Of the short items in ``side``: the hashes of common phrases, and the pairs of documents where
+    such an item is a whole line, sentence or text. None where no item is common.
+
+    ``hits`` are distinct rows ``doc_id, h``; the hashes are bounded by the benchmark.
+    """
+    n_docs = rows.select("doc_id").distinct().count()
+    held = hits.where(F.col("h").isNotNull()).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    phrases = materialize(held.where((F.col("n") > 1) & (F.col("n") > COMMON_SHARE * n_docs)).select("h"), "template-phrases")
+    if phrases.isEmpty():
+        return None, None
+    spoken = lambda words: F.array_join(F.transform(words, _value), " ")
+    n_slots = F.size(F.array_distinct(F.filter("iwords", _is_slot))).cast("bigint")
+    items = side.join(phrases, "h", "left_semi").select("item_id", spoken("iwords").alias("said"), n_slots.alias("n_slots"))
+    parts = F.array_distinct(F.concat(F.array("t"), F.split("t", LINE_END), F.split("t", SENTENCE_END)))
+    pieces = canonical(rows.select("doc_id", F.explode(parts).alias("part")), F.col("part"), "doc_id")
+    pieces = pieces.where(F.size("words").between(1, WINDOW - 1)).select("doc_id", spoken("words").alias("said")).distinct()
+    found = pieces.join(items, "said").select(
+        "doc_id", "item_id", F.lit(1).cast("bigint").alias("n_windows"), F.lit(1).cast("bigint").alias("n_item_windows"),
+        "n_slots", F.lit(0).cast("bigint").alias("n_renamed"), F.lit(True).alias("verbatim"),
+    )
+    return phrases, found.dropDuplicates(["doc_id", "item_id"])
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -145,9 +175,11 @@ def contaminated(
     plain (the same words whatever their case and spacing). A pair is returned when the document
     holds at least ``MIN_WINDOWS`` windows of the item, or ``MIN_COVERAGE`` of them (or of those
     with enough literals). Windows do not count if they hold an item value that stands for several
-    values in this alignment, except plain windows of one unbroken run that is enough by itself. An item shorter than ``WINDOW``
-    words is one plain window of its own length, even if it is one word. Rows with a null document or item id, and null or empty
-    texts, match nothing. Repeated rows count once; rows that share an id are one document. Extra
+    values in this alignment, except plain windows of one unbroken run that is enough by itself. An
+    item shorter than ``WINDOW`` words is one plain window of its own length. Where it is a common
+    phrase (more than one document and more than ``COMMON_SHARE`` of all hold it), running text is no
+    evidence: it must stand alone, as a whole line, sentence or text. Rows with a null document or
+    item id, and null or empty texts, match nothing. Repeated rows count once; rows that share an id are one document. Extra
     columns are ignored.
     """
     item_rows = benchmark.select(F.col(f"`{item_col}`").alias("item_id"), F.col(f"`{item_text_col}`").cast("string").alias("t"))
@@ -169,7 +201,8 @@ def contaminated(
     n_item = side.groupBy("item_id").agg(
         F.countDistinct("ipos").alias("n_item_windows"), F.countDistinct(F.when(F.col("open"), F.col("ipos"))).alias("n_open")
     )
-    keys = side.select("h").distinct()
+    brief = F.size("iwords") < WINDOW
+    keys = side.select("h", brief.alias("brief")).distinct()
     small = keys.count() <= BROADCAST_WINDOWS
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("t"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("t").isNotNull())
@@ -177,10 +210,13 @@ def contaminated(
     hashed = window_hashes(canonical(rows, F.col("t"), "doc_id"), short)
     hashes = F.concat("typed", _plain_only(), *(f"short{n}" for n in short))
     windows = hashed.select("doc_id", F.explode(hashes).alias("h")).where(F.col("h").isNotNull())
-    found = windows.join(F.broadcast(keys) if small else keys, "h", "left_semi").select("doc_id").distinct()
+    found = windows.join(F.broadcast(keys) if small else keys, "h").select("doc_id", F.when(F.col("brief"), F.col("h")).alias("h"))
+    hits = materialize(found.distinct(), "template-hits")
+    phrases, alone = _alone(rows, hits, side.where(brief)) if short else (None, None)
+    if phrases is not None:
+        hits, side = hits.join(phrases, "h", "left_anti"), side.join(phrases, "h", "left_anti")
     # the documents hit grow with the corpus: never broadcast
-    few = materialize(found, "template-hits").hint("merge")
-    hit = materialize(rows.join(few, "doc_id", "left_semi"), "template-texts")
+    hit = materialize(rows.join(hits.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), "template-texts")
     met = _windows(window_hashes(canonical(hit, F.col("t"), "doc_id"), short), short).select(
         "doc_id", F.col("pos").alias("dpos"), "h", F.col("window").alias("dwords")
     ).join(side, "h")
@@ -219,8 +255,9 @@ def contaminated(
     renamed = F.size(F.filter("slots", lambda x: x["a"] != x["b"]))
     part = lambda n, of: (F.col(of) > 0) & (F.col(n) >= MIN_COVERAGE * F.col(of))
     enough = (F.col("n_windows") >= MIN_WINDOWS) | part("n_windows", "n_item_windows") | part("n_open_met", "n_open")
-    return per_pair.where(enough).select(
+    pairs = per_pair.where(enough).select(
         "doc_id", "item_id", "n_windows", "n_item_windows",
         F.size("slots").cast("bigint").alias("n_slots"), renamed.cast("bigint").alias("n_renamed"),
         (renamed == 0).alias("verbatim"),
     )
+    return pairs if alone is None else pairs.unionByName(alone)

@@ -389,7 +389,7 @@ def test_templates_find_copies_and_new_numbers(spark):
     items = spark.createDataFrame([(1, ITEM, "x"), (2, both, "x"), (3, None, "x"), (4, "", "x"), (None, ITEM, "x"), (5, "too short", "x")], "item_id bigint, text string, h string")
     got = decontaminate.contaminated(table(spark, rows), items).collect()
     pairs = {(r["doc_id"], r["item_id"]): r for r in got}
-    assert set(pairs) == {(1, 1), (2, 1), (8, 1), (9, 2)} or set(pairs) == {(1, 1), (2, 1), (7, 1), (8, 1), (9, 2)}
+    assert set(pairs) == {(1, 1), (2, 1), (7, 1), (8, 1), (9, 2)}
     assert len(got) == len(pairs)
     assert pairs[1, 1]["verbatim"] and not pairs[2, 1]["verbatim"] and pairs[2, 1]["n_renamed"] >= 4
 
@@ -441,6 +441,47 @@ def test_short_items_and_items_of_few_literals_are_found_verbatim(spark):
     assert all(r["verbatim"] and r["n_windows"] == r["n_item_windows"] for r in got)
 
 
+def test_common_phrases_must_stand_alone(spark):
+    said = "Then the old man asked what it is and went on to the river"
+    rows = [(i, said.replace("man", f"man number {i}")) for i in range(40)]
+    rows += [(50, f"{said}\nThe\nand more of it"), (51, f"{said}. What it is? Nobody knows"), (52, "THE"), (53, "A rare quokka said so, what it is")]
+    texts = {1: "the", 2: "What it is?", 3: "quokka", 4: "not there", 5: "The"}
+    items = spark.createDataFrame(list(texts.items()), "item_id bigint, text string")
+    docs = table(spark, [(i, t, "en", "a") for i, t in rows + rows[:3]])
+    got = decontaminate.contaminated(docs, items).collect()
+    pairs = {(r["doc_id"], r["item_id"]) for r in got}
+    assert pairs == {(50, 1), (50, 5), (51, 2), (52, 1), (52, 5), (53, 3)} and len(got) == len(pairs)
+    assert all(r["verbatim"] and r["n_windows"] == r["n_item_windows"] == 1 for r in got)
+    # words within a line, or over the ends of lines, are running text
+    assert decontaminate.contaminated(docs.where("doc_id < 40"), items).count() == 0
+
+
+def test_literal_windows_against_brute_force(spark):
+    rng = random.Random(10)
+    words = "ash birch cedar elm fir larch oak pine".split()
+    item_words = {i: [rng.choice(words) for _ in range(rng.randrange(8, 40))] for i in range(12)}
+    rows = []
+    for i in range(150):
+        text = [rng.choice(words) for _ in range(rng.randrange(0, 30))]
+        for _ in range(rng.randrange(3)):
+            source = item_words[rng.randrange(12)]
+            start = rng.randrange(len(source))
+            text += source[start : start + rng.randrange(5, 30)] + [rng.choice(words)]
+        rows.append((i, " ".join(text), "en", "a"))
+    grams = lambda ws: [tuple(ws[k : k + 8]) for k in range(len(ws) - 7)]
+    want = set()
+    for doc, text, *_ in rows:
+        held = set(grams(text.split()))
+        for item, ws in item_words.items():
+            met, n = sum(g in held for g in grams(ws)), len(ws) - 7
+            if met >= 6 or 2 * met >= n:
+                want.add((doc, item, met, n))
+    items = spark.createDataFrame([(i, " ".join(ws)) for i, ws in item_words.items()], "item_id bigint, text string")
+    got = decontaminate.contaminated(table(spark, rows), items).collect()
+    assert {(r["doc_id"], r["item_id"], r["n_windows"], r["n_item_windows"]) for r in got} == want
+    assert len(want) > 30 and len(got) == len(want) < 150 * 12
+
+
 def test_repeated_labelled_rows_are_fitted_once(spark, monkeypatch):
     rows = [(i, f"text {i % 3} of some kind", "en", "a") for i in range(20)]
     written, write = [], quality_model.materialize
