@@ -5,7 +5,8 @@ the holdout: for a cutoff that rejects k of n, the exact binomial test says whet
 false rejection can be above the rule's share of the risk. Cutoffs are tested from the loosest to
 the strictest and the test stops at the first that fails (so a stratum and rule need one level for
 all their cutoffs); the levels of strata and rules are divided by their number (Bonferroni). The
-risks of the rules add up to ``RISK``, so the union of all rules is covered.
+risks of the rules add up to ``RISK``, so the union of all rules is covered. A trial is a distinct
+text: copies of a document, under its own or another id, are no further evidence.
 
 Only counts per (stratum, rule, label, cutoff) leave the tasks.
 """
@@ -106,11 +107,16 @@ def judged(
     (names) and ``kept``.
 
     A null or empty text has no words and fails the base rule. A null stratum is a stratum of its
-    own. Labels that are null, and labels of unknown documents, are not used; a document labelled
-    both ways counts once for each. Without enough labels no cutoff is certified and only the base
+    own. Labels that are null, and labels of unknown documents, are not used; a text labelled both
+    ways counts once for each, and however many rows hold it, once per stratum. Without enough labels no cutoff is certified and only the base
     rule rejects. Repeated rows each get their verdict. Extra columns are ignored.
     """
-    counts = materialize(with_counts(docs, text_col, [id_col, stratum_col]), "rule-counts")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    slim = docs.select(
+        F.col(f"`{id_col}`").alias("id"), F.col(f"`{stratum_col}`").alias("stratum"),
+        F.xxhash64(text).alias("p1"), F.xxhash64(F.lit(7), text).alias("p2"), text.alias("text"),
+    )
+    counts = materialize(with_counts(slim, "text", ["id", "stratum", "p1", "p2"]), "rule-counts")
     stratum = F.coalesce(F.concat(F.lit("="), F.col("k1").cast("string")), F.lit(""))
     measured = counts.withColumn("stratum", stratum).withColumn(
         "measures", F.array(*[F.expr(f"cast({m} as double)") for m, _ in RULES.values()])
@@ -119,8 +125,9 @@ def judged(
     truth = truth.where(F.col("good").isin(0, 1) & F.col("k0").isNotNull()).distinct()
     grids = F.array(*[F.array(*map(F.lit, grid)) for _, grid in RULES.values()])
     places = F.zip_with("measures", grids, lambda m, grid: F.size(F.filter(grid, lambda cut: cut < m)))
+    trials = measured.join(truth, "k0").select("stratum", "good", "k2", "k3", places.alias("places")).distinct()
     counted = materialize(
-        measured.join(truth, "k0").select("stratum", "good", F.posexplode(places).alias("rule", "place"))
+        trials.select("stratum", "good", F.posexplode("places").alias("rule", "place"))
         .groupBy("stratum", "good", "rule", "place").agg(F.count(F.lit(1)).alias("n")),
         "rule-tallies",
     )
@@ -137,5 +144,5 @@ def judged(
         measured.join(table, "stratum", "left")
         .withColumn("base_failed", base).withColumn("failed_rules", failed)
         .withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
-        .withColumnRenamed("k0", id_col).drop("measures", "cuts", "k1")
+        .withColumnRenamed("k0", id_col).drop("measures", "cuts", "k1", "k2", "k3")
     )

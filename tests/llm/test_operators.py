@@ -2,9 +2,11 @@
 empty tables and clashing columns."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -294,6 +296,57 @@ def test_rules_on_rough_rows(spark, rough, empty):
     assert rules.judged(empty, labels).count() == 0
 
 
+def certified_plainly(rows, labels):
+    """Rejecting rules per document, from the counts in ``rows`` and exact fractions."""
+    measures = [
+        lambda r: r["n_symbols"] / max(r["n_words"], 1), lambda r: r["n_marks"] / max(r["n_words"], 1),
+        lambda r: r["n_upper"] / max(r["n_upper"] + r["n_lower"], 1), lambda r: r["n_digits"] / max(r["word_chars"], 1),
+        lambda r: r["n_dup_lines"] / max(r["n_lines"], 1), lambda r: r["n_repeat_words"] / max(r["n_words"], 1),
+        lambda r: r["n_top_word"] / max(r["n_words"], 1), lambda r: r["word_chars"] / max(r["n_words"], 1) / 40,
+    ]
+    strata = {r["lang"] for r in rows if r["doc_id"] in labels}
+    share, level = Fraction(5, 100) / 8, Fraction(5, 100) / (8 * len(strata))
+    chosen = {}
+    for lang in strata:
+        texts = {(r["text"], labels[r["doc_id"]]): r for r in rows if r["lang"] == lang and r["doc_id"] in labels}
+        for m, measure in enumerate(measures):
+            good = [measure(r) for (_, y), r in texts.items() if y]
+            bad = [measure(r) for (_, y), r in texts.items() if not y]
+            best = 0
+            for cut in reversed(rules.GRID):
+                k, n = sum(v > cut for v in good), len(good)
+                if not n or sum(math.comb(n, j) * share**j * (1 - share) ** (n - j) for j in range(k + 1)) > level:
+                    break
+                gain = sum(v > cut for v in bad) - rules.GAIN * k
+                if gain > best:
+                    best, chosen[lang, m] = gain, cut
+    names = list(rules.RULES)
+    return [[names[m] for m, f in enumerate(measures) if (r["lang"], m) in chosen and f(r) > chosen[r["lang"], m]] for r in rows]
+
+
+def test_verdicts_equal_the_plain_certification(spark):
+    rows, labels = quality_rows(4000)
+    # some good texts look bad, so cutoffs are bought at a price or not at all
+    rows = [(i, t.replace("a", "#") if i % 397 == 5 else t, lang, src) for i, t, lang, src in rows]
+    docs = table(spark, rows + [(9000 + i, rows[5][1], "en", "a") for i in range(300)])
+    truth = dict(labels) | {9000 + i: 1 for i in range(300)}
+    judged = rules.judged(docs, spark.createDataFrame(list(truth.items()), "doc_id bigint, quality int"))
+    got = judged.join(docs.select("doc_id", "text", "lang"), "doc_id").collect()
+    want = certified_plainly([r.asDict() for r in got], truth)
+    assert [r["failed_rules"] for r in got] == want
+    assert any(want) and all(r["kept"] == (not r["base_failed"] and not w) for r, w in zip(got, want))
+
+
+def test_copies_are_no_further_evidence(spark):
+    rows, labels = quality_rows(120)
+    copies = [(i + 1000 * c, text, lang, src) for c in range(30) for i, text, lang, src in rows]
+    truth = [(i + 1000 * c, y) for c in range(30) for i, y in labels]
+    # under ids of their own, and as repeated rows of one id
+    for docs, some in ((copies, truth), (rows * 30, labels)):
+        verdicts = rules.judged(table(spark, docs), spark.createDataFrame(some, "doc_id bigint, quality int")).collect()
+        assert len(verdicts) == len(docs) and not any(r["failed_rules"] for r in verdicts)
+
+
 # packing
 
 
