@@ -1,7 +1,7 @@
 """Fixed-stride token records in training order.
 
-Documents become records of ``STRIDE`` token ids. The records are numbered as they are written, and a
-keyed Feistel network permutes the numbers: with an even number of bits it is a bijection on a power
+Documents become records of ``STRIDE`` token ids. The records are numbered by document id, text and
+place in it, whatever task holds them, and a keyed Feistel network permutes the numbers: with an even number of bits it is a bijection on a power
 of four, and walking its cycles until the value falls below the number of records makes it one on
 exactly those. So every record's global slot comes from its number and the key alone: no sort, no
 random state, and the record of any slot can be found again by walking backwards, which is how a run
@@ -64,9 +64,17 @@ def records(
 ) -> DataFrame:
     """``task, row, doc_id, piece, n_tokens, ids``: a document's ids and the end id, cut at ``stride``.
 
-    ``ids`` are little-endian unsigned 16-bit, not padded yet.
+    ``ids`` are little-endian unsigned 16-bit, not padded yet. The rows of a table ordered by (``task``, ``row``)
+    are ordered by id (null first), hash of the text and piece: documents are divided among the tasks by
+    range, and where they are cut does not change that order. Rows that are equal in id and text are told
+    apart by their place in the input, so they need not share a task; their records are equal.
     """
-    slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    order = ["doc_id", "print", "place"]
+    slim = docs.select(
+        F.col(f"`{id_col}`").alias("doc_id"), text.alias("t"), F.xxhash64(text).alias("print"), F.monotonically_increasing_id().alias("place")
+    )
+    slim = slim.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "t")
     names = ["task", "row", "doc_id", "piece", "n_tokens", "ids"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +115,8 @@ def in_training_order(
     are the document's. Slots run from 0 without a gap, so ``place`` does in every shard. A null or
     empty text is one record with the end id; repeated rows give records of their own; a null id is
     kept; an empty table gives no rows; extra columns are ignored. The order depends on the key and on
-    how the input is divided into tasks, nothing else.
+    the ids and texts, nothing else: not on how the input is divided into tasks, so a run that is made
+    again goes on at the slot it had reached.
     """
     written = materialize(records(docs, vocabulary_path, stride=stride, id_col=id_col, text_col=text_col), "token-records")
     earlier = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # one row per task

@@ -108,6 +108,17 @@ def test_training_order_round_trip(spark, rough, tmp_path):
         assert content == b"".join(bytes(r["record"]) for r in rows if r["shard"] == m["shard"]) and zlib.crc32(content) == m["crc32"]
 
 
+def test_training_order_does_not_depend_on_tasks(spark, rough):
+    # one id with many texts, and one row many times
+    docs = rough.union(table(spark, [(7, f"text {i} " * (i % 9), "en", "a") for i in range(60)] + [(8, "the same row", "en", "a")] * 60))
+    orders = []
+    for parts in (1, 5, 17):
+        cut = docs.repartition(parts)
+        rows = training_order.in_training_order(cut, BYTE_PATH, stride=8, per_shard=50).collect()
+        orders.append({r["slot"]: (r["doc_id"], r["piece"], bytes(r["record"])) for r in rows})
+    assert orders[0] == orders[1] == orders[2] and len(orders[0]) > 200
+
+
 def test_training_order_of_nothing(empty):
     assert training_order.in_training_order(empty, BYTE_PATH).count() == 0
 
