@@ -26,6 +26,8 @@ from eventlens.session import materialize
 STRIDE = 512
 RECORDS_PER_SHARD = 16_384
 ROUNDS = 6
+# Records of a shard file that are read at a time.
+RECORDS_PER_READ = 1_024
 KEY = 0x5EED
 # Tasks of the writing step up to which the table of their offsets is broadcast (16 bytes each).
 BROADCAST_TASKS = 1_000_000
@@ -152,6 +154,13 @@ def padded(ids: Column, end: Column, stride: int) -> Column:
     return F.concat(ids, F.unhex(F.repeat(F.hex(end), missing)))
 
 
+def _store(folder: str):  # noqa: ANN202
+    """File system and path of a folder given by path or by URI."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+
+
 def write_shard_files(ordered: DataFrame, folder: str, *, stride: int = STRIDE) -> DataFrame:
     """Write every shard as ``shard-00000.bin`` (records one after the other, no header) and return
     the manifest ``shard, n_records, n_bytes, crc32``.
@@ -162,9 +171,7 @@ def write_shard_files(ordered: DataFrame, folder: str, *, stride: int = STRIDE)
     slim = ordered.select("shard", "place", "record")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        store, root = _store(folder)
         context = TaskContext.get()
         current, sink, crc, n, done = None, None, 0, 0, []
 
@@ -192,3 +199,34 @@ def write_shard_files(ordered: DataFrame, folder: str, *, stride: int = STRIDE)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["shard", "n_records", "n_bytes", "crc32"])
 
     return slim.mapInArrow(write, "shard int, n_records bigint, n_bytes bigint, crc32 bigint")
+
+
+def read_shard_files(
+    manifest: DataFrame, folder: str, *, from_slot: int = 0, stride: int = STRIDE, per_shard: int = RECORDS_PER_SHARD
+) -> DataFrame:
+    """``slot, shard, place, record`` of the slots from ``from_slot`` on, as ``write_shard_files`` left them.
+
+    Files of earlier shards are not opened and the shard that holds the slot is entered at its place, so a
+    run goes on without reading what came before. Slots rise inside every shard; a slot beyond the last gives no
+    rows. A file that does not have the bytes of the manifest is an error. Extra columns are ignored.
+    """
+    first, width = from_slot // per_shard, 2 * stride
+    wanted = manifest.where(F.col("shard") >= first).select("shard", "n_records").repartition("shard")
+    names = ["slot", "shard", "place", "record"]
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _store(folder)
+        for batch in batches:
+            for shard, n in zip(batch.column("shard").to_pylist(), batch.column("n_records").to_pylist()):
+                with store.open_input_file(f"{root}/shard-{shard:05d}.bin") as source:
+                    if source.size() != n * width:
+                        raise ValueError(f"shard {shard} has {source.size()} bytes, its manifest says {n * width}")
+                    for start in range(max(0, from_slot - shard * per_shard), n, RECORDS_PER_READ):
+                        source.seek(start * width)
+                        raw = source.read(min(RECORDS_PER_READ, n - start) * width)
+                        place = np.arange(start, start + len(raw) // width)
+                        records_read = [raw[i : i + width] for i in range(0, len(raw), width)]
+                        columns = [place + shard * per_shard, np.full(len(place), shard, np.int32), place.astype(np.int32)]
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(records_read, pa.binary())], names)
+
+    return wanted.mapInArrow(load, "slot bigint, shard int, place int, record binary")

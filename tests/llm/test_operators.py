@@ -108,6 +108,23 @@ def test_training_order_round_trip(spark, rough, tmp_path):
         assert content == b"".join(bytes(r["record"]) for r in rows if r["shard"] == m["shard"]) and zlib.crc32(content) == m["crc32"]
 
 
+def test_a_run_goes_on_at_a_slot(spark, rough, tmp_path, monkeypatch):
+    monkeypatch.setattr(training_order, "RECORDS_PER_READ", 3)
+    sizes, folder = {"stride": 16}, str(tmp_path / "shards")
+    ordered = training_order.in_training_order(rough, BYTE_PATH, per_shard=10, **sizes)
+    whole = {r["slot"]: (r["shard"], r["place"], bytes(r["record"])) for r in ordered.collect()}
+    manifest = training_order.write_shard_files(ordered, folder, **sizes).collect()
+    manifest = spark.createDataFrame(manifest, "shard int, n_records bigint, n_bytes bigint, crc32 bigint")
+    for start in (0, 7, 30, len(whole) - 1, len(whole), len(whole) + 100):
+        if start == 30:
+            (tmp_path / "shards" / "shard-00002.bin").write_bytes(b"")  # not opened any more
+        rows = training_order.read_shard_files(manifest, folder, from_slot=start, per_shard=10, **sizes).collect()
+        got = {r["slot"]: (r["shard"], r["place"], bytes(r["record"])) for r in rows}
+        assert got == {k: v for k, v in whole.items() if k >= start} and len(rows) == len(got)
+    with pytest.raises(Exception, match="shard 2 has 0 bytes"):
+        training_order.read_shard_files(manifest, folder, from_slot=25, per_shard=10, **sizes).collect()
+
+
 def test_training_order_does_not_depend_on_tasks(spark, rough):
     # one id with many texts, and one row many times
     docs = rough.union(table(spark, [(7, f"text {i} " * (i % 9), "en", "a") for i in range(60)] + [(8, "the same row", "en", "a")] * 60))
