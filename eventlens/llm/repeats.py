@@ -16,6 +16,9 @@ be decided on their own:
    earlier matches, and where one of them agrees to the full length the window is a repeat.
 5. The repeats go back to their packs as byte intervals and are cut out of the texts.
 
+A place is one number inside a pack: row number times 2^32 plus byte. So a text is named by its row and
+not by its id, which only decides what is earlier.
+
 A pack sends equal runs once, for its smallest document, and settles the others itself; an anchor found
 in very many documents is sent window by window, to blocks chosen by the window. So neither a passage
 in a third of all documents nor what happens to stand beside it gathers in one block.
@@ -39,6 +42,7 @@ from eventlens.session import materialize, new_path
 LENGTH = 50
 GRAM = 20
 PACK_BYTES = 8 << 20
+ROW_BYTES = 16  # of a row beside its text, so that a pack of empty texts ends too
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
 # Documents with an anchor beyond which its windows are dealt out one by one.
@@ -47,6 +51,7 @@ CHUNK = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _WORDS = -(-LENGTH // 8)
+_ROW = 32  # bits of a place below the row number
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -138,27 +143,29 @@ def repeated(data: np.ndarray, starts: np.ndarray, docs: np.ndarray) -> np.ndarr
 
 
 def packed_documents(docs: DataFrame, id_col: str, text_col: str, n_bytes: int) -> DataFrame:
-    """The documents as a table bucketed by pack: ``pack, doc, raw``."""
+    """The documents as a table bucketed by pack: ``pack, row, doc, raw``; rows are numbered in each pack."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
     slim = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc"), text.alias("raw")).where(F.col("doc").isNotNull())
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, pack, filled = TaskContext.get().partitionId() << 32, 0, 0
+        task, pack, row, filled = TaskContext.get().partitionId() << 32, 0, 0, 0
         for batch in batches:
-            packs = []
+            packs, rows = [], []
             for text in batch.column("raw"):
-                size = len(text.as_buffer())
+                size = len(text.as_buffer()) + ROW_BYTES
                 if filled and filled + size > PACK_BYTES:
-                    pack, filled = pack + 1, 0
-                filled += size
+                    pack, row, filled = pack + 1, 0, 0
                 packs.append(task + pack)
-            yield pa.RecordBatch.from_arrays([pa.array(packs, pa.int64()), *batch.columns], ["pack", "doc", "raw"])
+                rows.append(row)
+                row, filled = row + 1, filled + size
+            numbers = [pa.array(packs, pa.int64()), pa.array(rows, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*numbers, *batch.columns], ["pack", "row", "doc", "raw"])
 
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // BUCKET_BYTES))
     table = f"eventlens_packs_{uuid.uuid4().hex}"
     (
-        slim.mapInArrow(number, "pack bigint, doc bigint, raw binary").write.format("parquet")
+        slim.mapInArrow(number, "pack bigint, row bigint, doc bigint, raw binary").write.format("parquet")
         .option("compression", "zstd").option("path", new_path(spark, "packs"))
         .bucketBy(buckets, "pack").sortBy("pack").saveAsTable(table)
     )
@@ -177,7 +184,7 @@ def _asked(table: pa.Table) -> pa.Table:
 
 # ``key`` is half of the anchor: anchors of one block that share it are only compared more closely.
 _SENT = pa.schema([(n, pa.int64()) for n in ("block", "key", "content", "pack", "doc", "start", "size")])
-_MET = pa.schema([*[(n, pa.int64()) for n in ("block", "pack", "doc", "start", "stop")], ("open", pa.bool_())])
+_MET = pa.schema([*[(n, pa.int64()) for n in ("block", "pack", "start", "stop")], ("open", pa.bool_())])
 _BYTES = pa.schema([*[(n, pa.int64()) for n in ("block", "pack", "doc", "start")], ("bytes", pa.binary())])
 
 
@@ -206,8 +213,8 @@ def _sent(texts: pa.Table, shared: pa.Table, blocks: int) -> pa.Table:
     pack = texts.column("pack")[0].as_py()
     others = np.sort(shared.column("anchor").to_numpy().view(np.uint64))
     hot = np.sort(shared.column("anchor").to_numpy()[shared.column("hot").to_numpy()].view(np.uint64))
-    ids = texts.column("doc").to_numpy()
-    order = np.argsort(ids, kind="stable")
+    ids, numbers = texts.column("doc").to_numpy(), texts.column("row").to_numpy()
+    order = np.lexsort((numbers, ids))
     raws = texts.column("raw")
     cut = [runs(raws[int(i)].as_buffer()) for i in order]
     # anchors of two documents of this pack count as shared too
@@ -216,7 +223,7 @@ def _sent(texts: pa.Table, shared: pa.Table, blocks: int) -> pa.Table:
     known = np.union1d(others, anchors[counts > 1])
     first_in: dict[bytes, int] = {}
     for i, (anchors, firsts, ends) in zip(order, cut):
-        doc, raw = int(ids[i]), raws[int(i)].as_py()
+        doc, base, raw = int(ids[i]), int(numbers[i]) << _ROW, raws[int(i)].as_py()
         keep = _member(anchors, known)
         split = _member(anchors, hot)
         own: list[int] = []  # the settled stretch so far
@@ -231,14 +238,14 @@ def _sent(texts: pa.Table, shared: pa.Table, blocks: int) -> pa.Table:
                         own[1] = stop
                         continue
                     if own:
-                        rows.append(((doc + own[0]) % blocks, None, None, pack, doc, own[0], own[1] - own[0]))
+                        rows.append(((doc + own[0]) % blocks, None, None, pack, doc, base + own[0], own[1] - own[0]))
                     own = [start, stop]
                 else:
                     name = int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "little", signed=True)
                     met = name if one_by_one else anchor
-                    rows.append((met % blocks, met >> 32 & 0xFFFFFFFF, name, pack, doc, start, stop - start))
+                    rows.append((met % blocks, met >> 32 & 0xFFFFFFFF, name, pack, doc, base + start, stop - start))
         if own:
-            rows.append(((doc + own[0]) % blocks, None, None, pack, doc, own[0], own[1] - own[0]))
+            rows.append(((doc + own[0]) % blocks, None, None, pack, doc, base + own[0], own[1] - own[0]))
     return _rows(rows, _SENT)
 
 
@@ -247,7 +254,7 @@ def _met(table: pa.Table) -> pa.Table:
     table = table.append_column("stop", pc.add(table.column("start"), table.column("size")))
     own = table.filter(pc.is_null(table.column("key")))
     rest = table.filter(pc.is_valid(table.column("key")))
-    out = [own.select(["block", "pack", "doc", "start", "stop"]).append_column("open", pa.array(np.zeros(own.num_rows, dtype=bool)))]
+    out = [own.select(["block", "pack", "start", "stop"]).append_column("open", pa.array(np.zeros(own.num_rows, dtype=bool)))]
     if rest.num_rows:
         key, content, doc = (rest.column(c).to_numpy() for c in ("key", "content", "doc"))
         by = np.lexsort((doc, content, key))
@@ -258,22 +265,23 @@ def _met(table: pa.Table) -> pa.Table:
         repeat = doc > doc[np.flatnonzero(new_content)][run]
         several = np.bincount(group[new_content])[group] > 1
         chosen = by[repeat | several]
-        found = rest.take(pa.array(chosen)).select(["block", "pack", "doc", "start", "stop"])
+        found = rest.take(pa.array(chosen)).select(["block", "pack", "start", "stop"])
         out.append(found.append_column("open", pa.array(~repeat[repeat | several])))
     return pa.concat_tables([t.cast(_MET) for t in out])
 
 
 def _contents(texts: pa.Table, wanted: pa.Table) -> pa.Table:
     """The bytes of open runs."""
-    where = {}
-    for i, doc in enumerate(texts.column("doc").to_pylist()):
-        where.setdefault(doc, []).append(i)
-    raws = texts.column("raw")
-    rows, last, raw = [], None, []
-    for doc, block, pack, start, stop in sorted(zip(*(wanted.column(c).to_pylist() for c in ("doc", "block", "pack", "start", "stop")))):
-        if doc != last:
-            last, raw = doc, [raws[i].as_py() for i in where[doc]]
-        rows += [(block, pack, doc, start, text[start:stop]) for text in raw if len(text) >= stop]
+    numbers = texts.column("row").to_numpy()
+    where, docs, raws = np.argsort(numbers), texts.column("doc").to_numpy(), texts.column("raw")
+    rows, last, doc, raw = [], None, None, b""
+    for start, stop, block, pack in sorted(zip(*(wanted.column(c).to_pylist() for c in ("start", "stop", "block", "pack")))):
+        row = start >> _ROW
+        if row != last:
+            i = int(where[np.searchsorted(numbers, row, sorter=where)])
+            last, doc, raw = row, int(docs[i]), raws[i].as_py()
+        base = row << _ROW
+        rows.append((block, pack, doc, start, raw[start - base : stop - base]))
     return _rows(rows, _BYTES)
 
 
@@ -295,20 +303,21 @@ def _settled(table: pa.Table) -> pa.Table:
     last = np.append(first[1:], len(hit)) - 1 if len(hit) else first
     owner = row[hit[first]]
     return pa.table({
-        "pack": table.column("pack").to_numpy()[owner], "doc": ids[owner],
+        "pack": table.column("pack").to_numpy()[owner],
         "start": begins[owner] + offset[hit[first]], "stop": begins[owner] + offset[hit[last]] + LENGTH,
     })
 
 
 def _cut(texts: pa.Table, intervals: pa.Table) -> pa.Table:
     """Per document what is left of it."""
-    by = np.lexsort((intervals.column("start").to_numpy(), intervals.column("doc").to_numpy()))
-    docs, starts, stops = (intervals.column(c).to_numpy()[by] for c in ("doc", "start", "stop"))
+    by = np.argsort(intervals.column("start").to_numpy(), kind="stable")
+    starts, stops = (intervals.column(c).to_numpy()[by] for c in ("start", "stop"))
     out: dict[str, list] = {"doc": [], "n_bytes": [], "n_removed": [], "spans": [], "kept": []}
-    for doc, text in zip(texts.column("doc").to_pylist(), texts.column("raw").to_pylist()):
-        a, b = np.searchsorted(docs, doc, side="left"), np.searchsorted(docs, doc, side="right")
+    for row, doc, text in zip(*(texts.column(c).to_pylist() for c in ("row", "doc", "raw"))):
+        base = row << _ROW
+        a, b = np.searchsorted(starts, (base, base + (1 << _ROW)), side="left")
         spans: list[list[int]] = []
-        for start, stop in zip(starts[a:b].tolist(), stops[a:b].tolist()):
+        for start, stop in zip((starts[a:b] - base).tolist(), (stops[a:b] - base).tolist()):
             if spans and start <= spans[-1][1]:
                 spans[-1][1] = max(spans[-1][1], stop)
             else:
@@ -331,9 +340,10 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Ids are whole numbers. A null text is empty; a text shorter than ``LENGTH`` bytes stays whole. A row
     with a null id has no place in the order: it stays whole and removes nothing elsewhere. Repeated rows
-    do not remove each other's bytes (only a smaller id does); an id is one document, so different texts
-    under one id are not told apart and should not be given. Repeats inside one document stay. Texts are cut at bytes, so ``kept`` may begin or end inside a character. Extra
-    columns are ignored.
+    do not remove each other's bytes (only a smaller id does). Different texts under one id are one
+    document of several texts: each is cut at its own places, by smaller ids alone. Repeats inside one
+    document stay. Texts are cut at bytes, so ``kept`` may begin or end inside a character. Extra columns
+    are ignored.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     n_bytes = int(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
@@ -349,10 +359,10 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         lambda texts, anchors: _sent(texts, anchors, blocks), _fields(_SENT)
     )
     met = materialize(sent.groupBy("block").applyInArrow(_met, _fields(_MET)), "met-runs")
-    wanted = met.where("open").select("block", "pack", "doc", "start", "stop")
+    wanted = met.where("open").select("block", "pack", "start", "stop")
     contents = packs.groupBy("pack").cogroup(wanted.groupBy("pack")).applyInArrow(_contents, _fields(_BYTES))
-    compared = contents.groupBy("block").applyInArrow(_settled, "pack bigint, doc bigint, start bigint, stop bigint")
-    intervals = met.where("not open").select("pack", "doc", "start", "stop").unionByName(compared)
+    compared = contents.groupBy("block").applyInArrow(_settled, "pack bigint, start bigint, stop bigint")
+    intervals = met.where("not open").select("pack", "start", "stop").unionByName(compared)
     cut = packs.groupBy("pack").cogroup(intervals.groupBy("pack")).applyInArrow(
         _cut, "doc bigint, n_bytes bigint, n_removed bigint, spans array<array<bigint>>, kept binary"
     )

@@ -192,6 +192,40 @@ def test_repeats_against_brute_force(spark, monkeypatch, hot, pack):
             assert mine == want[r["doc_id"]], r["doc_id"]
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+@pytest.mark.parametrize("pack", [8 << 20, 900])
+def test_repeats_of_several_texts_under_one_id(spark, monkeypatch, parts, pack):
+    monkeypatch.setattr(repeats, "PACK_BYTES", pack)
+    rng = random.Random(11)
+    passages = ["".join(rng.choice("abcdefgh ") for _ in range(120)) for _ in range(6)]
+
+    def text(i):
+        own = "".join(rng.choice("ijklmnop ") for _ in range(rng.randrange(5, 300)))
+        return own + passages[i % 6] + own[::-1]
+
+    rows = [(doc, text(i)) for i, doc in enumerate([3, 7, 7, 7, 5, 9, 9, 3, 7, 12, 12, 9] * 3)]
+    rows += [(7, None), (7, ""), (9, "")] + rows[:4]
+    data = table(spark, [(i, t, "en", "a") for i, t in rows]).repartition(parts)
+    got = [(r["doc_id"], len(r["spans"]), bytes(r["kept"])) for r in repeats.without_repeats(data).collect()]
+    windows = {}
+    for doc, t in rows:
+        raw = (t or "").encode()
+        for s in range(len(raw) - repeats.LENGTH + 1):
+            w = raw[s : s + repeats.LENGTH]
+            windows[w] = min(doc, windows.get(w, doc))
+    want = []
+    for doc, t in rows:
+        raw = (t or "").encode()
+        gone = bytearray(len(raw))
+        for s in range(len(raw) - repeats.LENGTH + 1):
+            if windows[raw[s : s + repeats.LENGTH]] < doc:
+                gone[s : s + repeats.LENGTH] = b"\1" * repeats.LENGTH
+        spans = sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))
+        want.append((doc, spans, bytes(c for c, g in zip(raw, gone) if not g)))
+    assert sorted(got) == sorted(want)
+    assert any(spans for _, spans, _ in got)
+
+
 def test_repeats_of_nothing(empty):
     assert repeats.without_repeats(empty).count() == 0
 
