@@ -7,11 +7,12 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler, Word2Vec
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, Word2Vec
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventlens.operators.logistic import MAX_WIDTH, LogisticModel, fit_logistic
 from eventlens.operators.ordered import quantiles, running_totals
 from eventlens.session import materialize
 
@@ -146,8 +147,14 @@ def _result(df: DataFrame, name: str, auc: float | None, n_train: int, n_val: in
     return df.sparkSession.createDataFrame([(name, auc, n_train, n_val)], RESULT)
 
 
+def _width(assembled: DataFrame) -> int:
+    first = assembled.select(F.size(vector_to_array("x")).alias("n")).first()
+    return first["n"]
+
+
 def _logistic(n_train: int) -> LogisticRegression:
-    """L2 strength 1 on the summed loss, which is 1/n on Spark's mean loss."""
+    """For vectors too wide for Newton steps. L2 strength 1 on the summed loss, which is 1/n on
+    Spark's mean loss."""
     return LogisticRegression(
         featuresCol="x", labelCol="y", maxIter=1000, regParam=1.0 / n_train,
         elasticNetParam=0.0, standardization=False,
@@ -163,19 +170,26 @@ def _fit_and_score(df: DataFrame, name: str, model, n_train: int, n_val: int) ->
     return _result(df, name, auc, n_train, n_val)
 
 
+def _newton(rows: DataFrame, x: str, *, standardize: bool) -> tuple[LogisticModel, float | None]:
+    """The model of the training rows and its AUC on the others; ``rows`` has ``is_val`` and ``y``."""
+    model = fit_logistic(rows.where(~F.col("is_val")), x, "y", standardize=standardize)
+    scored = rows.where("is_val").select(model.score(F.col(x)).alias("score"), "y")
+    return model, rank_auc(scored, "score", "y").first()["auc"]
+
+
+def fitted_probe(vectors: DataFrame, vector: str, label: str) -> tuple[LogisticModel, float | None]:
+    """A logistic model on scaled training vectors and its AUC on the validation rows. Both classes
+    must occur in training."""
+    rows = vectors.select(F.col(vector).alias("v"), F.col(label).cast("double").alias("y"), "is_val")
+    return _newton(materialize(rows, "probe-rows"), "v", standardize=True)
+
+
 def linear_probe(vectors: DataFrame, vector: str, label: str, name: str = "probe") -> DataFrame:
     """Scale on the training rows, fit a logistic model, AUC on the validation rows.
     ``vectors`` needs ``is_val``, the label and an array column. One class in a part: no AUC."""
     n_train, n_val, c_train, c_val = _counts(vectors, label)
-    if c_train < 2 or c_val < 2:
-        return _result(vectors, name, None, n_train, n_val)
-    data = materialize(
-        vectors.select(F.col(vector).alias("v"), F.col(label).cast("double").alias("y"), "is_val"),
-        "probe-rows",
-    ).select(array_to_vector("v").alias("raw"), "y", "is_val")
-    scaler = StandardScaler(inputCol="raw", outputCol="x", withMean=True, withStd=True)
-    x = scaler.fit(data.where(~F.col("is_val"))).transform(data)
-    return _fit_and_score(x, name, _logistic(n_train), n_train, n_val)
+    auc = fitted_probe(vectors, vector, label)[1] if c_train == c_val == 2 else None
+    return _result(vectors, name, auc, n_train, n_val)
 
 
 def probe_variants(vectors: DataFrame, variants: Sequence[str], label: str) -> DataFrame:
@@ -205,14 +219,16 @@ def baselines(
     x = VectorAssembler(
         inputCols=[*numeric, *[f"{c}_hot" for c in categorical]], outputCol="all_features"
     ).transform(encoded).select(F.col("all_features").alias("x"), "y", "is_val")
-    made = {
-        "logreg": lambda: _logistic(n_train),
-        "gbdt": lambda: GBTClassifier(featuresCol="x", labelCol="y", seed=seed),
-    }
-    return reduce(
-        DataFrame.unionByName,
-        [_fit_and_score(x, f"baseline_{m}", made[m](), n_train, n_val) for m in models],
-    )
+    results = []
+    for m in models:
+        if m == "logreg" and _width(x) <= MAX_WIDTH:
+            rows = x.select(vector_to_array("x").alias("x"), "y", "is_val")
+            auc = _newton(rows, "x", standardize=False)[1]
+            results.append(_result(x, f"baseline_{m}", auc, n_train, n_val))
+        else:
+            model = _logistic(n_train) if m == "logreg" else GBTClassifier(featuresCol="x", labelCol="y", seed=seed)
+            results.append(_fit_and_score(x, f"baseline_{m}", model, n_train, n_val))
+    return reduce(DataFrame.unionByName, results)
 
 
 def comparison_report(results: DataFrame, checkpoint: str) -> DataFrame:

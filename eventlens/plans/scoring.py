@@ -13,6 +13,7 @@ from eventlens.operators.split import split_of
 from eventlens.plans.catalog import query
 from eventlens.plans.reference_sql import median_sql, split_sql
 from eventlens.plans.workspace import ATTRIBUTES, MILESTONES, Binding, Workspace
+from eventlens.session import materialize
 
 NUMERIC = (
     "n_events", "n_distinct_event_types", "total_amount", "mean_amount", "days_since_signup",
@@ -136,6 +137,75 @@ def probe_variants(ws: Workspace) -> DataFrame:
     return probes.probe_variants(_vectors(ws), ["usr", "last_event", "concat"], "label")
 
 
+# Twelve full Newton steps from zero for two scaled features, written out; ``rows`` has name, y, a, b, is_val.
+NEWTON_SQL = """
+  st AS (SELECT name, avg(a) AS ma, avg(b) AS mb, coalesce(nullif(stddev_pop(a), 0), 1) AS sa, coalesce(nullif(stddev_pop(b), 0), 1) AS sb
+         FROM rows WHERE NOT is_val GROUP BY 1),
+  z AS (SELECT name, y, is_val, (a - ma) / sa AS a, (b - mb) / sb AS b FROM rows JOIN st USING (name)),
+  newton(i, name, w0, w1, w2) AS (
+    SELECT 0, name, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE FROM st
+    UNION ALL
+    SELECT i + 1, name,
+           w0 - (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / det,
+           w1 - (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / det,
+           w2 - (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / det
+    FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det FROM (
+      SELECT i, name, w0, w1, w2, sum(p - y) AS g0, sum((p - y) * a) + w1 AS g1, sum((p - y) * b) + w2 AS g2,
+             sum(p * (1 - p)) AS h00, sum(p * (1 - p) * a) AS h01, sum(p * (1 - p) * b) AS h02,
+             sum(p * (1 - p) * a * a) + 1 AS h11, sum(p * (1 - p) * a * b) AS h12, sum(p * (1 - p) * b * b) + 1 AS h22
+      FROM (SELECT i, s.name, w0, w1, w2, y, a, b, 1 / (1 + exp(-(w0 + w1 * a + w2 * b))) AS p
+            FROM newton s JOIN z ON z.name = s.name AND NOT is_val WHERE i < 12)
+      GROUP BY i, name, w0, w1, w2))),
+  fitted AS (SELECT name, w0, w1, w2 FROM newton WHERE i = 12),
+  scored AS (SELECT name, y, rank() OVER (PARTITION BY name ORDER BY s) + (count(*) OVER (PARTITION BY name, s) - 1) / 2.0 AS r
+             FROM (SELECT name, y, w0 + w1 * a + w2 * b AS s FROM z JOIN fitted USING (name) WHERE is_val)),
+  val AS (SELECT name, sum(r) FILTER (WHERE y = 1) AS ranks, count(*) FILTER (WHERE y = 1) AS p, count(*) FILTER (WHERE y = 0) AS n
+          FROM scored GROUP BY 1)
+  SELECT name, round(w0, 6) + 0.0 AS intercept, round(w1, 6) + 0.0 AS weight_1, round(w2, 6) + 0.0 AS weight_2,
+         round((ranks - p * (p + 1) / 2.0)::DOUBLE / nullif(p * n, 0)::DOUBLE, 6) AS auc
+  FROM fitted LEFT JOIN val USING (name)"""
+
+
+def _two_weights(parts: dict[str, tuple[DataFrame, str]], label: str) -> DataFrame:
+    """``(name, intercept, weight_1, weight_2, auc)`` of probes on vectors of two dimensions, as fitted."""
+    rows = []
+    for name, (vectors, column) in parts.items():
+        model, auc = probes.fitted_probe(vectors, column, label)
+        rows.append((name, model.intercept, *model.weights, auc))
+    spark = next(iter(parts.values()))[0].sparkSession
+    out = spark.createDataFrame(rows, "name string, intercept double, weight_1 double, weight_2 double, auc double")
+    return out.select("name", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("intercept", "weight_1", "weight_2")], F.round("auc", 6).alias("auc"))
+
+
+@query(f"""
+  WITH RECURSIVE rows AS (SELECT f AS name, is_escalating::INT::DOUBLE AS y, n_events::DOUBLE AS a, CASE WHEN f = 'amount' THEN mean_amount ELSE days_since_signup END::DOUBLE AS b,
+    split = 'val' AS is_val FROM feat_com JOIN escal_com USING (entity_id), (VALUES ('amount'), ('tenure')) v(f) WHERE n_events > 0 AND split IN ('train', 'val')),{NEWTON_SQL}""")
+def logistic_coefficients(ws: Workspace) -> DataFrame:
+    """Weights and validation AUC of the logistic baseline on two features, solved in SQL as well."""
+    rows = materialize(_labelled(ws, "is_escalating"), "labelled")
+    second = {"amount": "mean_amount", "tenure": "days_since_signup"}
+    parts = {
+        name: (rows.withColumn("v", F.array(F.col("n_events").cast("double"), F.col(c).cast("double"))), "v")
+        for name, c in second.items()
+    }
+    return _two_weights(parts, "is_escalating")
+
+
+@query(f"""
+  WITH RECURSIVE rows AS (SELECT f AS name, label::INT::DOUBLE AS y, e[at1] AS a, e[at2] AS b, split = 'val' AS is_val
+    FROM (SELECT split, label, list_transform(embedding, lambda x: x::DOUBLE) AS e, len(embedding) AS n FROM vec WHERE split IN ('train', 'val')),
+    LATERAL (VALUES ('usr', 1, 2), ('last_event', n // 2 + 1, n // 2 + 2), ('concat', 1, n)) v(f, at1, at2)),{NEWTON_SQL}""")
+def probe_coefficients(ws: Workspace) -> DataFrame:
+    """Weights and AUC of a probe on two dimensions of each variant, solved in SQL as well."""
+    rows = _vectors(ws)
+    ends = {"usr": (1, 2), "last_event": (1, 2), "concat": (1, -1)}
+    parts = {
+        name: (rows.withColumn("v", F.array(*[F.element_at(name, at).cast("double") for at in places])), "v")
+        for name, places in ends.items()
+    }
+    return _two_weights(parts, "label")
+
+
 AUC_SQL = """
   SELECT split, (count(*) FILTER (WHERE y))::BIGINT AS n_pos, (count(*) FILTER (WHERE NOT y))::BIGINT AS n_neg,
          round((sum(r) FILTER (WHERE y) - count(*) FILTER (WHERE y) * (count(*) FILTER (WHERE y) + 1) / 2.0)::DOUBLE
@@ -182,8 +252,6 @@ def comparison_report(ws: Workspace) -> DataFrame:
     """Single columns as scores, ranked in one report; the last one has a single class."""
     from pyspark.sql import Window
 
-    from eventlens.session import materialize
-
     rows = materialize(_labelled(ws, "is_escalating"), "scored")
 
     def result(name: str, column: str, part: DataFrame) -> DataFrame:

@@ -1,9 +1,13 @@
 """Masks, batches, probes: rules and fault injection."""
 
+import random
+
+import numpy as np
 import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
-from eventlens.operators import batch, mask, probes
+from eventlens.operators import batch, logistic, mask, probes
 from eventlens.operators.encode import event_tokens
 from eventlens.plans import workspace
 
@@ -201,6 +205,47 @@ def test_probe_finds_the_signal(spark):
     assert r["auc"] > 0.9 and r["n_train"] == 240 and r["n_val"] == 60
 
 
+def _noisy_rows():
+    rng = random.Random(5)
+    rows = []
+    for _ in range(600):
+        x = [rng.gauss(0, 1), rng.gauss(2e6, 1e6), rng.gauss(0, 1e-7), 4.0]
+        rows.append((x, int(x[0] + x[2] * 1e7 + rng.gauss(0, 1) > 0.2)))
+    return rows + rows[:200]
+
+
+def _plain_newton(rows, l2):
+    x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float)
+    std = x.std(axis=0)
+    z = np.column_stack((np.ones(len(x)), (x - x.mean(axis=0)) / np.where(std > 0, std, 1)))
+    ridge, w = np.diag([0.0] + [l2] * x.shape[1]), np.zeros(x.shape[1] + 1)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-z @ w))
+        w -= np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + ridge, z.T @ (p - y) + ridge @ w)
+    return w
+
+
+@pytest.mark.parametrize("l2", [1.0, 1e-3])
+def test_logistic_weights_and_partitions(spark, monkeypatch, l2):
+    """Small blocks, repeated rows, a constant and badly scaled dimensions; any partitioning, one model."""
+    monkeypatch.setattr(logistic, "BLOCK_BYTES", 1_000)
+    rows = _noisy_rows()
+    df = spark.createDataFrame(rows, "v array<double>, y int")
+    models = [logistic.fit_logistic(df.repartition(n), "v", "y", l2=l2) for n in (1, 7)]
+    assert models[0] == models[1]
+    got = np.array([models[0].intercept, *models[0].weights])
+    assert np.abs(got - _plain_newton(rows, l2)).max() < 1e-6
+
+
+@pytest.mark.parametrize(
+    "rows", [[], [([1.0], 1)], [([1.0], 1), ([None], 0)], [([1.0], 1), ([float("nan")], 0)], [([1.0], 1), ([1.0, 2.0], 0)], [([1.0], 1), ([2.0], 0), ([3.0], 2)]]
+)
+def test_logistic_refuses(spark, rows):
+    df = spark.createDataFrame(rows, "v array<double>, y int")
+    with pytest.raises((ValueError, PythonException)):
+        logistic.fit_logistic(df, "v", "y")
+
+
 def test_probe_with_one_class_has_no_auc(spark):
     r = probes.linear_probe(_vectors(spark, one_class=True), "v", "label").first()
     assert r["auc"] is None and r["n_val"] == 60
