@@ -7,19 +7,18 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, Word2Vec
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventlens.operators.cooccurrence import pair_counts, record_vectors, word_vectors
 from eventlens.operators.logistic import MAX_WIDTH, LogisticModel, fit_logistic
 from eventlens.operators.ordered import quantiles, running_totals
 from eventlens.session import materialize
 
 RESULT = "name string, auc double, n_train bigint, n_val bigint"
 SAME_TOTAL = "decimal(38,0)"
-# Parts in which word vectors are trained; fixed, as it changes the vectors.
-TRAINING_PARTS = 16
 
 
 def rank_auc(scored: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
@@ -257,34 +256,11 @@ def last_event_vectors(records: DataFrame, events: DataFrame, vector: Column, wi
     return records.join(last, "entity_id", "left").withColumn("last_event", F.coalesce("last_event", zeros))
 
 
-def token_vectors(tokens: DataFrame, size: int = 16, seed: int = 0) -> DataFrame:
-    """``(entity_id, usr, last_event, concat)`` from token sequences: word vectors over
-    ``key:value`` words, averaged over the record and over its last event.
-
-    A distributed stand-in with the shape of record embeddings, so that probes have vectors
-    to work on. Histories are capped, so a word list is bounded; the number of training parts
-    is fixed.
-    """
-    word = F.concat_ws(":", F.col("key_id").cast("string"), F.col("value_id").cast("string"))
-    lists = tokens.groupBy("entity_id").agg(
-        F.sort_array(F.collect_list(F.struct("event_ord", "tok_ord", word.alias("word")))).alias("t")
-    )
-    last = F.filter("t", lambda x: x["event_ord"] == F.element_at(F.col("t.event_ord"), -1))
-    rows = materialize(
-        lists.select(
-            "entity_id", F.col("t.word").alias("all_words"), F.transform(last, lambda x: x["word"]).alias("last_words")
-        ),
-        "token-words",
-    )
-    model = Word2Vec(
-        vectorSize=size, minCount=1, seed=seed, inputCol="all_words", outputCol="usr_v",
-        numPartitions=TRAINING_PARTS, maxIter=1,
-    ).fit(rows)
-    both = model.transform(rows)
-    both = model.setInputCol("last_words").setOutputCol("last_v").transform(both)
-    return both.select(
-        "entity_id", vector_to_array("usr_v").alias("usr"), vector_to_array("last_v").alias("last_event")
-    ).withColumn("concat", F.concat("usr", "last_event"))
+def token_vectors(encoded: DataFrame, size: int = 16, seed: int = 0) -> DataFrame:
+    """``(entity_id, usr, last_event, concat)`` from encoded events: a stand-in with the shape of record
+    embeddings, so that probes have vectors to work on. The same for any partitioning."""
+    vectors = word_vectors(pair_counts(encoded), size, seed)
+    return record_vectors(encoded, vectors, size)
 
 
 def stack(parts: Mapping[str, DataFrame]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.functions.temporal import CALENDAR, calendar
-from eventlens.operators import encode, features, probes, records
+from eventlens.operators import cooccurrence, features, probes, records
 from eventlens.operators.split import split_of
 from eventlens.plans.catalog import query
 from eventlens.plans.reference_sql import median_sql, split_sql
@@ -308,10 +308,35 @@ def partition_sizes(ws: Workspace) -> DataFrame:
     return probes.partition_sizes(_vectors(ws))
 
 
+@query("""
+  WITH w AS (SELECT event_id, tok_ord, key_id::BIGINT AS key_id, value_id::BIGINT AS value_id FROM tok_com)
+  SELECT a.key_id AS key_a, a.value_id AS value_a, b.key_id AS key_b, b.value_id AS value_b, count(*) AS n
+  FROM w a JOIN w b ON a.event_id = b.event_id AND a.tok_ord <> b.tok_ord GROUP BY ALL""")
+def token_pairs(ws: Workspace) -> DataFrame:
+    """How often two tokens stand in one event."""
+    names = [
+        F.shiftright(side, 32).alias(f"key_{side}") for side in ("a", "b")
+    ] + [F.col(side).bitwiseAND(F.lit(2**32 - 1)).alias(f"value_{side}") for side in ("a", "b")]
+    return cooccurrence.pair_counts(ws.commerce.stored).select(*names, "n")
+
+
+@query("""
+  WITH w AS (SELECT event_id, tok_ord, key_id::BIGINT AS key_id, value_id::BIGINT AS value_id FROM tok_com),
+  p AS (SELECT a.key_id * 4294967296 + a.value_id AS wa, b.key_id * 4294967296 + b.value_id AS wb, count(*) AS n
+        FROM w a JOIN w b ON a.event_id = b.event_id AND a.tok_ord <> b.tok_ord GROUP BY 1, 2),
+  m AS (SELECT wa, wb, ln(n::DOUBLE * sum(n) OVER () / sum(n) OVER (PARTITION BY wa) / sum(n) OVER (PARTITION BY wb)) AS x FROM p)
+  SELECT wa AS a, wb AS b, round(x, 6) AS m FROM m WHERE x > 1e-6""")
+def token_information(ws: Workspace) -> DataFrame:
+    """Positive mutual information of two tokens of one event."""
+    pairs = materialize(cooccurrence.pair_counts(ws.commerce.stored), "pairs")
+    found = cooccurrence.mutual_information(pairs).where("m > 1e-6")
+    return found.select("a", "b", F.round("m", 6).alias("m"))
+
+
 @query()
 def token_vectors(ws: Workspace) -> DataFrame:
     """Record vectors from token sequences, as (entity, variant, dimension)."""
-    vectors = probes.token_vectors(encode.event_tokens(ws.app.stored))
+    vectors = probes.token_vectors(ws.app.stored)
     slots = [F.struct(F.lit(v).alias("variant"), F.col(v).alias("x")) for v in ("usr", "last_event", "concat")]
     long = vectors.select("entity_id", F.explode(F.array(*slots)).alias("s"))
     return long.select("entity_id", F.col("s.variant").alias("variant"), F.posexplode("s.x").alias("dim", "x"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
-from eventlens.operators import batch, logistic, mask, probes
+from eventlens.operators import batch, cooccurrence, logistic, mask, probes
 from eventlens.operators.encode import event_tokens
 from eventlens.plans import workspace
 
@@ -262,6 +262,55 @@ def test_baselines_find_the_signal(spark):
     assert rows["baseline_logreg"] > 0.85 and rows["baseline_gbdt"] > 0.85
 
 
+def _event_rows(spark, n=120):
+    rng = random.Random(3)
+    rows = []
+    for i in range(n):
+        topic = rng.randrange(3)
+        ids = [10 * topic + rng.randrange(5) for _ in range(rng.randrange(0, 6))]
+        rows.append((f"e{i % 11}", f"v{i}", i // 11, [1] * len(ids), ids))
+    return spark.createDataFrame(rows, "entity_id string, event_id string, event_ord int, key_ids array<int>, value_ids array<int>"), rows
+
+
+def test_token_vectors(spark):
+    """Pair counts against a plain count, directions against an exact decomposition, any partitioning."""
+    df, rows = _event_rows(spark)
+    want = {}
+    for *_, ids in rows:
+        for i, a in enumerate(ids):
+            for j, b in enumerate(ids):
+                if i != j:
+                    want[a, b] = want.get((a, b), 0) + 1
+    low = 2**32 - 1
+    pairs = cooccurrence.pair_counts(df)
+    assert {(r["a"] & low, r["b"] & low): r["n"] for r in pairs.collect()} == want
+    runs = []
+    for parts in (2, 20):
+        vectors = cooccurrence.word_vectors(cooccurrence.pair_counts(df.repartition(parts)).repartition(parts), 4)
+        runs.append(({r["word"]: r["q"] for r in vectors.collect()}, sorted(cooccurrence.record_vectors(df, vectors, 4).collect())))
+    assert runs[0] == runs[1]
+    names = sorted({a for a, _ in want})
+    counts = np.array([[want.get((a, b), 0) for b in names] for a in names], dtype=float)
+    margin = counts.sum(axis=1)
+    with np.errstate(divide="ignore"):
+        info = np.maximum(np.log(counts * counts.sum() / np.outer(margin, margin)), 0)
+    got = np.array([runs[0][0][(1 << 32) + a] for a in names]) / cooccurrence.UNIT
+    strength = np.sort(np.abs(np.linalg.eigvalsh(info)))[::-1][:3]
+    assert np.abs(np.sort((got**2).sum(axis=0))[::-1][:3] / strength - 1).max() < 0.2
+    last = max((r for r in rows if r[0] == "e4"), key=lambda r: r[2])
+    mine = next(r for r in runs[0][1] if r["entity_id"] == "e4")
+    newest = [r for r in rows if r[0] == "e4" and r[4]][-1]
+    assert last[2] >= newest[2]
+    assert np.allclose(mine["last_event"], np.mean([got[names.index(v)] for v in newest[4]], axis=0))
+
+
+def test_token_vectors_of_nothing(spark):
+    df, _ = _event_rows(spark)
+    assert probes.token_vectors(df.where("false"), 4).count() == 0
+    alone = df.withColumns({"key_ids": F.array(F.lit(1)), "value_ids": F.array(F.lit(5))})
+    assert {tuple(r["usr"]) for r in probes.token_vectors(alone, 2).collect()} == {(0.0, 0.0)}
+
+
 def test_report_order(spark):
     rows = [("probe_a", 0.7, 5, 2), ("baseline_b", None, 5, 2), ("lora_finetuned", 0.9, 5, 2), ("probe_n", float("nan"), 5, 2)]
     out = probes.comparison_report(spark.createDataFrame(rows, probes.RESULT), "final").collect()
