@@ -213,8 +213,9 @@ def baselines(
         "feature-rows",
     )
     train = data.where(~F.col("is_val"))
-    ready = fill_categories(scaled(data, scaling_stats(train, numeric)), categorical)
-    encoded = fit_categories(train, categorical).transform(ready)
+    ready = scaled(data, scaling_stats(train, numeric))
+    ready = fill_categories(ready, categorical) if categorical else ready
+    encoded = fit_categories(train, categorical).transform(ready) if categorical else ready
     x = VectorAssembler(
         inputCols=[*numeric, *[f"{c}_hot" for c in categorical]], outputCol="all_features"
     ).transform(encoded).select(F.col("all_features").alias("x"), "y", "is_val")

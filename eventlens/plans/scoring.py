@@ -241,6 +241,20 @@ def _score_sql(name: str, column: str, where: str = "") -> str:
       (SELECT count(*) FROM rows WHERE split = 'train' {where}) AS n_train, (SELECT count(*) FROM rows WHERE split = 'val' {where}) AS n_val"""
 
 
+@query(f"""
+  WITH rows AS (SELECT split, is_escalating AS y, n_events > {LONG_FROM} AS many FROM feat_com JOIN escal_com USING (entity_id)
+                WHERE n_events > 0 AND split IN ('train', 'val')),
+  rate AS (SELECT many, avg(y::INT) AS s FROM rows WHERE split = 'train' GROUP BY 1),
+  scored AS (SELECT 'v' AS split, coalesce(s, (SELECT max(s) FROM rate)) AS s, y FROM rows LEFT JOIN rate USING (many) WHERE split = 'val')
+  SELECT 'baseline_gbdt' AS name, (SELECT CASE WHEN (SELECT count(DISTINCT y) FROM rows WHERE split = 'train') = 2 THEN auc END
+                                   FROM ({AUC_SQL.format(source='scored')})) AS auc,
+         (SELECT count(*) FROM rows WHERE split = 'train') AS n_train, (SELECT count(*) FROM rows WHERE split = 'val') AS n_val""")
+def tree_on_one_split(ws: Workspace) -> DataFrame:
+    """The tree baseline on one yes-or-no feature: its order is that of the training rates of both sides."""
+    rows = _labelled(ws, "is_escalating").withColumn("many", F.col("n_events") > LONG_FROM)
+    return probes.baselines(rows, "is_escalating", ["many"], [], models=("gbdt",))
+
+
 @query(f"""
   WITH rows AS (SELECT *, is_escalating AS y FROM feat_com JOIN escal_com USING (entity_id) WHERE n_events > 0),
   results AS ({_score_sql('probe_total', 'total_amount')} UNION ALL {_score_sql('baseline_count', 'n_events')}
