@@ -10,6 +10,7 @@ from eventlens.functions.buckets import length_label, numeric_token
 from eventlens.functions.temporal import CALENDAR, calendar, seconds_between, soft_log
 from eventlens.operators import encode, fit
 from eventlens.operators.bundle import N_SPECIAL, EncoderConfig
+from eventlens.operators.history import PLACES
 from eventlens.operators.split import split_of
 from eventlens.operators.textvocab import byte_ids
 from eventlens.operators.validate import fields_long
@@ -379,7 +380,7 @@ def oov_rates(ws: Workspace) -> DataFrame:
 def fit_report_fields(ws: Workspace) -> DataFrame:
     """The report per field: numeric statistics and unknown rates, text fields included."""
     b = ws.commerce_text
-    return encode.field_report(b.history, split_of(F.col("entity_id")), b.bundle)
+    return encode.field_report(b.stored_history.drop(*PLACES), split_of(F.col("entity_id")), b.bundle)
 
 
 # -- stored form ---------------------------------------------------------------------------

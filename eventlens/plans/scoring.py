@@ -69,6 +69,7 @@ def _labelled(ws: Workspace, label: str) -> DataFrame:
         labels = features.escalating_labels(b.events, ws.profile, b.heavy)
     rows = records.attach_labels(_features(b, b.kept_records), labels.select("entity_id", label), label)
     rows = rows.withColumn("split", split_of(F.col("entity_id"))).where("split in ('train', 'val')")
+    rows = materialize(rows, "labelled-rows")
     val = rows.where("split = 'val'").select("entity_id")
     return probes.with_partition(rows, val)
 
@@ -84,7 +85,7 @@ def scaling_statistics(ws: Workspace) -> DataFrame:
     """Medians, means and deviations of the training features; ``card`` has missing values."""
     b = ws.commerce
     rows = _features(b, b.kept_records).where(split_of(F.col("entity_id")) == "train")
-    rows = rows.withColumn("card", F.when(F.col("n_events") > 50, F.col("mean_amount")))
+    rows = materialize(rows.withColumn("card", F.when(F.col("n_events") > 50, F.col("mean_amount"))), "feature-rows")
     return probes.scaling_stats(rows, ["n_events", "total_amount", "mean_amount", "days_since_signup", "card"])
 
 

@@ -11,7 +11,8 @@ from eventlens import registry as R
 from eventlens.operators import encode, fit, history, mask, ordered, records
 from eventlens.operators.batch import plan_batches
 from eventlens.operators.bundle import Bundle
-from eventlens.session import materialize, utc_session
+from eventlens.operators.skew import split_heavy
+from eventlens.session import materialize, materialize_by, utc_session
 from eventlens.sources import tables
 from eventlens.sources.tables import ATTRIBUTES, MILESTONES
 
@@ -35,9 +36,28 @@ class Binding:
         """Events of entities that have a profile."""
         return records.restrict_to_profile(self.events, self.ws.profile, self.heavy)
 
+    @cached_property
+    def stored_history(self) -> DataFrame:
+        """The history's encodable columns with their places, written once by entity. Fitting, records and
+        encoding start from here, so the source tables are joined once and events are shuffled by
+        entity once. Heavy entities are written apart, for reading in many tasks."""
+        found = self.registry.value_keys(self.events.columns)
+        kept = [k for k in found if self.registry.field(k).kind in R.TOKENIZABLE]
+        slim = self.events.select(*dict.fromkeys(["entity_id", "event_id", "created_at", "type", *kept]))
+        if self.heavy:
+            whole = records.restrict_to_profile(slim, self.ws.profile, self.heavy)
+            hot, cold = split_heavy(whole, ["entity_id"], self.heavy)
+            placed = materialize_by(history.placed_history(cold, []), "entity_id", "history")
+            return placed.unionByName(materialize(hot, "heavy-history"), allowMissingColumns=True)
+        buckets = int(self.ws.spark.conf.get("spark.sql.shuffle.partitions"))
+        near = records.restrict_to_profile(slim.repartition(buckets, "entity_id"), self.ws.profile)
+        return materialize_by(history.placed_history(near, []), "entity_id", "history")
+
     @cached_property
     def records(self) -> DataFrame:
-        return records.build_records(self.events, self.ws.profile, MILESTONES)
+        # Only events of entities with a profile count, so the written history serves as well.
+        known = self.stored_history if "stored_history" in self.__dict__ else self.events
+        return records.build_records(known, self.ws.profile, MILESTONES)
 
     @cached_property
     def kept_records(self) -> DataFrame:
@@ -46,10 +66,12 @@ class Binding:
     @cached_property
     def bundle(self) -> Bundle:
         """Fitted once per folder and schema: the later steps read it, as they would a saved one."""
-        return fit.fit(self.history, self.ws.profile, self.registry)
+        return fit.fit(self.stored_history, self.ws.profile, self.registry)
 
     def capped(self, max_events: int | None = None) -> DataFrame:
         n = max_events or self.bundle.config.max_history_events
+        if "stored_history" in self.__dict__:
+            return history.newest_placed(self.stored_history, n, self.heavy)
         return history.keep_recent(self.history, n, self.heavy)
 
     def encoded(self, bundle: Bundle | None = None) -> DataFrame:
@@ -61,33 +83,40 @@ class Binding:
         """Spelled once per fitted bundle: configurations that only cap events share it."""
         found = self._texts.get(id(bundle.merges))
         if found is None:
-            found = self._texts[id(bundle.merges)] = (encode.spelled_texts(self.history, bundle), bundle.merges)
+            found = self._texts[id(bundle.merges)] = (encode.spelled_texts(self.stored_history, bundle), bundle.merges)
         return found[0]
 
     @cached_property
     def stored(self) -> DataFrame:
         """Encoded events written once; masks and batches start from there."""
-        return materialize(self.encoded(), "encoded-events")
+        return materialize_by(self.encoded(), "entity_id", "encoded-events")
 
     @cached_property
     def stored_profiles(self) -> DataFrame:
-        return materialize(self.profiles(), "encoded-profiles")
+        return materialize_by(self.profiles(), "entity_id", "encoded-profiles")
 
     def profiles(self, bundle: Bundle | None = None) -> DataFrame:
-        return encode.encode_profile(self.kept_records, bundle or self.bundle)
+        bundle = bundle or self.bundle
+        return encode.encode_profile(self.kept_records, bundle)
 
     def shards(self) -> DataFrame:
         return encode.assemble(self.profiles(), self.encoded())
 
     def sizes(self) -> DataFrame:
-        return encode.record_sizes(self.stored_profiles, self.stored)
+        return self.stored_sizes
+
+    @cached_property
+    def stored_sizes(self) -> DataFrame:
+        """One row per record; events are encoded for it without being written, unless they are there."""
+        encoded = self.stored if "stored" in self.__dict__ else self.encoded()
+        return materialize(encode.record_sizes(self.stored_profiles, encoded), "record-sizes")
 
     def masked(self, epoch: int = 0) -> DataFrame:
         return mask.mask_tokens(self.stored, self.bundle, mask.MaskConfig(), epoch)
 
     @cached_property
     def batches(self) -> DataFrame:
-        return plan_batches(self.sizes())
+        return materialize(plan_batches(self.sizes()), "batches")
 
 
 class Workspace:
@@ -100,8 +129,9 @@ class Workspace:
 
     @cached_property
     def profile(self) -> DataFrame:
+        """Written once: every query meets it several times."""
         cuts = tables.balance_cuts(self.spark, self.folder)
-        return tables.profile_state(self.spark, self.folder, cuts)
+        return materialize(tables.profile_state(self.spark, self.folder, cuts), "profile")
 
     @cached_property
     def app(self) -> Binding:

@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+AUTO_SCAN = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
+
 
 def utc_session(spark: SparkSession) -> SparkSession:
     """Pin the session zone: every clock feature is defined in UTC."""
@@ -44,3 +46,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_by(df: DataFrame, key: str, label: str) -> DataFrame:
+    """Like ``materialize``, in buckets of ``key``: what is grouped or joined by it later is read in place.
+
+    As many buckets as there are shuffle partitions, so that rows which meet a bucketed table travel alone.
+    """
+    spark = df.sparkSession
+    name = f"{label}-{uuid.uuid4().hex}"
+    table = "eventlens_" + name.replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/eventlens/{name}")
+    by_bucket = spark.conf.get(AUTO_SCAN)
+    spark.conf.set(AUTO_SCAN, "false")  # what is read by bucket is written by bucket, one file for each
+    try:
+        writer.bucketBy(buckets, key).saveAsTable(table)
+    finally:
+        spark.conf.set(AUTO_SCAN, by_bucket)
+    return spark.table(table)
