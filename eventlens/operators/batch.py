@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -390,30 +392,60 @@ def group_ids(offsets: DataFrame, by: str, group: str) -> DataFrame:
     )
 
 
+def unpacked_events(flat: DataFrame) -> DataFrame:
+    """Events of the source records out of packed batches: ``(entity_id, event_ord, key_ids, value_ids,
+    labels)``. The offsets of a batch already are those of its lists of events, so nothing is copied per event."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = {n: batch.column(n)[i].values for n in batch.schema.names}
+                records, offsets = one["event_to_record"].to_numpy(), one["event_offsets"].cast(pa.int32())
+                labels, shown = one["event_labels"], one["event_value_ids"]
+                values = pc.if_else(pc.not_equal(labels, NO_LABEL), labels, shown)
+                ords = np.arange(len(records)) - one["history_offsets"].to_numpy()[records]
+                lists = [pa.ListArray.from_arrays(offsets, v) for v in (one["event_key_ids"], values, labels)]
+                yield pa.RecordBatch.from_arrays(
+                    [one["entity_ids"].take(pa.array(records)), pa.array(ords, pa.int64()), *lists],
+                    ["entity_id", "event_ord", "key_ids", "value_ids", "labels"],
+                )
+
+    needed = ("entity_ids", "event_offsets", "history_offsets", "event_to_record", "event_key_ids", "event_value_ids", "event_labels")
+    kinds = "entity_id string, event_ord bigint, key_ids array<int>, value_ids array<int>, labels array<int>"
+    return flat.select(*needed).mapInArrow(unpack, kinds)
+
+
 def unpack_batches(flat: DataFrame) -> DataFrame:
     """Event tokens of the source records out of packed batches:
     ``(entity_id, event_ord, tok_ord, key_id, value_id, label)``."""
-    events = flat.select(
-        "batch_id", "entity_ids", "event_offsets", "history_offsets", "event_key_ids",
-        "event_value_ids", "event_labels",
-        F.posexplode("event_to_record").alias("event_no", "rec"),
+    zipped = F.arrays_zip("key_ids", "value_ids", "labels")
+    return unpacked_events(flat).select("entity_id", "event_ord", F.posexplode(zipped).alias("tok_ord", "t")).select(
+        "entity_id", "event_ord", "tok_ord",
+        F.col("t.key_ids").alias("key_id"), F.col("t.value_ids").alias("value_id"), F.col("t.labels").alias("label"),
     )
-    start = F.element_at("event_offsets", F.col("event_no") + 1).cast("int")
-    n = F.element_at("event_offsets", F.col("event_no") + 2).cast("int") - start
-    per_event = events.select(
-        F.element_at("entity_ids", F.col("rec").cast("int") + 1).alias("entity_id"),
-        (F.col("event_no") - F.element_at("history_offsets", F.col("rec").cast("int") + 1)).alias("event_ord"),
-        F.arrays_zip(
-            F.slice("event_key_ids", start + 1, n).alias("k"),
-            F.slice("event_value_ids", start + 1, n).alias("v"),
-            F.slice("event_labels", start + 1, n).alias("l"),
-        ).alias("tokens"),
+
+
+def token_differences(source: DataFrame, again: DataFrame) -> DataFrame:
+    """One row: tokens of ``source``, those that ``again`` lacks, and those it has beyond them. Both hold
+    ``(entity_id, event_ord, key_ids, value_ids)``; events that are equal on both sides cancel as a whole, and
+    only the tokens of the others are compared one by one."""
+    cols = ["entity_id", F.col("event_ord").cast("bigint").alias("event_ord"), "key_ids", "value_ids"]
+    sides = source.select(*cols, F.lit(1).alias("d")).unionByName(again.select(*cols, F.lit(-1).alias("d")))
+    per_event = sides.groupBy("entity_id", "event_ord", "key_ids", "value_ids").agg(
+        F.sum("d").alias("d"), F.count_if(F.col("d") == 1).alias("n")
     )
-    return per_event.select("entity_id", "event_ord", F.posexplode("tokens").alias("tok_ord", "t")).select(
-        "entity_id", "event_ord", "tok_ord",
-        F.col("t.k").alias("key_id"),
-        F.when(F.col("t.l") != NO_LABEL, F.col("t.l")).otherwise(F.col("t.v")).alias("value_id"),
-        F.col("t.l").alias("label"),
+    size = F.size("key_ids")
+    differs = (F.col("d") != 0) & (size > 0)
+    rows = per_event.select(
+        F.when(differs, F.col("entity_id")).alias("entity_id"), F.when(differs, F.col("event_ord")).alias("event_ord"),
+        F.when(differs, F.col("d")).otherwise(0).alias("d"), F.when(differs, F.col("n")).otherwise(F.col("n") * size).alias("n"),
+        F.posexplode_outer(F.when(differs, F.arrays_zip("key_ids", "value_ids"))).alias("tok_ord", "t"),
+    )
+    per_token = rows.groupBy("entity_id", "event_ord", "tok_ord", "t").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+    return per_token.agg(
+        F.sum("n").alias("n_tokens"),
+        F.coalesce(F.sum(F.greatest(F.col("d"), F.lit(0))), F.lit(0)).alias("n_lost"),
+        F.coalesce(F.sum(F.greatest(-F.col("d"), F.lit(0))), F.lit(0)).alias("n_added"),
     )
 
 
@@ -442,26 +474,36 @@ def padding_waste(lengths: DataFrame, by: Sequence[str], length: str, *, heads:
     )
 
 
-def shuffle_context(masked: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
+def in_batches(events: DataFrame, plan: DataFrame) -> DataFrame:
+    """Event rows with ``batch_id`` and ``rec``, those of a batch in one partition. Partitions are not
+    coalesced by their bytes: each event becomes many token rows there."""
+    partitions = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = plan.select("entity_id", "batch_id", F.col("pos").alias("rec"))
+    return events.join(place, "entity_id").repartition(partitions, "batch_id")
+
+
+def shuffle_context(masked: DataFrame, plan: DataFrame | None = None, seed: int = 0) -> DataFrame:
     """Permute the inputs of positions without a target among themselves, inside each batch.
 
-    Two orders of the same positions (by place, by hash) are matched by rank. A batch is
-    bounded by its budget, so both windows are small.
+    Two orders of the same positions (by place, by hash) are matched by rank: both are lists of one
+    batch, which its budget bounds. Without a plan, ``masked`` has ``batch_id`` and ``rec`` already: then
+    events, not tokens, were sent to their batch (see ``in_batches``).
     """
-    rows = masked.join(plan.select("entity_id", "batch_id", F.col("pos").alias("rec")), "entity_id")
-    context = rows.where(F.col("label") == NO_LABEL)
-    in_batch = Window.partitionBy("batch_id")
-    ordered = context.withColumns(
-        {
-            "place": F.row_number().over(in_batch.orderBy("rec", "event_ord", "tok_ord")),
-            "draw": F.row_number().over(
-                in_batch.orderBy(
-                    digest(seed, "shuffle", F.col("batch_id"), F.col("event_id"), F.col("tok_ord"))
-                )
-            ),
-        }
+    rows = masked
+    if plan is not None:
+        rows = masked.join(plan.select("entity_id", "batch_id", F.col("pos").alias("rec")), "entity_id")
+    order = ["rec", "event_ord", "tok_ord"]
+    others = [c for c in rows.columns if c not in ("batch_id", *order)]
+    has_target = F.coalesce(F.col("label") != NO_LABEL, F.lit(True))
+    draw = digest(seed, "shuffle", F.col("batch_id"), F.col("event_id"), F.col("tok_ord"))
+    lists = rows.groupBy("batch_id").agg(
+        # positions without a target come first
+        F.sort_array(F.collect_list(F.struct(has_target.alias("has_target"), *order, *others))).alias("t"),
+        F.sort_array(F.collect_list(F.when(~has_target, F.struct(draw.alias("draw"), F.col("input_id"))))).alias("drawn"),
+    )
+    given = F.col("drawn.input_id")
+    pairs = lists.select("batch_id", F.explode(F.arrays_zip(F.col("t").alias("t"), given.alias("given"))).alias("p"))
+    return pairs.select(
+        "batch_id", *[F.col(f"p.t.{c}").alias(c) for c in (*order, *others)],
+        F.when(F.col("p.t.has_target"), F.col("p.t.input_id")).otherwise(F.col("p.given")).alias("new_input_id"),
     )
-    given = ordered.select("batch_id", F.col("draw").alias("place"), F.col("input_id").alias("new_input_id"))
-    moved = ordered.drop("draw").join(given, ["batch_id", "place"]).drop("place")
-    fixed = rows.where(F.col("label") != NO_LABEL).withColumn("new_input_id", F.col("input_id"))
-    return moved.unionByName(fixed)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.operators import batch, encode, mask
+from eventlens.operators import batch, mask
 from eventlens.plans.catalog import query
 from eventlens.plans.workspace import Workspace
 from eventlens.session import materialize
@@ -61,9 +61,10 @@ def progress_counters(ws: Workspace) -> DataFrame:
 
 def _flat(ws: Workspace) -> DataFrame:
     b = ws.commerce
+    events = b.stored
     counts = b.sizes().select("entity_id", F.col("n_events").alias("n_kept"))
     profiles = b.stored_profiles.join(counts, "entity_id")
-    return batch.flat_batches(b.batches, profiles, b.stored, b.masked())
+    return batch.flat_batches(b.batches, profiles, events, b.masked())
 
 
 @query("""
@@ -115,16 +116,7 @@ def unpacked_batches(ws: Workspace) -> DataFrame:
     none = mask.mask_tokens(b.stored, b.bundle, mask.MaskConfig(0.0, 0.0, 0.0, 0.0))
     counts = b.sizes().select("entity_id", F.col("n_events").alias("n_kept"))
     flat = batch.flat_batches(b.batches, b.stored_profiles.join(counts, "entity_id"), b.stored, none)
-    cols = ["entity_id", "event_ord", "tok_ord", "key_id", "value_id"]
-    again = batch.unpack_batches(flat).select(*[F.col(c).cast("string").alias(c) for c in cols])
-    source = encode.event_tokens(b.stored).select(*[F.col(c).cast("string").alias(c) for c in cols])
-    sides = source.withColumn("d", F.lit(1)).unionByName(again.withColumn("d", F.lit(-1)))
-    per_token = sides.groupBy(*cols).agg(F.sum("d").alias("d"), F.count_if(F.col("d") == 1).alias("n"))
-    return per_token.agg(
-        F.sum("n").alias("n_tokens"),
-        F.coalesce(F.sum(F.greatest(F.col("d"), F.lit(0))), F.lit(0)).alias("n_lost"),
-        F.coalesce(F.sum(F.greatest(-F.col("d"), F.lit(0))), F.lit(0)).alias("n_added"),
-    )
+    return batch.token_differences(b.stored, batch.unpacked_events(flat))
 
 
 @query("""SELECT batch_id, count(*) AS n_sequences, sum(n_events)::BIGINT AS total_length, max(n_events) AS max_length,
@@ -144,5 +136,7 @@ def padding_waste(ws: Workspace) -> DataFrame:
   SELECT a.batch_id, a.event_id, a.tok_ord, a.label::BIGINT AS label, b.input_id::BIGINT AS new_input_id FROM ctx a JOIN ctx b ON a.batch_id = b.batch_id AND a.place = b.draw
   UNION ALL SELECT batch_id, event_id, tok_ord, label, input_id FROM rows WHERE label <> -100""")
 def shuffled_context(ws: Workspace) -> DataFrame:
-    out = batch.shuffle_context(ws.commerce.masked(), ws.commerce.batches)
+    b = ws.commerce
+    placed = batch.in_batches(b.stored, b.batches)
+    out = batch.shuffle_context(mask.mask_tokens(placed, b.bundle, mask.MaskConfig(), 0, "batch_id", "rec"))
     return out.select("batch_id", "event_id", "tok_ord", "label", "new_input_id")
