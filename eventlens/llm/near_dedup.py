@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventlens.llm.common import lean
 from eventlens.session import materialize
 
 WORDS = 5
@@ -167,7 +168,7 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
             yield pa.RecordBatch.from_arrays(columns, ["doc", "n", "copy", "bands"])
 
     kind = slim.schema["doc"].dataType.simpleString()
-    return slim.mapInArrow(sketch, f"doc {kind}, n bigint, copy binary, bands array<bigint>")
+    return slim.mapInArrow(lean(sketch), f"doc {kind}, n bigint, copy binary, bands array<bigint>")
 
 
 def shingle_set(raw: bytes, width: int) -> set[tuple[bytes, ...]]:
@@ -198,7 +199,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
             yield rows.filter(pa.array(good, pa.bool_()))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return both.mapInArrow(check, f"a {kind}, b {kind}")
+    return both.mapInArrow(lean(check), f"a {kind}, b {kind}")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -250,7 +251,7 @@ def rarest(texts: DataFrame, width: int, percent: int) -> DataFrame:
 
     kind = texts.schema["doc"].dataType.simpleString()
     sets = materialize(
-        texts.select("doc", "t").mapInArrow(shingles, f"doc {kind}, keys array<bigint>, sketch array<tinyint>"), "open-sets"
+        texts.select("doc", "t").mapInArrow(lean(shingles), f"doc {kind}, keys array<bigint>, sketch array<tinyint>"), "open-sets"
     )
     rows = sets.select("doc", F.size("keys").alias("n"), F.explode("keys").alias("key"))
     common = rows.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)

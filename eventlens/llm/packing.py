@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import hash_slice, prefix_sums, slices_for
+from eventlens.llm.common import hash_slice, lean, prefix_sums, slices_for
 from eventlens.llm.tokens import WordEncoder, word_encoder
 from eventlens.session import materialize
 
@@ -181,7 +181,7 @@ def token_pieces(
 
     kind = slim.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
-    return slim.mapInArrow(cut, schema)
+    return slim.mapInArrow(lean(cut), schema)
 
 
 def placed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

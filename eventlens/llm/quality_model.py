@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventlens.llm.common import lean
 from eventlens.llm.textstats import COUNTS, counts_table, with_counts
 from eventlens.session import materialize
 
@@ -174,4 +175,4 @@ def scored(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFram
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], [*names, "score"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields)
-    return carried.mapInArrow(score, f"{fields}, score double").toDF(*kept.columns, "score")
+    return carried.mapInArrow(lean(score), f"{fields}, score double").toDF(*kept.columns, "score")

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventlens.llm.common import lean
+
 COUNTS = (
     "n_bytes", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct_words",
     "n_upper", "n_lower", "n_digits", "n_stops", "n_marks", "n_bars", "n_other", "n_top_word", "n_edge_symbols",
@@ -84,4 +86,4 @@ def with_counts(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     raw = F.col(f"`{text_col}`").cast("string").cast("binary").alias("__raw")
     slim = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], raw)
     fields = [f"k{i} {slim.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))]
-    return slim.mapInArrow(_count, ", ".join(fields + [f"{c} bigint" for c in COUNTS]))
+    return slim.mapInArrow(lean(_count), ", ".join(fields + [f"{c} bigint" for c in COUNTS]))

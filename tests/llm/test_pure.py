@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from eventlens.llm import near_dedup, packing, quality_model, repeats, rules, textstats, token_counts, tokens, training_order
+from eventlens.llm import common, near_dedup, packing, quality_model, repeats, rules, textstats, token_counts, tokens, training_order
 from eventlens.llm.queries import VOCABULARIES
 
 WORD_PATH = f"{VOCABULARIES}/word_bpe_49k.json"
@@ -183,3 +183,19 @@ def test_a_full_table_changes_no_ids(monkeypatch):
     encode, whole = tokens.WordEncoder(WORD_PATH), Tokenizer.from_file(WORD_PATH)
     for text in ("one two three", "two four", "one two", "", " \n "):
         assert encode(text) == np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+def test_a_worker_keeps_little_after_its_task(monkeypatch):
+    assert tokens.MAX_KEPT * 200 <= 64 << 20
+
+    class Pool:
+        released = 0
+
+        def release_unused(self):
+            self.released += 1
+
+    pool = Pool()
+    monkeypatch.setattr(common.pa, "default_memory_pool", lambda: pool)
+    step = common.lean(lambda batches: (b * 2 for b in batches))(iter([1, 2, 3]))
+    assert next(step) == 2 and pool.released == 0
+    assert list(step) == [4, 6] and pool.released == 1
