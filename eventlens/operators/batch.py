@@ -250,7 +250,8 @@ def flat_batches(
     """One row per batch: flat token and event buffers with cumulative offsets.
 
     ``profiles`` are encoded records, ``encoded`` their event rows and ``masked`` the token
-    rows. Everything is grouped by batch, and a batch is bounded by its budget.
+    rows. Everything is grouped by batch, and a batch is bounded by its budget. Where ``masked`` has ``batch_id``
+    and ``rec`` already, events and not tokens were sent to their batch (see ``in_batches``).
     """
     place = plan.select("entity_id", "batch_id", "pos")
     by_record = (
@@ -282,9 +283,9 @@ def flat_batches(
             ).alias("e")
         )
     )
+    tokens = masked if "batch_id" in masked.columns else masked.join(place.withColumnRenamed("pos", "rec"), "entity_id")
     by_token = (
-        masked.join(place.withColumnRenamed("pos", "rec"), "entity_id")
-        .groupBy("batch_id").agg(
+        tokens.groupBy("batch_id").agg(
             F.sort_array(
                 F.collect_list(
                     F.struct(

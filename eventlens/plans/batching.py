@@ -59,12 +59,13 @@ def progress_counters(ws: Workspace) -> DataFrame:
     return batch.progress(ws.commerce.batches)
 
 
-def _flat(ws: Workspace) -> DataFrame:
+def _flat(ws: Workspace, config: mask.MaskConfig = mask.MaskConfig()) -> DataFrame:
     b = ws.commerce
     events = b.stored
     counts = b.sizes().select("entity_id", F.col("n_events").alias("n_kept"))
     profiles = b.stored_profiles.join(counts, "entity_id")
-    return batch.flat_batches(b.batches, profiles, events, b.masked())
+    masked = mask.mask_tokens(batch.in_batches(events, b.batches), b.bundle, config, 0, "batch_id", "rec")
+    return batch.flat_batches(b.batches, profiles, events, masked)
 
 
 @query("""
@@ -113,9 +114,7 @@ def group_offsets(ws: Workspace) -> DataFrame:
 def unpacked_batches(ws: Workspace) -> DataFrame:
     """Source tokens rebuilt from packed batches without masks, against the records."""
     b = ws.commerce
-    none = mask.mask_tokens(b.stored, b.bundle, mask.MaskConfig(0.0, 0.0, 0.0, 0.0))
-    counts = b.sizes().select("entity_id", F.col("n_events").alias("n_kept"))
-    flat = batch.flat_batches(b.batches, b.stored_profiles.join(counts, "entity_id"), b.stored, none)
+    flat = _flat(ws, mask.MaskConfig(0.0, 0.0, 0.0, 0.0))
     return batch.token_differences(b.stored, batch.unpacked_events(flat))
 
 

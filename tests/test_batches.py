@@ -124,6 +124,14 @@ def _flat(app):
     return batch.flat_batches(app.batches, app.profiles().join(counts, "entity_id"), app.encoded(), app.masked())
 
 
+def test_tokens_made_in_their_batch_give_the_same_buffers(app):
+    counts = app.sizes().select("entity_id", F.col("n_events").alias("n_kept"))
+    profiles, events = app.profiles().join(counts, "entity_id"), app.encoded()
+    masked = mask.mask_tokens(batch.in_batches(events, app.batches), app.bundle, mask.MaskConfig(), 0, "batch_id", "rec")
+    placed, joined = batch.flat_batches(app.batches, profiles, events, masked), _flat(app)
+    assert sorted(map(repr, placed.collect())) == sorted(map(repr, joined.collect()))
+
+
 def test_tampered_batches_are_caught(app):
     flat = _flat(app)
     assert batch.batch_problems(flat).where("size(problems) > 0").count() == 0
