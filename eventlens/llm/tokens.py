@@ -19,7 +19,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 # Chunks that a worker remembers, for as long as it lives (about 200 bytes each).
-MAX_KEPT = 300_000
+MAX_KEPT = 600_000
 # New chunks that are encoded as one text.
 CHUNKS = 512
 # Fixed value: the published splitting pattern of the 50k byte-level vocabulary.
