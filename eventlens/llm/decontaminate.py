@@ -40,15 +40,19 @@ UNITS = (
 )
 # A slot is marked by a character before its value: number, unit, name.
 SLOT_MARKS = {"n": "\x01", "u": "\x02", "p": "\x03"}
-AMOUNT = r"(?<![\p{L}\p{N}.,\x01])(?<!\x01[-+$€£])([-+$€£]?[0-9](?:[0-9.,:/]*[0-9])?)"
-NAME = r"(?<=[\p{L}\p{N},;]\s)(\p{Lu}\p{Ll}+)"
+# Each pattern first looks at the one character that it can begin with: most places are letters, and fail there.
+AMOUNT = r"(?=[-+$€£0-9])(?<![\p{L}\p{N}.,\x01])(?<!\x01[-+$€£])([-+$€£]?[0-9](?:[0-9.,:/]*[0-9])?)"
+NAME = r"(?=\p{Lu})(?<=[\p{L}\p{N},;]\s)(\p{Lu}\p{Ll}+)"
 # White space other than one plain space.
-SPACES = r"[\s\p{Z}]{2,}|[\s\p{Z}&&[^ ]]"
+SPACES = r" [\s\p{Z}]+|[\s\p{Z}&&[^ ]][\s\p{Z}]*"
 # Ends of a line, and of a sentence.
 LINE_END = r"[\r\n\x{85}\x{2028}\x{2029}]+"
 SENTENCE_END = r"(?<=[.!?:;\x{3002}])\s+|" + LINE_END
 # Between words: anything but letters and digits; marks inside a number belong to it.
-GAP = r"[^\p{L}\p{M}\p{N}\x01-\x03.,:/]+|[.,:/]+(?![0-9])|(?<![0-9])[.,:/]+"
+GAP = (
+    r"(?=[^\p{L}\p{M}\p{N}\x01-\x03])"
+    r"(?:[^\p{L}\p{M}\p{N}\x01-\x03.,:/]+|[.,:/]+(?![0-9])|(?<![0-9])[.,:/]+)"
+)
 
 
 def canonical_words(text: Column) -> Column:
@@ -85,9 +89,14 @@ def _value(word: Column) -> Column:
     return F.when(_is_slot(word), F.substring(word, 2, 1_000_000)).otherwise(word)
 
 
+def _type(word: Column) -> Column:
+    """The word, or only the type of a slot."""
+    return F.when(_is_slot(word), F.substring(word, 1, 1)).otherwise(word)
+
+
 def _shape(words: Column) -> Column:
     """The words with slots reduced to their type."""
-    return F.transform(words, lambda w: F.when(_is_slot(w), F.substring(w, 1, 1)).otherwise(w))
+    return F.transform(words, _type)
 
 
 def window_hashes(words: DataFrame, short: Sequence[int] = ()) -> DataFrame:
@@ -95,7 +104,7 @@ def window_hashes(words: DataFrame, short: Sequence[int] = ()) -> DataFrame:
     by their type in the first and by their value, as plain words, in the second. Add ``short<n>``: the
     same as ``plain`` for windows of ``n`` words, for the lengths in ``short`` (below ``WINDOW``)."""
     rows = words
-    for name, unit in (("typed", F.transform(_shape(F.col("words")), lambda w: F.xxhash64(w))),
+    for name, unit in (("typed", F.transform("words", lambda w: F.xxhash64(_type(w)))),
                        ("plain", F.transform("words", lambda w: F.xxhash64(_value(w))))):
         made, step = {n: None for n in short if name == "plain"}, 1
         rows = once(rows, f"__{name}", unit)

@@ -612,3 +612,27 @@ def test_rows_of_one_repeated_id_lie_in_many_slices(spark, monkeypatch):
     monkeypatch.setattr(sharding, "prefix_sums", lambda df, *rest: seen.append(df) or sums(df, *rest))
     sharding.interleave(table(spark, [(1, f"text {i}", "en", "a") for i in range(500)]), 4).count()
     assert seen[0].select("__slice").distinct().count() > 32
+
+
+def test_template_patterns_give_the_words_of_their_plain_forms(spark, monkeypatch):
+    # the patterns without the look at their first character
+    plain = {
+        "AMOUNT": r"(?<![\p{L}\p{N}.,\x01])(?<!\x01[-+$€£])([-+$€£]?[0-9](?:[0-9.,:/]*[0-9])?)",
+        "NAME": r"(?<=[\p{L}\p{N},;]\s)(\p{Lu}\p{Ll}+)",
+        "SPACES": r"[\s\p{Z}]{2,}|[\s\p{Z}&&[^ ]]",
+        "GAP": r"[^\p{L}\p{M}\p{N}\x01-\x03.,:/]+|[.,:/]+(?![0-9])|(?<![0-9])[.,:/]+",
+    }
+    rng = random.Random(11)
+    signs = list("aZéßÄ09.,:/-+$€£;!'\x01\x02\x03 \t\n\x85\xa0  　́Ж中𝐀😀½") + ["5 km", " Bob", "..7", "7..", "3 %", "  "]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(0, 40))) for _ in range(3000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, t string").repartition(4)
+
+    def words():
+        made = decontaminate.window_hashes(decontaminate.canonical(rows, F.col("t"), "doc_id"))
+        return {r["doc_id"]: (r["words"], r["typed"], r["plain"]) for r in made.collect()}
+
+    got = words()
+    for name, pattern in plain.items():
+        assert getattr(decontaminate, name) != pattern
+        monkeypatch.setattr(decontaminate, name, pattern)
+    assert words() == got
