@@ -120,7 +120,7 @@ def fit(
 ) -> Bundle:
     """Fit all encoders on the training records (entities of that split with events)."""
     train = train_rows(events, split)
-    ids = materialize(train.select("entity_id").distinct(), "train-ids")
+    ids = materialize(train_rows(events.select("entity_id").distinct(), split), "train-ids")  # one hash per entity
     n_train = ids.count()
     if n_train == 0:
         raise ValueError("no training record to fit on")

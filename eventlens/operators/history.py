@@ -42,11 +42,12 @@ def placed_history(events: DataFrame, heavy: Sequence[tuple]) -> DataFrame:
     hot, cold = split_heavy(events, ["entity_id"], heavy) if heavy else (None, events)
     per_entity = Window.partitionBy("entity_id")
     newest_first = per_entity.orderBy(F.desc("created_at"), F.desc("event_id"))
+    whole = newest_first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # one pass with the rank
     placed = cold.withColumns(
         {
             "age_rank": F.row_number().over(newest_first).cast("bigint"),
-            "n_history": F.count(F.lit(1)).over(per_entity),
-            "latest_at": F.max("created_at").over(per_entity),
+            "n_history": F.count(F.lit(1)).over(whole),
+            "latest_at": F.max("created_at").over(whole),
         }
     )
     return placed if hot is None else placed.unionByName(hot, allowMissingColumns=True)

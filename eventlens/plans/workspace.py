@@ -20,16 +20,18 @@ from eventlens.sources.tables import ATTRIBUTES, MILESTONES
 class Binding:
     """One pair of event table and schema over the folder's tables."""
 
-    def __init__(self, ws: Workspace, registry: R.Registry, events: DataFrame):
+    def __init__(self, ws: Workspace, registry: R.Registry, events: DataFrame, owners: DataFrame | None = None):
         self.ws = ws
         self.registry = registry
         self.events = events
+        # The entity of each event, where that takes fewer joins than the events. It only names heavy entities.
+        self.owners = events if owners is None else owners
         self._texts: dict[int, tuple] = {}
 
     @cached_property
     def heavy(self) -> list[tuple]:
         """Entities too large for one task; found once per event table."""
-        return ordered.heavy_groups(self.events, ["entity_id"])
+        return ordered.heavy_groups(self.owners, ["entity_id"])
 
     @cached_property
     def history(self) -> DataFrame:
@@ -50,7 +52,8 @@ class Binding:
             placed = materialize_by(history.placed_history(cold, []), "entity_id", "history")
             return placed.unionByName(materialize(hot, "heavy-history"), allowMissingColumns=True)
         buckets = int(self.ws.spark.conf.get("spark.sql.shuffle.partitions"))
-        near = records.restrict_to_profile(slim.repartition(buckets, "entity_id"), self.ws.profile)
+        known = self.ws.profile.hint("shuffle_hash")  # a sort-merge join would sort the events twice
+        near = records.restrict_to_profile(slim.repartition(buckets, "entity_id"), known)
         return materialize_by(history.placed_history(near, []), "entity_id", "history")
 
     @cached_property
@@ -108,11 +111,14 @@ class Binding:
     @cached_property
     def stored_sizes(self) -> DataFrame:
         """One row per record; events are encoded for it without being written, unless they are there."""
-        encoded = self.stored if "stored" in self.__dict__ else self.encoded()
-        return materialize(encode.record_sizes(self.stored_profiles, encoded), "record-sizes")
+        return materialize(encode.record_sizes(self.stored_profiles, self.encoded_once()), "record-sizes")
+
+    def encoded_once(self) -> DataFrame:
+        """Encoded events for one pass over them: written ones where they are there, else encoded in place."""
+        return self.stored if "stored" in self.__dict__ else self.encoded()
 
     def masked(self, epoch: int = 0) -> DataFrame:
-        return mask.mask_tokens(self.stored, self.bundle, mask.MaskConfig(), epoch)
+        return mask.mask_tokens(self.encoded_once(), self.bundle, mask.MaskConfig(), epoch)
 
     @cached_property
     def batches(self) -> DataFrame:
@@ -140,12 +146,12 @@ class Workspace:
     @cached_property
     def commerce(self) -> Binding:
         events = tables.commerce_events(self.spark, self.folder)
-        return Binding(self, tables.commerce_registry(), events)
+        return Binding(self, tables.commerce_registry(), events, tables.commerce_owners(self.spark, self.folder))
 
     @cached_property
     def commerce_text(self) -> Binding:
         events = tables.commerce_events(self.spark, self.folder)
-        return Binding(self, tables.commerce_registry(with_text=True), events)
+        return Binding(self, tables.commerce_registry(with_text=True), events, tables.commerce_owners(self.spark, self.folder))
 
     @cached_property
     def cutoffs(self) -> DataFrame:

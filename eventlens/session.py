@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 AUTO_SCAN = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
+OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters"
 
 
 def utc_session(spark: SparkSession) -> SparkSession:
@@ -58,10 +59,12 @@ def materialize_by(df: DataFrame, key: str, label: str) -> DataFrame:
     table = "eventlens_" + name.replace("-", "_")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     writer = df.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/eventlens/{name}")
-    by_bucket = spark.conf.get(AUTO_SCAN)
+    before = {name: spark.conf.get(name) for name in (AUTO_SCAN, OPEN_FILES)}
     spark.conf.set(AUTO_SCAN, "false")  # what is read by bucket is written by bucket, one file for each
+    spark.conf.set(OPEN_FILES, "4")  # so a task's rows are not sorted by bucket first: they are of one bucket, or few
     try:
         writer.bucketBy(buckets, key).saveAsTable(table)
     finally:
-        spark.conf.set(AUTO_SCAN, by_bucket)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     return spark.table(table)

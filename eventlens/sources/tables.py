@@ -179,6 +179,13 @@ def commerce_events(spark: SparkSession, folder: str) -> DataFrame:
     return order_events.unionByName(line_events)
 
 
+def commerce_owners(spark: SparkSession, folder: str) -> DataFrame:
+    """The entity of each commerce event, before parts and suppliers are looked up."""
+    orders = read_table(spark, folder, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("entity_id"))
+    lines = read_table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return orders.select("entity_id").unionByName(lines.join(orders, "o_orderkey").select("entity_id"))
+
+
 # -- the profile both bindings share ---------------------------------------------
 
 
