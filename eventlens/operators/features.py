@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlens.functions.temporal import seconds_between
-from eventlens.operators.ordered import quantiles, ranks
+from eventlens.operators.ordered import heavy_groups, quantiles, ranks
 from eventlens.operators.skew import join_per_entity
 from eventlens.session import materialize
 
@@ -72,9 +72,18 @@ def escalating_labels(
     halves are plain aggregates, combined before the shuffle.
     """
     slim = events.select("entity_id", "created_at", "event_id", F.col("amount").cast(MONEY).alias("amount"))
-    ranked = ranks(slim, ["entity_id"], ["created_at", "event_id"], "rank", heavy=heavy, **kw)
-    counts = events.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
-    placed = join_per_entity(ranked, counts, "inner", heavy or ())
+    if heavy is None:
+        heavy = heavy_groups(slim, ["entity_id"], **kw)
+    if heavy:
+        ranked = ranks(slim, ["entity_id"], ["created_at", "event_id"], "rank", heavy=heavy, **kw)
+        counts = events.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
+        placed = join_per_entity(ranked, counts, "inner", heavy)
+    else:
+        in_order = Window.partitionBy("entity_id").orderBy("created_at", "event_id")
+        whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        placed = slim.where(F.col("entity_id").isNotNull()).withColumns(
+            {"rank": F.row_number().over(in_order), "n": F.count(F.lit(1)).over(whole)}
+        )
     late = F.col("rank") > F.floor(F.col("n") / 2)
     halves = placed.groupBy("entity_id").agg(
         F.max("n").alias("n"),
