@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,3 +22,11 @@ def hex_word(hex_digest: Column, word: int = 0) -> Column:
 def uniform(hex_digest: Column, word: int = 0) -> Column:
     """Uniform number in [0, 1) out of one digest; several words give several draws."""
     return hex_word(hex_digest, word) / F.lit(4294967296.0)
+
+
+def below(hex_digest: Column, p: float, word: int = 0) -> Column:
+    """``uniform(hex_digest, word) < p`` without making the number: hex digits of one width compare like it."""
+    least = math.ceil(p * 2**32)
+    if not 0 < least < 2**32:
+        return uniform(hex_digest, word) < p
+    return F.substring(hex_digest, 1 + 8 * word, 8) < F.lit(f"{least:08x}")

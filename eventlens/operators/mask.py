@@ -11,9 +11,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventlens.functions.hashing import digest, uniform
+from eventlens.functions.hashing import below, digest
 from eventlens.operators.bundle import MASK, UNK, Bundle
 from eventlens.operators.skew import broadcast_if_small
+from eventlens.session import materialize
 
 # Label of positions without a target, and the source flags.
 NO_LABEL = -100
@@ -41,7 +42,7 @@ def mask_tokens(
     """
     base = (config.seed, epoch, F.col("entity_id"))
     drawn = encoded.withColumn(
-        "event_hit", uniform(digest(*base, "event", F.col("event_id"))) < config.event_prob
+        "event_hit", below(digest(*base, "event", F.col("event_id")), config.event_prob)
     )
     zipped = F.arrays_zip("key_ids", "value_ids", "within_field_pos")
     tokens = drawn.select(
@@ -56,7 +57,7 @@ def mask_tokens(
         {
             "eligible": eligible,
             "draw": digest(*base, "token", F.col("event_id"), F.col("tok_ord")),
-            "key_hit": uniform(digest(*base, "key", F.col("key_id"))) < config.key_prob,
+            "key_hit": below(digest(*base, "key", F.col("key_id")), config.key_prob),
         }
     )
 
@@ -64,12 +65,12 @@ def mask_tokens(
         return F.when(F.col("eligible") & hit, bit).otherwise(0)
 
     origin = (
-        flag(uniform(F.col("draw"), 0) < config.token_prob, TOKEN)
+        flag(below(F.col("draw"), config.token_prob), TOKEN)
         .bitwiseOR(flag(F.col("event_hit"), EVENT))
         .bitwiseOR(flag(F.col("key_hit"), KEY))
     )
     out = draws.withColumn("origin", origin).withColumn(
-        "dropped", (F.col("origin") != 0) & (uniform(F.col("draw"), 1) < config.unk_frac)
+        "dropped", (F.col("origin") != 0) & below(F.col("draw"), config.unk_frac, 1)
     )
     return out.withColumns(
         {
@@ -126,7 +127,7 @@ def marginal_difficulty(
     Add-one smoothing over the values seen for the key plus one unseen value. The frequency
     table has one row per (key, value) of the vocabulary, not per token.
     """
-    seen = train_tokens.groupBy("key_id", "value_id").agg(F.count(F.lit(1)).alias("n"))
+    seen = materialize(train_tokens.groupBy("key_id", "value_id").agg(F.count(F.lit(1)).alias("n")), "seen-values")
     per_key = seen.groupBy("key_id").agg(
         F.sum("n").alias("n_key"), F.count(F.lit(1)).alias("n_values")
     )

@@ -54,6 +54,7 @@ def masked_tokens(ws: Workspace) -> DataFrame:
 def mask_epochs(ws: Workspace) -> DataFrame:
     """Another epoch gives other masks; the same epoch gives the same under another partitioning."""
     b = ws.app
+    b.stored  # written, as it is read three times
     first = b.masked(0).select("event_id", "tok_ord", "origin", "input_id")
     again = mask.mask_tokens(b.stored.repartition(3, "event_id"), b.bundle, mask.MaskConfig(), 0).select(
         "event_id", "tok_ord", F.col("origin").alias("o0"), F.col("input_id").alias("i0")
@@ -106,7 +107,7 @@ def mask_coverage(ws: Workspace) -> DataFrame:
 def masked_value_difficulty(ws: Workspace) -> DataFrame:
     """Masked validation values against the per-key value frequencies of the training tokens."""
     b = ws.commerce
-    encoded = b.stored
+    encoded = b.encoded_once()  # the splits share no event
     split = split_of(F.col("entity_id"))
     masked = mask.mask_tokens(encoded.where(split == "val"), b.bundle)
     return mask.marginal_difficulty(masked, event_tokens(encoded.where(split == "train")), b.bundle)
